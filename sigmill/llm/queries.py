@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, sharding, topk, warc
+from . import licenses, packing, sharding, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,20 @@ def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 TOPK_SQL = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -44,7 +58,7 @@ QUALIFY row_number() OVER w <= 10
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_license_digests, op4_warc_revisits, op5_nra_topk, op7_bounded_ring)}
+    return {f.__name__: f for f in (op3_license_digests, op4_warc_revisits, op5_nra_topk, op7_bounded_ring, op9_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
