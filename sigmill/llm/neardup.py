@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, text_blocks, utf8_block
 
-SHINGLE, HASHES, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 5, 128, 24, 8, 3, 12
+SHINGLE, HASHES, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 5, 128, 16, 8, 3, 12
 PERCENT = 85  # link: 100 * intersection >= PERCENT * union
 SLACK = 0.17  # a pair's signatures may agree by so much less than a link's (over 5 standard errors), before it is dropped
 
@@ -141,7 +141,7 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 def forest(classes: DataFrame) -> DataFrame:
     """classes (class_id, n_shingles, sig) in every tree: (tree, key, class_id, n_shingles, sketch).
 
-    key: the tree's DEPTH signature values as big-endian bytes, which sort as numbers do. sketch: the lowest byte of every signature value.
+    key: the low 16 bits of the tree's DEPTH signature values. sketch: the low 4 bits of every signature value.
     """
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +150,10 @@ def forest(classes: DataFrame) -> DataFrame:
             if not n:
                 continue
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, HASHES)
-            sketch = pa.array([r.tobytes() for r in (sigs & np.uint32(0xFF)).astype(np.uint8)], pa.binary())
+            low = (sigs & np.uint32(0xF)).astype(np.uint8)
+            sketch = pa.array([r.tobytes() for r in (low[:, ::2] << 4 | low[:, 1::2])], pa.binary())
             for tree, order in enumerate(_ORDERS):
-                keys = sigs[:, order].astype(">u4")
+                keys = sigs[:, order].astype("<u2")  # wraps
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, tree, np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), batch.column("class_id"), batch.column("n_shingles"), sketch],
                     names=["tree", "key", "class_id", "n_shingles", "sketch"],
@@ -161,16 +162,25 @@ def forest(classes: DataFrame) -> DataFrame:
     return classes.select("class_id", "n_shingles", "sig").mapInArrow(plant, "tree int, key binary, class_id long, n_shingles long, sketch binary")
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the 4-bit fields of rows of words are equal."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return x.shape[1] * 16 - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
 def neighbours(rows: pd.DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left id, right id, agreement) of candidate pairs among rows in a tree's order: each row with the `reach` next ones, as far as they share LEAST_DEPTH values."""
     n = len(rows)
     ids, sizes, tree = rows["class_id"].to_numpy(np.int64), rows["n_shingles"].to_numpy(np.int64), rows["tree"].to_numpy(np.int64)
-    keys = np.frombuffer(b"".join(rows["key"]), ">u4").reshape(n, DEPTH)[:, :LEAST_DEPTH]
-    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(n, HASHES)
+    keys = np.frombuffer(b"".join(rows["key"]), "<u2").reshape(n, DEPTH)[:, :LEAST_DEPTH]
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(n, HASHES // 16)
     same = np.zeros(n, bool)  # with the row before: one region
     same[1:] = (keys[1:] == keys[:-1]).all(axis=1) & (tree[1:] == tree[:-1])
     region = np.cumsum(~same)
-    least = (percent / 100 - SLACK) * HASHES
+    share = percent / 100 - SLACK
+    least = (share + (1 - share) / 16) * HASHES  # one in 16 agrees by chance
     found = []
     for gap in range(1, min(reach, n - 1) + 1):
         a = np.flatnonzero(region[gap:] == region[:-gap])
@@ -179,7 +189,7 @@ def neighbours(rows: pd.DataFrame, percent: int = PERCENT, reach: int = NEIGHBOU
         b = a + gap
         near = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
         a, b = a[near], b[near]
-        agree = (sketch[a] == sketch[b]).sum(axis=1)
+        agree = agreement(sketch[a], sketch[b])
         ok = (agree >= least) & (ids[a] != ids[b])
         a, b = a[ok], b[ok]
         found.append((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), agree[ok]))
@@ -219,7 +229,6 @@ def candidates(trees: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS
             if head_left:
                 yield edge(rows.iloc[:head_left], part)
                 head_left -= min(head_left, len(rows))
-            new = len(rows)
             rows = pd.concat([held, rows], ignore_index=True) if held is not None else rows
             a, b, agree = neighbours(rows, percent, reach)
             n = len(a)
@@ -229,11 +238,10 @@ def candidates(trees: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS
                     names=["a", "b", "agree", "border", "tree", "key", "class_id", "n_shingles", "sketch"],
                 )
             held = tail = rows.iloc[-reach:].reset_index(drop=True)
-            del new
         if tail is not None:
             yield edge(tail, part + 1)
 
-    met = durable(ordered.mapInArrow(scan, f"{_PAIRS}, border long, {_EDGE}").select("*"))
+    met = durable(ordered.mapInArrow(scan, f"{_PAIRS}, border long, {_EDGE}"))
     inner = met.where("a is not null").select("a", "b", "agree")
 
     def stitch(rows: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, licenses, packing, sharding, topk, toxicity, warc
+from . import decontamination, langid, licenses, neardup, packing, sharding, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ QUALIFY row_number() OVER w <= 10
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_qgram_decontamination, op3_license_digests, op4_warc_revisits, op5_nra_topk, op7_bounded_ring, op8_language_id, op9_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_qgram_decontamination, op3_license_digests, op4_warc_revisits, op5_nra_topk, op6_lsh_forest_dedup, op7_bounded_ring, op8_language_id, op9_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
