@@ -6,8 +6,9 @@
    meets the neighbours that share its longest prefixes. How deep a shared prefix must be depends on the region: where
    few classes share the shallowest one, all that do are candidates, and where many do, the order itself brings the
    deepest ones together. A candidate pair must also agree in enough of the whole signature, by a wide margin.
-3. Candidate pairs are confirmed on the full sets. First each class's best pairs are, then in rounds all those that still join
-   different groups; a pair within a group already joined would change nothing.
+3. Candidate pairs are confirmed on the full sets. First each class's best pairs are, then all those that still join
+   different groups; a pair within a group already joined would change nothing. In a crowded region the order leaves
+   pairs out: there every class outside the region's main group meets, in blocks of bounded size, all classes of other groups.
 4. Groups are the connected components, found with large-star and small-star steps; hot keys only ever meet in sums
    that combine before the shuffle, or in joins that can be split.
 """
@@ -27,7 +28,8 @@ from .common import durable, text_blocks, utf8_block
 
 SHINGLE, HASHES, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 5, 128, 16, 8, 3, 12
 PERCENT = 85  # link: 100 * intersection >= PERCENT * union
-SLACK = 0.17  # a pair's signatures may agree by so much less than a link's (over 5 standard errors), before it is dropped
+SLACK = 0.13  # a pair's signatures may agree by so much less than a link's (4 standard errors), before it is dropped
+BLOCK = 512  # classes of a crowded region that one task compares with as many others
 
 _B = np.uint64(0x100000001B3)
 _RNG = np.random.default_rng(20)
@@ -170,17 +172,24 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x.shape[1] * 16 - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
 
 
+def least_agreement(percent: int) -> float:
+    """The equal fields that a candidate pair needs; one in 16 is equal by chance."""
+    share = percent / 100 - SLACK
+    return (share + (1 - share) / 16) * HASHES
+
+
+def regions_of(rows: pd.DataFrame) -> np.ndarray:
+    """One number for a tree and the first LEAST_DEPTH (3) values of a key."""
+    keys = np.frombuffer(b"".join(rows["key"]), "<u2").reshape(len(rows), DEPTH).astype(np.int64)
+    return rows["tree"].to_numpy(np.int64) << 48 | keys[:, 0] << 32 | keys[:, 1] << 16 | keys[:, 2]
+
+
 def neighbours(rows: pd.DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left id, right id, agreement) of candidate pairs among rows in a tree's order: each row with the `reach` next ones, as far as they share LEAST_DEPTH values."""
     n = len(rows)
-    ids, sizes, tree = rows["class_id"].to_numpy(np.int64), rows["n_shingles"].to_numpy(np.int64), rows["tree"].to_numpy(np.int64)
-    keys = np.frombuffer(b"".join(rows["key"]), "<u2").reshape(n, DEPTH)[:, :LEAST_DEPTH]
+    ids, sizes = rows["class_id"].to_numpy(np.int64), rows["n_shingles"].to_numpy(np.int64)
     sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(n, HASHES // 16)
-    same = np.zeros(n, bool)  # with the row before: one region
-    same[1:] = (keys[1:] == keys[:-1]).all(axis=1) & (tree[1:] == tree[:-1])
-    region = np.cumsum(~same)
-    share = percent / 100 - SLACK
-    least = (share + (1 - share) / 16) * HASHES  # one in 16 agrees by chance
+    region, least = regions_of(rows), least_agreement(percent)
     found = []
     for gap in range(1, min(reach, n - 1) + 1):
         a = np.flatnonzero(region[gap:] == region[:-gap])
@@ -199,57 +208,93 @@ def neighbours(rows: pd.DataFrame, percent: int = PERCENT, reach: int = NEIGHBOU
 
 
 _PAIRS = "a long, b long, agree int"
-_EDGE = "tree int, key binary, class_id long, n_shingles long, sketch binary"
+_FIELDS = [("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("border", pa.int64()), ("region", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("class_id", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary())]
+_MET = "a long, b long, agree int, border long, region long, tree int, key binary, class_id long, n_shingles long, sketch binary"
+
 
+def _batch(n: int, **columns) -> pa.RecordBatch:
+    """n rows of _MET with the given columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _FIELDS], names=[c for c, _ in _FIELDS])
 
-def candidates(trees: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, agree), a < b: the pairs that any tree's order brings together.
 
-    Every order is range-partitioned, so a region of any size is spread over tasks by its deeper values. Rows at the ends of
-    a partition meet those of the next in a second, small step.
+def scan_orders(trees: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS) -> DataFrame:
+    """Three kinds of rows of _MET: candidate pairs (a set), rows at the ends of partitions (border set), rows of regions that may be crowded (region set).
+
+    Every order is range-partitioned, so a region of any size is spread over tasks by its deeper values.
     """
     ordered = trees.repartitionByRange("tree", "key", "class_id").sortWithinPartitions("tree", "key", "class_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held, head_left, tail = None, reach, None
-
-        def edge(rows: pd.DataFrame, border: int) -> pa.RecordBatch:
-            n = len(rows)
-            empty = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [empty, empty, pa.nulls(n, pa.int32()), pa.array(np.full(n, border, np.int64)), *[pa.array(rows[c], t) for c, t in (("tree", pa.int32()), ("key", pa.binary()), ("class_id", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary()))]],
-                names=["a", "b", "agree", "border", "tree", "key", "class_id", "n_shingles", "sketch"],
-            )
-
+        held, head_left = None, reach
+        whole = lambda rows, **more: _batch(len(rows), **{c: rows[c] for c in ("tree", "key", "class_id", "n_shingles", "sketch")}, **more)
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = batch.to_pandas()
             if head_left:
-                yield edge(rows.iloc[:head_left], part)
-                head_left -= min(head_left, len(rows))
+                head = rows.iloc[:head_left]
+                head_left -= len(head)
+                yield whole(head, border=np.full(len(head), part))
+            region = regions_of(rows)
+            _, run, size = np.unique(region, return_inverse=True, return_counts=True)
+            crowd = (size[run] > reach) | (region == region[0]) | (region == region[-1])  # at the ends the run may go on
+            some = rows[crowd]
+            yield _batch(len(some), region=region[crowd], class_id=some["class_id"], n_shingles=some["n_shingles"], sketch=some["sketch"])
             rows = pd.concat([held, rows], ignore_index=True) if held is not None else rows
             a, b, agree = neighbours(rows, percent, reach)
-            n = len(a)
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(agree.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
-                    names=["a", "b", "agree", "border", "tree", "key", "class_id", "n_shingles", "sketch"],
-                )
-            held = tail = rows.iloc[-reach:].reset_index(drop=True)
-        if tail is not None:
-            yield edge(tail, part + 1)
+            if len(a):
+                yield _batch(len(a), a=a, b=b, agree=agree)
+            held = rows.iloc[-reach:].reset_index(drop=True)
+        if held is not None:
+            yield whole(held, border=np.full(len(held), part + 1))
+
+    return ordered.mapInArrow(scan, _MET)
+
 
-    met = durable(ordered.mapInArrow(scan, f"{_PAIRS}, border long, {_EDGE}"))
-    inner = met.where("a is not null").select("a", "b", "agree")
+def candidates(met: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS) -> DataFrame:
+    """(a, b, agree), a < b: the pairs of scan_orders, with those across the ends of partitions."""
 
     def stitch(rows: pd.DataFrame) -> pd.DataFrame:
         a, b, agree = neighbours(rows.sort_values(["tree", "key", "class_id"], kind="stable"), percent, reach)
         return pd.DataFrame({"a": a, "b": b, "agree": agree.astype(np.int32)})
 
     borders = met.where("border is not null").select("border", "tree", "key", "class_id", "n_shingles", "sketch").groupBy("border").applyInPandas(stitch, _PAIRS)  # 2 * reach rows each
-    return inner.unionByName(borders).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return met.where("a is not null").select("a", "b", "agree").unionByName(borders).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def crowded(met: DataFrame, groups: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS) -> DataFrame:
+    """(a, b): in regions of more classes than the orders compare, all candidate pairs of different groups (node, component).
+
+    The classes of a region's main group need not meet each other: they are joined already.
+    """
+    rows = met.where("region is not null").select("region", "class_id", "n_shingles", "sketch").join(groups, F.col("class_id") == F.col("node"), "left")
+    rows = durable(rows.select("region", "class_id", "n_shingles", "sketch", F.coalesce("component", "class_id").alias("group")))
+    by_group = rows.groupBy("region", "group").agg(F.count(F.lit(1)).alias("n"))
+    stats = by_group.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group")).alias("main"))
+    stats = stats.where((F.col("total") > reach + 1) & (F.col("groups") > 1))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    stats = durable(stats.select("region", F.col("main.group").alias("main"), blocks(F.col("total")).alias("nb"), blocks(F.col("total") - F.col("main.n")).alias("no")))
+    met_rows = rows.join(stats, "region")
+    at = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    odd = met_rows.where(F.col("group") != F.col("main")).withColumn("o", at("no")).withColumn("x", each("nb"))
+    every = met_rows.withColumn("x", at("nb")).withColumn("o", each("no"))
+    least = least_agreement(percent)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            words = lambda rows: np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+            sketch, ids, sizes, group = words(right), right["class_id"].to_numpy(np.int64), right["n_shingles"].to_numpy(np.int64), right["group"].to_numpy(np.int64)
+            for one, own, n, g in zip(words(left), left["class_id"], left["n_shingles"], left["group"]):
+                can = np.flatnonzero((group != g) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                can = can[agreement(sketch[can], one[None, :]) >= least]
+                out_a.append(np.minimum(ids[can], own)), out_b.append(np.maximum(ids[can], own))
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    columns = ["region", "o", "x", "class_id", "n_shingles", "sketch", "group"]
+    return odd.select(*columns).toDF(*columns).groupBy("region", "o", "x").cogroup(every.select(*columns).toDF(*columns).groupBy("region", "o", "x")).applyInPandas(meet, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -310,7 +355,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     """
     rows = durable(signed(docs, size).select("doc_id", "n_shingles", "d1", "d2", "sig"))
     classes = durable(rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("first")).select("d1", "d2", "n_shingles", F.col("first.doc_id").alias("class_id"), F.col("first.sig").alias("sig")))
-    pairs = durable(candidates(forest(classes), percent))
+    met = durable(scan_orders(forest(classes), percent))
+    pairs = durable(candidates(met, percent))
     # each class's two best pairs first
     ends = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
     best = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("x"), F.min(F.struct(-F.col("agree"), "a", "b")).alias("y"))
@@ -321,8 +367,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     # then all that join different groups
     label = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     labelled = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    rest = durable(rest)
+    rest = labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").union(crowded(met, groups, percent)).distinct()
+    rest = durable(rest.join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         groups = components(durable(links.union(confirmed(rest, docs, percent, size))))
     named = classes.select("d1", "d2", "n_shingles", "class_id").join(groups, F.col("class_id") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
