@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, neardup, packing, sharding, topk, toxicity, warc
+from . import decontamination, langid, licenses, lm, neardup, packing, sharding, topk, toxicity, warc
+from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,10 @@ def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op1_lbl_nce_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+
+
 def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +76,7 @@ QUALIFY row_number() OVER w <= 10
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_qgram_decontamination, op3_license_digests, op4_warc_revisits, op5_nra_topk, op6_lsh_forest_dedup, op7_bounded_ring, op8_language_id, op9_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_lbl_nce_scores, op2_qgram_decontamination, op3_license_digests, op4_warc_revisits, op5_nra_topk, op6_lsh_forest_dedup, op7_bounded_ring, op8_language_id, op9_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
