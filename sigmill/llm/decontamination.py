@@ -237,7 +237,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows in which a benchmark item occurs."""
-    dirty = contamination(docs, benchmark).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
+    """docs, with all their columns, without the rows in which a benchmark item occurs."""
+    for ids, texts in item_blocks(benchmark):
+        shipped = docs.sparkSession.sparkContext.broadcast((ids, texts))  # about BLOCK_CHARS characters
+
+        def drop(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            items = Items(*shipped.value, q=q, rate=rate)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for row, _, texts in text_blocks(batch):
+                    clean[[row + t for t, *_ in matches(items, texts.to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(drop, docs.schema)
+    return docs

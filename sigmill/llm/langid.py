@@ -147,40 +147,55 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     return Model(list(sizes), x, sample["lang"].to_numpy())
 
 
+def verdicts(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """(predicted language, score) of the texts of a batch."""
+    langs, scores = [np.zeros(0, dtype=object)], [np.zeros(0)]
+    for _, n, texts in text_blocks(batch):
+        raw, at = utf8_block(texts)
+        ascii_letter = np.concatenate([[0], np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122))])
+        has = ascii_letter[at[1:]] > ascii_letter[at[:-1]]
+        for k in np.flatnonzero(~has & (np.diff(at) > 0)):
+            has[k] = any(c.isalpha() for c in texts[int(k)].as_py())
+        pred, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
+        if model is not None and len(raw):
+            grams, use = trigrams(raw, at)
+            number = np.concatenate([[0], np.cumsum(use)])
+            number = np.maximum(1, number[at[1:]] - number[at[:-1]])
+            margins = np.empty((n, len(model.machines)))
+            for m, w in enumerate(model.machines):
+                sums = np.concatenate([[0.0], np.cumsum(np.where(use, w[:-1][grams], 0), dtype=np.float64)])
+                margins[:, m] = (sums[at[1:]] - sums[at[:-1]]) / number * SCALE + w[-1]
+            best, sure = model.decide(margins)
+            pred[has], score[has] = np.array(model.langs, dtype=object)[best[has]], sure[has]
+        langs.append(pred)
+        scores.append(score)
+    return np.concatenate(langs), np.concatenate(scores)
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs without the text, with lang_pred and score. A null text, or one without a letter, is `und` with score 0; so is all without a model."""
     names = [c for c in docs.columns if c != "text"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [], []
-            for _, n, texts in text_blocks(batch):
-                raw, at = utf8_block(texts)
-                has = np.zeros(n, bool)
-                ascii_letter = np.concatenate([[0], np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122))])
-                has |= ascii_letter[at[1:]] > ascii_letter[at[:-1]]
-                for k in np.flatnonzero(~has & (np.diff(at) > 0)):
-                    has[k] = any(c.isalpha() for c in texts[int(k)].as_py())
-                pred, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
-                if model is not None and len(raw):
-                    grams, use = trigrams(raw, at)
-                    number = np.concatenate([[0], np.cumsum(use)])
-                    number = np.maximum(1, number[at[1:]] - number[at[:-1]])
-                    margins = np.empty((n, len(model.machines)))
-                    for m, w in enumerate(model.machines):
-                        sums = np.concatenate([[0.0], np.cumsum(np.where(use, w[:-1][grams], 0), dtype=np.float64)])
-                        margins[:, m] = (sums[at[1:]] - sums[at[:-1]]) / number * SCALE + w[-1]
-                    best, sure = model.decide(margins)
-                    pred[has], score[has] = np.array(model.langs, dtype=object)[best[has]], sure[has]
-                langs += pred.tolist()
-                scores.append(score)
-            scores = np.concatenate(scores) if scores else np.zeros(0)
+            langs, scores = verdicts(batch, model)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(langs, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
     return docs.mapInArrow(predict, f"{schema}, lang_pred string, score double")
 
 
+def reject(docs: DataFrame, model: Model | None, bar: float = 0.35) -> DataFrame:
+    """docs, with all their columns, without the rows of no language (`und`) or whose language scores below `bar`."""
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = verdicts(batch, model)
+            yield batch.filter(pa.array((langs != UNKNOWN) & (scores >= bar), pa.bool_()))
+
+    return docs.mapInArrow(drop, docs.schema)
+
+
 def classify(docs: DataFrame, held: int = 2, folds: int = 4) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from rows whose crc32(doc_id as text) mod folds is not `held`, applied to all."""
     fold_of = crc_mod(F.col("doc_id"), folds)

@@ -196,6 +196,17 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.mapInArrow(probability, f"{schema}, score double")
 
 
+def reject(docs: DataFrame, lexicon: Lexicon, bar: float = 0.3) -> DataFrame:
+    """docs, with all their columns, without the rows that score `bar` or more."""
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = np.array([lexicon.features(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, 4)
+            yield batch.filter(pa.array(lexicon.score(f) < bar))
+
+    return docs.mapInArrow(drop, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, held: int = 2, folds: int = 4, bar: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted): learned from rows whose crc32(doc_id as text) mod folds is not `held`, applied to all."""
     fold_of = crc_mod(F.col("doc_id"), folds)
