@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, text_blocks
 
-CAPACITY, END_ID, SALTS, CACHED_WORDS = 4096, 1, 64, 300_000
+CAPACITY, END_ID, SALTS, CACHED_WORDS, MARK = 4096, 1, 64, 600_000, "\x1c"
 
 
 class Tree:
@@ -93,46 +93,75 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 class Words:
-    """Ids of texts from ids of their words: no token crosses white space, so each word is encoded once while cached."""
+    """Ids of texts from ids of their words: no token crosses white space, so each word is encoded once while cached.
+
+    Words are cached in ASCII lower case (the tokenizer lowers case itself) and without a last `.` or `,` behind a letter
+    or digit, which is a token of its own.
+    """
+
+    ENDS = ("", ".", ",")
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
+        mark = encode([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.add(list(self.ENDS))
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row, and how many each has. Many words go through the tokenizer as one text, with marks between them."""
+        if self.mark is None or any(MARK in w for w in words):
+            ids = self.encode(words)
+            lengths = np.fromiter(map(len, ids), np.int64, len(words))
+            return np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum())), lengths
+        joined = [f" {MARK} ".join(words[k : k + 1024]) + f" {MARK}" for k in range(0, len(words), 1024)]
+        ids = np.concatenate([np.array(x, np.uint32) for x in self.encode(joined)]) if joined else np.zeros(0, np.uint32)
+        at = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+
+    def add(self, new: list[str]) -> None:
+        flat, lengths = self.encoded(new)
+        base, n = len(self.known), len(new)
+        while base + n > len(self.starts):
+            self.starts, self.lengths = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.lengths, self.lengths * 0])
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat * 0])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.lengths[base : base + n] = lengths
+        self.starts[base : base + n] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
+        self.known.update(zip(new, range(base, base + n)))
 
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHED_WORDS:
             self.clear()
         new = [w for w in words if w not in self.known]
         if new:
-            ids = self.encode(new)
-            base, n = len(self.known), len(new)
-            while base + n > len(self.starts):
-                self.starts, self.lengths = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.lengths, self.lengths * 0])
-            lengths = np.fromiter(map(len, ids), np.int64, n)
-            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum()))
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, self.flat * 0])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.lengths[base : base + n] = lengths
-            self.starts[base : base + n] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(flat)
-            self.known.update(zip(new, range(base, base + n)))
+            self.add(new)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and the n + 1 offsets of the texts."""
-        parts = pc.ascii_split_whitespace(texts)
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        offsets = np.asarray(parts.offsets.to_numpy(zero_copy_only=False), dtype=np.int64)
+        offsets = offsets - offsets[0]
         words = parts.flatten().dictionary_encode()
-        place = self.places(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        if not len(words):
+            return np.zeros(0, np.uint32), offsets * 0
+        each = words.dictionary
+        ended = pc.match_substring_regex(each, "[a-z0-9][.,]$")
+        stems = pc.if_else(ended, pc.utf8_slice_codeunits(each, 0, -1), each).dictionary_encode()
+        end = np.where(ended.to_numpy(zero_copy_only=False), np.where(pc.ends_with(each, ".").to_numpy(zero_copy_only=False), 1, 2), 0)
+        stem = self.places(stems.dictionary.to_pylist())[stems.indices.to_numpy(zero_copy_only=False)]
+        place = np.column_stack([stem, end])[words.indices.to_numpy(zero_copy_only=False)].ravel()
         lengths = self.lengths[place]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.starts[place] - ends[:-1], lengths) + np.arange(ends[-1])]
-        offsets = np.asarray(parts.offsets.to_numpy(zero_copy_only=False), dtype=np.int64)
-        return ids, ends[offsets - offsets[0]]
+        return ids, ends[2 * offsets]
 
 
 _WORDS: dict[str, Words] = {}
