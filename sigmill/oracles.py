@@ -238,7 +238,7 @@ def _share(test: str) -> str:
 
 MACRO = [
     "mo AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, " + ", ".join([
-        "CASE WHEN (year(CAST(date_trunc('month', o_orderdate) AS DATE)) * 12 + month(CAST(date_trunc('month', o_orderdate) AS DATE))) % 7 <> 0 THEN avg(o_totalprice / 1e4) END AS vix",
+        "CASE WHEN (year(CAST(date_trunc('month', o_orderdate) AS DATE)) * 12 + month(CAST(date_trunc('month', o_orderdate) AS DATE))) % 7 <> 0 THEN avg(o_totalprice / 1.25e4) END AS vix",
         _share("o_orderpriority LIKE '1%'") + " AS treasury_3m_yield", _share("o_orderpriority LIKE '2%'") + " AS treasury_2y_yield", _share("o_orderpriority LIKE '3%'") + " AS treasury_10y_yield", _share("o_orderstatus = 'F'") + " AS high_yield_spread",
         _share("o_orderpriority LIKE '4%'") + " AS baa_yield", _share("o_orderpriority LIKE '5%'") + " AS aaa_yield", "CAST(count(*) AS DOUBLE) AS dxy", "max(o_totalprice) / 1e4 AS wti_oil",
     ]) + " FROM orders GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE))",
@@ -274,3 +274,260 @@ def fundamentals_sql() -> str:
 
 def ratios_sql() -> str:
     return query(SUPPLIERS + FUNDAMENTALS, [], "SELECT date, ticker, " + ", ".join(f"{rounded(v, 4)} AS {n}" for n, v in RATIOS.items()) + " FROM f")
+
+
+# --- portfolios ------------------------------------------------------------------------------------------------------------
+def book_ctes(
+    signal: str, stages: list[str] = [], base: list[str] = SUPPLIERS, neutralization: str = "market", truncation: float = 0.05, book: float = 2e7, bps: float = 5.0, decay_: int = 0, lag_: int = 1, spread: str = "0", impact: str = "0", borrow_bps: float = 0.0,
+    segment: str = "CASE WHEN floor(dates * 0.7e0) > 0 AND floor(dates * 0.7e0) < dates AND place > floor(dates * 0.7e0) THEN 'oos' ELSE 'is' END", by: tuple[str, ...] = ("segment",), extra: str = "", where: str = "TRUE", source: str | None = None, mask: str = "signal", first: str = "p",
+) -> list[str]:
+    """CTEs up to `book` and `daily` for one signal over p. by: the columns of a run; `window`s come with `source`."""
+    keys = ", ".join(by)
+    own, day = f"PARTITION BY {keys}, ticker ORDER BY date", f"PARTITION BY {keys}, date"
+    out, last = list(base), first
+    for k, stage in enumerate(stages):
+        out.append(f"g{k} AS (SELECT *, {stage} FROM {last})")
+        last = f"g{k}"
+    cells = [c for c in by if c not in ("segment", "win")]
+    cell_keys = "".join(f"{c}, " for c in cells)
+    if source is None:
+        out.append(f"sig AS (SELECT *, {signal} AS signal FROM {last})")
+    else:
+        out.append(f"sig AS ({source.format(last=last)})")
+    out.append(f"sel AS (SELECT * FROM (SELECT *, count(signal) OVER (PARTITION BY {cell_keys}date) * 1e0 / count(*) OVER (PARTITION BY {cell_keys}date) AS share FROM sig WHERE {where}) WHERE share >= 0.5)")
+    out.append(f"placed AS (SELECT *, row_number() OVER (PARTITION BY {cell_keys}ticker ORDER BY date) AS place, count(*) OVER (PARTITION BY {cell_keys}ticker) AS dates FROM sel)")
+    out.append(f"seg AS (SELECT *, {segment} AS segment FROM placed {extra})")
+    terms = " + ".join(f"(lag(masked, {decay_ - k}) OVER ({own})) * {float(k)!r}" if k < decay_ else f"masked * {float(k)!r}" for k in range(1, decay_ + 1))
+    decayed = f"({terms}) / {decay_ * (decay_ + 1) / 2!r}" if decay_ else "masked"
+    centre = {"none": "s1", "market": f"s1 - avg(s1) OVER ({day})"}.get(neutralization, f"s1 - avg(s1) OVER ({day}, coalesce({neutralization}, 'Unknown'))")
+    out += [
+        f"b0 AS (SELECT *, {mask} AS masked FROM seg)", f"b1 AS (SELECT *, {decayed} AS s1 FROM b0)", f"b2 AS (SELECT *, {centre} AS s2 FROM b1)",
+        f"b3 AS (SELECT *, least(greatest(coalesce(s2 / nullif(sum(abs(s2)) OVER ({day}), 0), 0), {-truncation!r}), {truncation!r}) AS weight FROM b2)", f"b4 AS (SELECT *, weight * {book!r} AS position FROM b3)",
+        f"b5 AS (SELECT *, lag(position) OVER ({own}) AS before, lag(position, {lag_}) OVER ({own}) AS held FROM b4)", "b6 AS (SELECT *, coalesce(abs(position - before), 0) AS trade FROM b5)",
+        f"book AS (SELECT *, coalesce(held * returns, 0) AS gross, trade * {bps / 1e4!r} AS flat, {spread} AS spread, {impact} AS impact, greatest(coalesce(-before, 0), 0) * {borrow_bps / (1e4 * 252)!r} AS borrow FROM b6)",
+        f"d0 AS (SELECT {keys}, date, sum(gross) AS gross, sum(flat) AS flat, sum(spread) AS spread, sum(impact) AS impact, sum(borrow) AS borrow, sum(trade) AS turnover, sum(greatest(position, 0)) AS long, sum(least(position, 0)) AS short, sum(abs(position)) AS gross_exposure FROM book GROUP BY {keys}, date)",
+        "d1 AS (SELECT *, gross - flat - spread - impact - borrow AS net FROM d0)",
+        f"daily AS (SELECT *, net / {book!r} AS ret, sum(net) OVER (PARTITION BY {keys} ORDER BY date) AS cumulative FROM d1)",
+    ]
+    return out
+
+
+REVERSAL_STAGES = [f"{lag(C, 5)} AS c5", "close - c5 AS dl"]
+REVERSAL = f"-({rank_sql('dl')})"  # -rank(delta(close, 5))
+DAILY = ["gross", "flat", "spread", "impact", "borrow", "net", "cumulative", "turnover", "long", "short", "gross_exposure"]
+
+
+def select_daily(ctes: list[str], by: tuple[str, ...] = ("segment",), names: dict[str, str] | None = None) -> str:
+    keys = ", ".join(f"{b} AS {(names or {}).get(b, b)}" for b in by)
+    return f"WITH {', '.join(ctes)} SELECT {keys}, date, {', '.join(f'{rounded(c, 2)} AS {c}' for c in DAILY)}, {rounded('ret', 8)} AS ret FROM daily"
+
+
+def base_book() -> list[str]:
+    return book_ctes(REVERSAL, REVERSAL_STAGES)
+
+
+def book_sql(ctes: list[str]) -> str:
+    return f"WITH {', '.join(ctes)} SELECT segment, date, ticker, {rounded('s2', 6)} AS signal, {rounded('weight', 8)} AS weight, {rounded('position', 2)} AS position, {rounded('trade', 2)} AS trade FROM book"
+
+
+DV = "close * volume AS dv"
+PORTFOLIOS: dict[str, list[str]] = {
+    "portfolio_sector": book_ctes(REVERSAL, REVERSAL_STAGES, neutralization="sector"),
+    "portfolio_sub_industry": book_ctes(REVERSAL, REVERSAL_STAGES, neutralization="sub_industry", segment="'is'"),
+    "portfolio_raw_lagged": book_ctes(REVERSAL, REVERSAL_STAGES, neutralization="none", lag_=3, truncation=0.01),
+    "portfolio_decay": book_ctes(REVERSAL, REVERSAL_STAGES, decay_=4),
+    "portfolio_dates_universe": book_ctes(REVERSAL, REVERSAL_STAGES, where="date BETWEEN DATE '1996-03-01' AND DATE '2000-06-01' AND ticker IN ('S1', 'S2', 'S3', 'S5', 'S8', 'S13', 'S21', 'S34', 'S55', 'S89')", truncation=0.2),
+    "portfolio_costs": book_ctes(REVERSAL, [*REVERSAL_STAGES, f"{agg('stddev_samp', R, 20)} AS rv, {DV}"], spread="trade * 0.00025e0", impact="0.1e0 * coalesce(rv, 0) * trade * sqrt(coalesce(trade / CASE WHEN dv > 0 THEN dv END, 0))", borrow_bps=50.0),
+    "portfolio_corwin_schultz": book_ctes(REVERSAL, [*REVERSAL_STAGES, f"{lag('high')} AS ph, {lag('low')} AS pl", "pow(ln(ph / pl), 2) + pow(ln(high / low), 2) AS beta, CASE WHEN ph IS NOT NULL AND high IS NOT NULL THEN pow(ln(greatest(ph, high) / least(pl, low)), 2) END AS gamma", "(sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2e0)) - sqrt(gamma / (3 - 2 * sqrt(2e0))) AS al", "2 * (exp(al) - 1) / (1 + exp(al)) AS cs"], spread="trade * greatest(coalesce(CASE WHEN cs > 0 THEN cs END, 0), 0) * 0.5e0"),
+    "portfolio_liquid": book_ctes(REVERSAL, [*REVERSAL_STAGES, DV], mask="CASE WHEN avg(dv) OVER (PARTITION BY segment, ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 2000000 THEN signal END"),
+    "portfolio_point_in_time": book_ctes(REVERSAL, [*REVERSAL_STAGES], mask="CASE WHEN ticker IN ('S3', 'S7') AND date < DATE '1998-01-01' THEN NULL ELSE signal END"),
+    "portfolio_point_in_time_zero": book_ctes(REVERSAL, [*REVERSAL_STAGES], mask="CASE WHEN ticker IN ('S3', 'S7') AND date < DATE '1998-01-01' THEN 0 ELSE signal END"),
+}
+
+# --- analytics over the base book --------------------------------------------------------------------------------------------
+SHARPE = "coalesce(avg({r}) / sqrt(CASE WHEN var_samp({r}) > 1e-24 THEN var_samp({r}) END) * sqrt(252e0), 0)"
+
+
+def sharpe_sql(r: str = "ret") -> str:
+    return SHARPE.format(r=r)
+
+
+EQUITY = [
+    "e0 AS (SELECT *, 1 + sum(ret) OVER (PARTITION BY segment ORDER BY date) AS equity FROM daily)",
+    "e1 AS (SELECT *, max(equity) OVER (PARTITION BY segment ORDER BY date) AS peak FROM e0)",
+    "eq AS (SELECT *, equity / peak - 1 AS drawdown, equity < peak AS underwater FROM e1)",
+    "bench AS (SELECT date, coalesce(avg(returns), 0) AS b FROM p GROUP BY date)",
+]
+SUMMARY = (
+    f"SELECT segment, count(*) AS n_days, {rounded(sharpe_sql())} AS sharpe, {rounded('sum(ret)')} AS total_return, {rounded('CASE WHEN 1 + sum(ret) > 0 THEN ln(1 + sum(ret)) * 252e0 / count(*) ELSE 0 END')} AS annual_return, "
+    f"{rounded('stddev_samp(ret) * sqrt(252e0)')} AS annual_vol, {rounded('min(drawdown)')} AS max_drawdown, {rounded('coalesce(avg(ret) / sqrt(var_samp(CASE WHEN ret < 0 THEN ret END)) * sqrt(252e0), 0)')} AS sortino_ratio, "
+    f"{rounded('avg(turnover)', 1)} AS avg_turnover, {rounded('avg(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END)')} AS win_rate, {rounded('sum(CASE WHEN net > 0 THEN net END) / -sum(CASE WHEN net < 0 THEN net END)')} AS profit_factor, "
+    f"{rounded('abs(quantile_cont(ret, 0.95)) / abs(quantile_cont(ret, 0.05))')} AS tail_ratio, {rounded('100 * sum(flat + spread + impact + borrow) / abs(sum(gross))', 3)} AS cost_pct_of_gross, "
+    f"{rounded('avg(long) / max(gross_exposure)')} AS long_exposure, {rounded('avg(short) / max(gross_exposure)')} AS short_exposure, {rounded('covar_samp(ret, b) / var_samp(b)')} AS beta, "
+    f"{rounded('avg(ret - b) / stddev_samp(ret - b) * sqrt(252e0)')} AS information_ratio, {rounded('skewness(ret)', 4)} AS skew, {rounded('kurtosis(ret) + 3', 4)} AS kurt FROM eq JOIN bench USING (date) GROUP BY segment"
+)
+DURATIONS = (
+    "SELECT s.segment, coalesce(coalesce(avg(CASE WHEN NOT cur THEN days END), avg(days)), 0) * 1e0 AS avg_dd_days, coalesce(max(days), 0) AS max_dd_days, coalesce(max(CASE WHEN cur THEN days END), 0) AS current_dd_days FROM (SELECT DISTINCT segment FROM daily) s LEFT JOIN "
+    "(SELECT segment, run, count(*) AS days, max(date) = max(last) AS cur FROM (SELECT *, sum(CASE WHEN underwater THEN 0 ELSE 1 END) OVER (PARTITION BY segment ORDER BY date) AS run, max(date) OVER (PARTITION BY segment) AS last FROM eq) WHERE underwater GROUP BY segment, run) r ON r.segment = s.segment GROUP BY s.segment"
+)
+
+
+def rank_within(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER (PARTITION BY segment, date) > 1 THEN rank() OVER (PARTITION BY segment, date, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY segment, date, {x}) - 1) / 2e0 END"
+
+
+def corr_agg(x: str, y: str) -> str:
+    a, b = (f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {v} END" for v in (x, y))
+    return f"covar_samp({a}, {b}) / CASE WHEN stddev_samp({a}) * stddev_samp({b}) > 1e-9 THEN stddev_samp({a}) * stddev_samp({b}) END"
+
+
+HORIZONS = (1, 2, 3, 5, 10, 21)
+IC = [
+    "i0 AS (SELECT segment, date, ticker, s2 AS signal, " + ", ".join(f"lead(returns, {h}) OVER (PARTITION BY segment, ticker ORDER BY date) AS f{h}" for h in HORIZONS) + " FROM book)",
+    f"i1 AS (SELECT segment, date, ticker, {rank_within('signal')} AS r0, " + ", ".join(f"{rank_within(f'f{h}')} AS r{h}" for h in HORIZONS) + " FROM i0)",
+    "ic AS (" + " UNION ALL ".join(f"SELECT segment, date, {h} AS horizon, {corr_agg('r0', f'r{h}')} AS ic FROM i1 GROUP BY segment, date" for h in HORIZONS) + ")",
+    "ics AS (SELECT segment, horizon, avg(ic) AS ic, avg(ic) / stddev_samp(ic) AS ratio, avg(CASE WHEN ic > 0 THEN 1e0 ELSE 0e0 END) AS pos, count(*) AS n_days FROM ic WHERE ic IS NOT NULL GROUP BY segment, horizon)",
+]
+DECAY = (
+    "SELECT s.segment, {hl} AS half_life_days, {r2} AS r_squared FROM (SELECT DISTINCT segment FROM daily) s LEFT JOIN (SELECT segment, count(*) AS n, regr_slope(y, x) AS sl, regr_r2(y, x) AS r2 FROM "
+    "(SELECT segment, horizon * 1e0 AS x, ln(v) AS y FROM (SELECT segment, horizon, ic * first_value(sign(ic)) OVER (PARTITION BY segment ORDER BY horizon) AS v FROM ics WHERE ic <> 0) WHERE v > 0) GROUP BY segment) f ON f.segment = s.segment"
+).replace("{hl}", rounded(f"CASE WHEN n >= 2 AND sl < 0 THEN -{LN2} / sl END", 4)).replace("{r2}", rounded("CASE WHEN n >= 2 AND sl < 0 THEN f.r2 END", 5))
+QUANTILES = (
+    "SELECT segment, q AS quantile, {m} AS mean_return, count(*) AS n_days FROM (SELECT segment, date, q, avg(f1) AS r FROM (SELECT *, 1 + CAST(s >= e[1] AS INT) + CAST(s >= e[2] AS INT) + CAST(s >= e[3] AS INT) + CAST(s >= e[4] AS INT) AS q FROM "
+    "(SELECT segment, date, signal AS s, f1, quantile_cont(signal, [0.2, 0.4, 0.6, 0.8]) OVER (PARTITION BY segment, date) AS e, count(*) OVER (PARTITION BY segment, date) AS n FROM i0 WHERE signal IS NOT NULL AND f1 IS NOT NULL) WHERE n >= 5) GROUP BY segment, date, q) GROUP BY segment, q"
+).replace("{m}", rounded("avg(r)"))
+STABILITY = f"SELECT segment, {rounded('avg(c)')} AS rank_stability FROM (SELECT segment, date, {corr_agg('r0', 'rb')} AS c FROM (SELECT *, lag(r0) OVER (PARTITION BY segment, ticker ORDER BY date) AS rb FROM i1) GROUP BY segment, date) GROUP BY segment"
+EXPOSURE = ["x0 AS (SELECT segment, coalesce(sector, 'Unknown') AS g, date, sum(weight) AS net, sum(abs(weight)) AS gr, avg(returns) AS m, coalesce(sum(weight * returns), 0) AS act FROM book GROUP BY 1, 2, 3)", "xt AS (SELECT segment, coalesce(sector, 'Unknown') AS g, count(DISTINCT ticker) AS n_tickers FROM book GROUP BY 1, 2)",
+            "xe AS (SELECT segment, g, avg(net) AS avg_net, avg(gr) AS avg_gross, coalesce(sum(net * m), 0) AS alloc, sum(act) AS total FROM x0 GROUP BY segment, g)"]
+SIZES = [
+    "z0 AS (SELECT segment, date, ticker, ticker_ord, weight, close * volume AS sz FROM book)",
+    "z1 AS (SELECT *, count(*) OVER (PARTITION BY segment, date) AS n, row_number() OVER (PARTITION BY segment, date ORDER BY sz, ticker_ord) - 1 AS pl, sum(greatest(weight, 0)) OVER (PARTITION BY segment, date) AS lt, sum(greatest(-weight, 0)) OVER (PARTITION BY segment, date) AS st FROM z0 WHERE sz > 0)",
+    "z2 AS (SELECT segment, date, CAST(floor(pl * 10 / n) AS INT) AS bucket, sum(greatest(weight, 0) / CASE WHEN lt > 0 THEN lt END) AS l, sum(greatest(-weight, 0) / CASE WHEN st > 0 THEN st END) AS s FROM z1 WHERE n >= 10 GROUP BY 1, 2, 3)",
+    "z3 AS (SELECT segment, bucket, coalesce(avg(l), 0) AS ls, coalesce(avg(s), 0) AS ss FROM z2 GROUP BY segment, bucket)",
+]
+REGIMES = "(VALUES ('first_rates', DATE '1995-06-01', DATE '1996-06-01'), ('mid', DATE '1997-01-01', DATE '1998-06-01'), ('late', DATE '2000-01-01', DATE '2001-10-01'), ('empty', DATE '2008-01-01', DATE '2009-01-01'), ('short', DATE '1999-01-01', DATE '1999-02-01')) AS t(name, s, e)"
+STRESS = (
+    "SELECT segment, name, count(*) AS n_days, {sh} AS sharpe, {tot} AS total_return, {dd} AS max_drawdown, {hit} AS hit_rate FROM (SELECT *, equity / max(equity) OVER (PARTITION BY segment, name ORDER BY date) - 1 AS drawdown FROM "
+    f"(SELECT segment, name, date, ret, 1 + sum(ret) OVER (PARTITION BY segment, name ORDER BY date) AS equity FROM daily JOIN {REGIMES} ON date BETWEEN s AND e)) GROUP BY segment, name HAVING count(*) >= 5"
+).replace("{sh}", rounded(sharpe_sql())).replace("{tot}", rounded("sum(ret)")).replace("{dd}", rounded("min(drawdown)")).replace("{hit}", rounded("avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END)"))
+
+
+def analytics() -> dict[str, str]:
+    w = lambda extra, select: f"WITH {', '.join([*base_book(), *extra])} {select}"
+    long, short = "CASE WHEN avg_net > 0 THEN avg_net END", "CASE WHEN avg_net < 0 THEN avg_net END"
+    full63 = "count(ret) OVER w = 63"
+    return {
+        "analytics_summary": w(EQUITY, SUMMARY),
+        "analytics_drawdowns": w(EQUITY, f"SELECT segment, date, {rounded('equity', 6)} AS equity, {rounded('drawdown', 6)} AS drawdown, underwater FROM eq"),
+        "analytics_drawdown_durations": w(EQUITY, DURATIONS),
+        "analytics_rolling_sharpe": w([], f"SELECT segment, date, {rounded(f'CASE WHEN {full63} THEN avg(ret) OVER w / sqrt(CASE WHEN var_samp(ret) OVER w > 1e-24 THEN var_samp(ret) OVER w END) * sqrt(252e0) END')} AS rolling_sharpe FROM daily WINDOW w AS (PARTITION BY segment ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)"),
+        "analytics_monthly": w([], f"SELECT segment, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, {rounded('sum(ret)', 6)} AS ret FROM daily GROUP BY 1, 2, 3"),
+        "analytics_yearly": w([], f"SELECT segment, CAST(year(date) AS INT) AS year, {rounded(sharpe_sql())} AS sharpe, {rounded('sum(ret)', 6)} AS annual_return, count(*) AS n_days FROM daily GROUP BY 1, 2"),
+        "analytics_positive_months": w([], f"SELECT segment, {rounded('avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END)')} AS positive_months_pct FROM (SELECT segment, year(date), month(date), sum(ret) AS r FROM daily GROUP BY 1, 2, 3) GROUP BY segment"),
+        "analytics_ic_series": w(IC, f"SELECT segment, date, horizon, {rounded('ic')} AS ic FROM ic"),
+        "analytics_ic_summary": w(IC, f"SELECT segment, horizon, {rounded('ic')} AS ic, {rounded('ratio * sqrt(252e0)', 4)} AS icir, {rounded('ratio * sqrt(n_days)', 4)} AS ic_tstat, {rounded('pos')} AS ic_pct_positive, n_days FROM ics"),
+        "analytics_ic_bands": w(IC, f"SELECT segment, date, {rounded('CASE WHEN count(*) OVER w = 21 THEN avg(ic) OVER w END')} AS mean, {rounded('CASE WHEN count(*) OVER w = 21 THEN avg(ic) OVER w - 2 * stddev_samp(ic) OVER w END')} AS low, {rounded('CASE WHEN count(*) OVER w = 21 THEN avg(ic) OVER w + 2 * stddev_samp(ic) OVER w END')} AS high FROM ic WHERE ic IS NOT NULL AND horizon = 1 WINDOW w AS (PARTITION BY segment ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)"),
+        "analytics_alpha_decay": w(IC, DECAY),
+        "analytics_quantiles": w(IC, QUANTILES),
+        "analytics_rank_stability": w(IC, STABILITY),
+        "analytics_group_exposure": w(EXPOSURE, f"SELECT segment, g AS \"group\", {rounded('avg_net', 7)} AS avg_net, {rounded('avg_gross', 7)} AS avg_gross, n_tickers FROM xe JOIN xt USING (segment, g)"),
+        "analytics_headline": w(EXPOSURE, f"SELECT segment, arg_max(g, {long}) AS max_long, {rounded(f'coalesce(max({long}), 0)', 7)} AS max_long_exposure, arg_min(g, {short}) AS max_short, {rounded(f'coalesce(min({short}), 0)', 7)} AS max_short_exposure FROM xe GROUP BY segment"),
+        "analytics_group_series": w(EXPOSURE, f"SELECT segment, max(date) AS date, g AS \"group\", {rounded('avg(net)', 7)} AS net FROM (SELECT *, floor((dense_rank() OVER (PARTITION BY segment ORDER BY date) - 1) / ceil(nd / 20e0)) AS run FROM (SELECT *, (SELECT count(DISTINCT date) FROM x0 y WHERE y.segment = x0.segment) AS nd FROM x0)) GROUP BY segment, run, g"),
+        "analytics_size_exposure": w([*SIZES, f"zc AS (SELECT segment, date, {corr_agg('weight', 'lsz')} AS c, count(CASE WHEN weight IS NOT NULL AND lsz IS NOT NULL THEN 1 END) AS n FROM (SELECT *, ln(CASE WHEN sz > 0 THEN sz END) AS lsz FROM z0) GROUP BY segment, date)"], f"SELECT segment, {rounded('avg(c)')} AS avg_corr, count(*) AS n_days FROM zc WHERE n >= 3 AND c IS NOT NULL GROUP BY segment"),
+        "analytics_size_distribution": w(SIZES, f"SELECT segment, bucket, {rounded('ls', 6)} AS long_share, {rounded('ss', 6)} AS short_share FROM z3"),
+        "analytics_size_tilt": w(SIZES, f"SELECT segment, {rounded('sum(bucket * ls)')} AS long_avg, {rounded('sum(bucket * ss)')} AS short_avg, {rounded('sum(bucket * ls) - sum(bucket * ss)')} AS tilt FROM z3 GROUP BY segment"),
+        "analytics_attribution": w(EXPOSURE, f"SELECT segment, g AS \"group\", {rounded('alloc', 7)} AS allocation, {rounded('total - alloc', 7)} AS selection, {rounded('total', 7)} AS total, n_tickers FROM xe JOIN xt USING (segment, g)"),
+        "analytics_attribution_totals": w(EXPOSURE, f"SELECT segment, {rounded('sum(alloc)', 6)} AS allocation, {rounded('sum(total - alloc)', 6)} AS selection, {rounded('100 * abs(sum(alloc)) / (abs(sum(alloc)) + abs(sum(total - alloc)))', 3)} AS allocation_pct FROM xe GROUP BY segment"),
+        "analytics_stress": w([], STRESS),
+        "analytics_deflated_sharpe": w(EQUITY, f"SELECT segment, {rounded('(o - 0.5e0 / sqrt(n)) * 0e0 + sh')} AS sharpe, {rounded('o * sqrt(n - 1) / sqrt(1 - sk * o + (ku - 3) / 4 * o * o)', 4)} AS deflated_z FROM (SELECT segment, count(*) AS n, {sharpe_sql()} AS sh, {sharpe_sql()} / sqrt(252e0) AS o, skewness(ret) AS sk, kurtosis(ret) + 3 AS ku FROM eq GROUP BY segment)"),
+    }
+
+
+# --- walk-forward and batches ------------------------------------------------------------------------------------------------
+WALK_WINDOWS = "JOIN (SELECT unnest(range(0, 20)) AS win) ON dates >= 36 AND win <= floor((dates - 36) / 12e0) AND place > win * 12 AND place <= win * 12 + 36"
+WALK = book_ctes(REVERSAL, REVERSAL_STAGES, segment="CASE WHEN place - win * 12 <= 24 THEN 'train' ELSE 'test' END", extra=WALK_WINDOWS, by=("win", "segment"))
+
+
+def walk_sql() -> str:
+    side = lambda s, x: f"CASE WHEN segment = '{s}' THEN {x} END"
+    parts = [f"{f}({side(s, 'date')}) AS {s}_{n}" for s in ("train", "test") for n, f in (("start", "min"), ("end", "max"))]
+    parts += [f"{rounded(sharpe_sql(side(s, 'ret')), 4)} AS {s}_sharpe" for s in ("train", "test")]
+    parts += [f"{rounded('sum(' + side('test', 'ret') + ')')} AS test_total_return", f"{rounded('sum(' + side('test', 'net') + ')', 1)} AS test_cumulative_pnl"]
+    return f"WITH {', '.join(WALK)} SELECT CAST(win AS INT) AS \"window\", {', '.join(parts)} FROM daily GROUP BY win"
+
+
+#: The cells that batch queries run: formula and, for SQL, the signal over the stages below.
+CELL_STAGES = [f"{lag(C, 5)} AS c5, {lag(C, 3)} AS c3, {lag(C, 4)} AS c4", "close - c5 AS dl, close - c3 AS d3, close - c4 AS d4", f"{rank_sql('dl')} AS r5, {rank_sql('d3')} AS r3, {rank_sql('d4')} AS r4, {rank_sql(V)} AS rv"]
+CELLS = {"-rank(delta(close, 5))": "-r5", "rank(volume)": "rv", "rank(volume) * returns": "rv * returns"}
+SWEEP = "-rank(delta(close, {3..5}))"
+SWEEP_CELLS = ["-r3", "-r4", "-r5"]
+
+
+def cells_ctes(signals: list[str], oos: bool = True, base: list[str] = SUPPLIERS) -> list[str]:
+    source = " UNION ALL ".join(f"SELECT *, {k} AS cell, {s} AS signal FROM {{last}}" for k, s in enumerate(signals))
+    extra = {} if oos else {"segment": "'is'"}
+    return book_ctes("", CELL_STAGES, by=("cell", "segment"), source=source, base=base, **extra)
+
+
+def cells_sql(signals: list[str], oos: bool = True) -> str:
+    return f"WITH {', '.join(cells_ctes(signals, oos))} SELECT CAST(cell AS INT) AS cell, segment, count(*) AS n_days, {rounded(sharpe_sql())} AS sharpe, {rounded('sum(ret)', 6)} AS total_return, {rounded('avg(turnover)', 1)} AS avg_turnover FROM daily GROUP BY cell, segment"
+
+
+def blend_sql() -> str:
+    weights = "(CASE WHEN coalesce(-r5, rv, rv * returns) IS NOT NULL THEN coalesce(-r5, 0) * 0.5e0 + coalesce(rv, 0) * 0.25e0 + coalesce(rv * returns, 0) * 0.25e0 END)"
+    return select_daily(book_ctes(weights, CELL_STAGES))
+
+
+POOL = "pool AS (SELECT cell AS id, date, ret FROM daily)"
+
+
+def correlations_sql() -> str:
+    return f"WITH {', '.join([*cells_ctes(list(CELLS.values()), False), POOL])} SELECT CAST(a.id AS INT) AS a, CAST(b.id AS INT) AS b, count(*) AS n, {rounded('corr(a.ret, b.ret)')} AS corr FROM pool a JOIN pool b ON a.date = b.date GROUP BY a.id, b.id"
+
+
+def pareto_sql() -> str:
+    return f"""WITH {', '.join(cells_ctes(SWEEP_CELLS + list(CELLS.values()), False))},
+k AS (SELECT cell AS id, floor({sharpe_sql()} * 1e5 + 0.27e0) / 1e5 AS sharpe, floor(avg(turnover) * 10 + 0.27e0) / 10 AS turnover FROM daily GROUP BY cell), a AS (SELECT * FROM k WHERE sharpe >= 0)
+SELECT CAST(a.id AS INT) AS id, sharpe, turnover, NOT EXISTS (SELECT 1 FROM a o WHERE o.sharpe >= a.sharpe AND o.turnover <= a.turnover AND (o.sharpe > a.sharpe OR o.turnover < a.turnover)) AS on_frontier FROM a"""
+
+
+def diversification_sql(chosen: list[tuple[int, int, int]]) -> str:
+    values = ", ".join(str(tuple(c)) for c in chosen)
+    return f"""WITH {', '.join([*cells_ctes(SWEEP_CELLS + list(CELLS.values()), False), POOL])}, chosen AS (SELECT * FROM (VALUES {values}) AS t(n, sample, id)),
+books AS (SELECT n, sample, date, avg(ret) AS ret FROM pool JOIN chosen USING (id) GROUP BY n, sample, date HAVING count(*) = n), s AS (SELECT n, sample, {sharpe_sql()} AS s FROM books GROUP BY n, sample)
+SELECT CAST(n AS INT) AS n, {rounded('median(s)')} AS median_sharpe, {rounded('quantile_cont(s, 0.25)')} AS q1, {rounded('quantile_cont(s, 0.75)')} AS q3, {rounded('min(s)')} AS "min", {rounded('max(s)')} AS "max", count(*) AS n_samples FROM s GROUP BY n"""
+
+
+# --- catalog pieces and the example formulas -----------------------------------------------------------------------------------
+def preview_sql() -> str:
+    columns = ", ".join(f"{rounded(c, 4)} AS {c}" for c in ("open", "high", "low", "close", "volume", "returns", "vwap"))
+    return query(SUPPLIERS, [], f"SELECT date, ticker, {columns} FROM p WHERE ticker = 'S1' ORDER BY date DESC LIMIT 30")
+
+
+def labels_sql() -> str:
+    levels = " UNION ALL ".join(f"SELECT '{c}' AS level, {c} AS label, count(DISTINCT ticker) AS n FROM p WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("sector", "industry_group", "industry", "sub_industry"))
+    return query(SUPPLIERS, [], levels)
+
+
+FULL = [*SUPPLIERS, *FUNDAMENTALS, *MACRO, "fm AS (SELECT f.*, md.* EXCLUDE (date) FROM f JOIN md ON md.date = f.date)"]
+Z = "({x} - avg({x}) OVER (PARTITION BY date)) / nullif(stddev_samp({x}) OVER (PARTITION BY date), 0)"
+MOM = lambda n: f"close / nullif({lag(C, n)}, 0) - 1"
+EXAMPLE_SIGNALS: dict[str, tuple[str, list[str], str]] = {
+    "momentum_20_decayed": ("none", [f"{MOM(20)} AS m", f"{rank_sql('m')} AS r"], decay("r", [float(k) for k in range(1, 21)])),
+    "reversal_5_volscaled": ("market", [f"-({MOM(5)}) AS m, {agg('stddev_samp', R, 20)} AS rv"], f"({rank_sql('m')}) / (rv + 0.001e0)"),
+    "close_to_high": ("none", [f"close / ({agg('max', C, 252)}) AS m"], rank_sql("m")),
+    "sector_neutral_momentum": ("none", [f"{MOM(60)} AS m", f"{rank_sql('m')} AS r"], "r - avg(r) OVER (PARTITION BY date, sector)"),
+    "pe_meanreversion": ("market", ["market_cap / nullif(net_income, 0) AS pe"], "-(" + Z.format(x="pe") + ")"),
+    "quality_momentum_combo": ("sector", [f"net_income / nullif(total_equity, 0) AS roe, {MOM(60)} AS m"], Z.format(x="roe") + " + " + Z.format(x="m")),
+    "vix_conditional_momentum": ("market", [f"{MOM(20)} AS m", f"{rank_sql('m')} AS r", "CASE WHEN coalesce(vix < 20, FALSE) THEN {'v': r} END AS e"], f"(last_value(e IGNORE NULLS) OVER ({T} ROWS UNBOUNDED PRECEDING)).v"),
+    "yield_curve_reversal": ("market", [f"-({MOM(5)}) AS m", f"{rank_sql('m')} AS r"], "CASE WHEN term_spread_10y_2y < 0 THEN r END"),
+    "volume_orthogonal_close": ("market", [f"{rank_sql(C)} AS a, {rank_sql(V)} AS b"], "a - sum(a * b) OVER (PARTITION BY date) / nullif(sum(b * b) OVER (PARTITION BY date), 0) * b"),
+    "concentrated_top10": ("market", [f"{MOM(60)} AS m", f"{rank_sql('m')} AS r"], "CASE WHEN r IS NOT NULL AND row_number() OVER (PARTITION BY date, r IS NULL ORDER BY abs(r) DESC, ticker_ord) <= 10 THEN r ELSE 0 END"),
+}
+
+
+def example_sql(name: str) -> str:
+    neutralization, stages, signal = EXAMPLE_SIGNALS[name]
+    if name == "close_to_high":
+        return select_daily(book_ctes(signal, stages, base=BRANDS, neutralization=neutralization))
+    return select_daily(book_ctes(signal, stages, base=[*FULL, "p2 AS (SELECT * FROM fm)"], neutralization=neutralization, first="p2"))

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill import oracles
+from sigmill.api import EXAMPLES
+from sigmill.functions import exposure, performance, signal_quality, statistics
 from sigmill.functions.fields import MACRO_BASE, MACRO_SPREADS
+from sigmill.plans import batch, portfolio
 from sigmill.plans.compiler import evaluate
 from sigmill.sources import fundamentals, macro, panel
 
@@ -73,10 +76,205 @@ def fields_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("date", "ticker", *[rounded(_scaled(n), 4).alias(n) for n in names])
 
 
+# --- portfolios ------------------------------------------------------------------------------------------------------------
+REVERSAL = "-rank(delta(close, 5))"
+KEY = ("segment",)
+
+
+def daily_rows(days: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
+    return days.select(*by, "date", *[rounded(c, 2).alias(c) for c in oracles.DAILY], rounded("ret", 8).alias("ret"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily results of a short-term reversal on the supplier panel."""
+    return daily_rows(portfolio.simulate(panel.supplier_panel(spark, sf_dir), REVERSAL)[1])
+
+
+def portfolio_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book, _ = portfolio.simulate(panel.supplier_panel(spark, sf_dir), REVERSAL)
+    return book.select("segment", "date", "ticker", rounded("signal", 6).alias("signal"), rounded("weight", 8).alias("weight"), rounded("position", 2).alias("position"), rounded("trade", 2).alias("trade"))
+
+
+SOME = ("S1", "S2", "S3", "S5", "S8", "S13", "S21", "S34", "S55", "S89")
+SETTINGS = {
+    "portfolio_sector": portfolio.Settings(neutralization="sector"),
+    "portfolio_sub_industry": portfolio.Settings(neutralization="sub_industry", run_oos=False),
+    "portfolio_raw_lagged": portfolio.Settings(neutralization="none", execution_lag=3, truncation=0.01),
+    "portfolio_decay": portfolio.Settings(decay=4),
+    "portfolio_dates_universe": portfolio.Settings(start_date="1996-03-01", end_date="2000-06-01", universe=SOME, truncation=0.2),
+    "portfolio_costs": portfolio.Settings(spread_model="flat", cost_model="sqrt_impact", borrow_cost_bps_annual=50.0),
+    "portfolio_corwin_schultz": portfolio.Settings(spread_model="corwin_schultz"),
+    "portfolio_liquid": portfolio.Settings(min_adv_dollars=2_000_000.0),
+    "portfolio_point_in_time": portfolio.Settings(),
+    "portfolio_point_in_time_zero": portfolio.Settings(pit_mask="zero"),
+}
+
+
+def _portfolio(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        late = None
+        if "point_in_time" in name:
+            late = spark.createDataFrame([("S3", "1998-01-01"), ("S7", "1998-01-01")], "ticker string, d string").select("ticker", F.to_date("d").alias("join_date"))
+        return daily_rows(portfolio.simulate(panel.supplier_panel(spark, sf_dir), REVERSAL, SETTINGS[name], late)[1])
+
+    return run
+
+
+WALK = portfolio.Settings(walk_forward_train=24, walk_forward_test=12, walk_forward_step=12)
+
+
+def portfolio_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = portfolio.walk_forward(panel.supplier_panel(spark, sf_dir), REVERSAL, WALK)
+    exact = ["train_start", "train_end", "test_start", "test_end"]
+    return out.select("window", *exact, *[rounded(c, 4).alias(c) for c in ("train_sharpe", "test_sharpe")], rounded("test_total_return").alias("test_total_return"), rounded("test_cumulative_pnl", 1).alias("test_cumulative_pnl"))
+
+
+# --- analytics ---------------------------------------------------------------------------------------------------------------
+def _analytics() -> dict[str, Query]:
+    """Each takes the positions and daily tables of the flagship."""
+    p, q, x = performance, signal_quality, exposure
+    decimals = lambda df, **digits: df.select(*[rounded(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+    sizes = lambda book, base: book.select("date", "ticker").distinct().join(base.select("date", "ticker", (F.col("close") * F.col("volume")).alias("size")), ["date", "ticker"])
+    numbers = dict(sharpe=5, total_return=5, annual_return=5, annual_vol=5, max_drawdown=5, sortino_ratio=5, avg_turnover=1, win_rate=5, profit_factor=5, tail_ratio=5, cost_pct_of_gross=3, long_exposure=5, short_exposure=5, beta=5, information_ratio=5, skew=4, kurt=4)
+    series = lambda book: q.ic_series(book, q.HORIZONS)
+    regimes = [("first_rates", "1995-06-01", "1996-06-01"), ("mid", "1997-01-01", "1998-06-01"), ("late", "2000-01-01", "2001-10-01"), ("empty", "2008-01-01", "2009-01-01"), ("short", "1999-01-01", "1999-02-01")]
+    makers = {
+        "summary": lambda book, days, base: decimals(p.summary(days, macro.equal_weight(base)).withColumn("annual_return", F.log1p("annual_return")).select("segment", "n_days", *numbers), **numbers),  # the logarithm: monthly returns carried on to a year are very large
+        "drawdowns": lambda book, days, base: decimals(p.drawdowns(days).select("segment", "date", "equity", "drawdown", "underwater"), equity=6, drawdown=6),
+        "drawdown_durations": lambda book, days, base: p.drawdown_durations(days),
+        "rolling_sharpe": lambda book, days, base: decimals(p.rolling_sharpe(days), rolling_sharpe=5),
+        "monthly": lambda book, days, base: decimals(p.monthly_returns(days), ret=6),
+        "yearly": lambda book, days, base: decimals(p.yearly_returns(days), sharpe=5, annual_return=6),
+        "positive_months": lambda book, days, base: decimals(p.positive_months(days), positive_months_pct=5),
+        "ic_series": lambda book, days, base: decimals(series(book), ic=5),
+        "ic_summary": lambda book, days, base: decimals(q.ic_summary(series(book)), ic=5, icir=4, ic_tstat=4, ic_pct_positive=5),
+        "ic_bands": lambda book, days, base: decimals(q.ic_bands(q.ic_series(book)).select("segment", "date", "mean", "low", "high"), mean=5, low=5, high=5),
+        "alpha_decay": lambda book, days, base: decimals(q.alpha_decay(series(book)), half_life_days=4, r_squared=5),
+        "quantiles": lambda book, days, base: decimals(q.quantile_returns(book), mean_return=5),
+        "rank_stability": lambda book, days, base: decimals(q.rank_stability(book), rank_stability=5),
+        "group_exposure": lambda book, days, base: decimals(x.group_exposure(book), avg_net=7, avg_gross=7),
+        "headline": lambda book, days, base: decimals(x.headline(x.group_exposure(book)), max_long_exposure=7, max_short_exposure=7),
+        "group_series": lambda book, days, base: decimals(x.group_exposure_series(book, most=20), net=7),
+        "size_exposure": lambda book, days, base: decimals(x.size_exposure(book, sizes(book, base)), avg_corr=5),
+        "size_distribution": lambda book, days, base: decimals(x.size_distribution(book, sizes(book, base)), long_share=6, short_share=6),
+        "size_tilt": lambda book, days, base: decimals(x.size_tilt(x.size_distribution(book, sizes(book, base))), long_avg=5, short_avg=5, tilt=5),
+        "attribution": lambda book, days, base: decimals(x.attribution(book), allocation=7, selection=7, total=7),
+        "attribution_totals": lambda book, days, base: decimals(x.attribution_totals(x.attribution(book)).select("segment", "allocation", "selection", "allocation_pct"), allocation=6, selection=6, allocation_pct=3),
+        "stress": lambda book, days, base: decimals(p.stress(days, p.regime_table(days.sparkSession, regimes)).select("segment", "name", "n_days", "sharpe", "total_return", "max_drawdown", "hit_rate"), sharpe=5, total_return=5, max_drawdown=5, hit_rate=5),
+        "deflated_sharpe": lambda book, days, base: decimals(statistics.deflated(p.summary(days)).select("segment", "sharpe", "deflated_z"), sharpe=5, deflated_z=4),
+    }
+
+    def run_of(maker) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            base = panel.supplier_panel(spark, sf_dir)
+            return maker(*portfolio.simulate(base, REVERSAL), base)
+
+        return run
+
+    return {f"analytics_{name}": run_of(maker) for name, maker in makers.items()}
+
+
+def analytics_factor_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loadings on the stand-in factors. No SQL: the errors need a matrix inverse; tests hold it against numpy."""
+    base = panel.brand_panel(spark, sf_dir)
+    _, days = portfolio.simulate(base, REVERSAL, portfolio.Settings(run_oos=False))
+    found = statistics.factor_regression(days, macro.panel_factors(base))
+    rows = [("alpha", found["alpha_annualized"], found["alpha_t_stat"])] + [(k, v["beta"], v["t_stat"]) for k, v in found["loadings"].items()] if found else []
+    return spark.createDataFrame(rows, "name string, value double, t_stat double")
+
+
+# --- batches -------------------------------------------------------------------------------------------------------------------
+FORMULAS = list(oracles.CELLS)
+POOL = ["-rank(delta(close, 3))", "-rank(delta(close, 4))", "-rank(delta(close, 5))", *FORMULAS]
+CHOSEN = statistics.subsets(list(range(len(POOL))), sizes=(1, 2, 3, 6), samples=5)
+
+
+def _cell_rows(found: DataFrame, *keys: str) -> DataFrame:
+    return found.select(*keys, "n_days", rounded("sharpe").alias("sharpe"), rounded("total_return", 6).alias("total_return"), rounded("avg_turnover", 1).alias("avg_turnover"))
+
+
+def batch_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cell_rows(batch.compare(panel.supplier_panel(spark, sf_dir), FORMULAS), "cell", "segment")
+
+
+def batch_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cell_rows(batch.sweep(panel.supplier_panel(spark, sf_dir), oracles.SWEEP).withColumn("segment", F.lit("is")), "cell", "segment")
+
+
+def batch_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, days = batch.blend(panel.supplier_panel(spark, sf_dir), FORMULAS, weights=[2.0, 1.0, 1.0])
+    return daily_rows(days)
+
+
+def batch_blend_risk_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A blend whose weights are iterated; tests hold the weights against their defining equations."""
+    _, _, days = batch.blend(panel.supplier_panel(spark, sf_dir), FORMULAS, method="risk_parity")
+    return daily_rows(days)
+
+
+def batch_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratios of the panel (-1) and of copies with shuffled dates. The orders come from numpy's generator; no SQL."""
+    out = batch.permutation_runs(panel.supplier_panel(spark, sf_dir), REVERSAL, portfolio.Settings(run_oos=False), number=10)
+    return out.select("iteration", rounded("sharpe", 4).alias("sharpe"))
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = batch.run_cells(panel.supplier_panel(spark, sf_dir), POOL, portfolio.Settings(run_oos=False))
+    return days.select(F.col("cell").alias("id"), "date", "ret")
+
+
+def pool_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = batch.run_cells(panel.supplier_panel(spark, sf_dir), FORMULAS, portfolio.Settings(run_oos=False))
+    return statistics.correlations(days.select(F.col("cell").alias("id"), "date", "ret")).withColumn("corr", rounded("corr"))
+
+
+def pool_diversification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = statistics.diversification(_pool(spark, sf_dir), spark.createDataFrame(CHOSEN, "n int, sample int, id int"))
+    return out.select("n", *[rounded(c).alias(c) for c in ("median_sharpe", "q1", "q3", "min", "max")], "n_samples")
+
+
+def pool_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = batch.compare(panel.supplier_panel(spark, sf_dir), POOL, portfolio.Settings(run_oos=False))
+    rows = found.select(F.col("cell").alias("id"), rounded("sharpe").alias("sharpe"), rounded("avg_turnover", 1).alias("turnover"))
+    return statistics.pareto(rows).select("id", "sharpe", "turnover", "on_frontier")
+
+
+def data_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest by Spark's own hash function; no SQL."""
+    return statistics.data_signature(panel.supplier_panel(spark, sf_dir))
+
+
+def panel_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.preview(panel.supplier_panel(spark, sf_dir), "S1").select("date", "ticker", *[rounded(c, 4).alias(c) for c in ("open", "high", "low", "close", "volume", "returns", "vwap")])
+
+
+def universe_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tickers each group of each label level has."""
+    rows = panel.supplier_panel(spark, sf_dir).select("ticker", *panel.LABEL_COLUMNS).distinct()
+    return rows.unpivot("ticker", list(panel.LABEL_COLUMNS), "level", "label").groupBy("level", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _acceptance(name: str) -> Query:
+    formula, neutralization = EXAMPLES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = panel.brand_panel(spark, sf_dir) if name == "close_to_high" else full_panel(spark, sf_dir)  # 252 rows need the longer panel
+        _, days = portfolio.simulate(base, formula, portfolio.Settings(neutralization=neutralization))
+        return daily_rows(days)
+
+    return run
+
+
+BATCHES = (batch_compare, batch_sweep, batch_blend, batch_blend_risk_parity, batch_permutation_test, pool_correlations, pool_diversification, pool_pareto, data_signature, panel_preview, universe_labels)
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f"dsl_{name}": _operator(name, formula) for name, (formula, _) in oracles.OPERATORS.items()}
     found |= {name: _field_set(name) for name in oracles.FIELD_SETS}
-    found |= {f.__name__: f for f in (fields_macro, fields_fundamental, fields_ratio)}
+    found |= {f.__name__: f for f in (fields_macro, fields_fundamental, fields_ratio, flagship, portfolio_positions, portfolio_walk_forward, analytics_factor_regression, *BATCHES)}
+    found |= {name: _portfolio(name) for name in SETTINGS}
+    found |= _analytics()
+    found |= {f"example_{name}": _acceptance(name) for name in EXAMPLES}
     return found
 
 
@@ -84,4 +282,11 @@ def oracle_sql() -> dict[str, str]:
     found = {f"dsl_{name}": sql for name, (_, sql) in oracles.OPERATORS.items()}
     found |= {name: oracles.fields_sql(name) for name in oracles.FIELD_SETS}
     found |= {"fields_macro": oracles.macro_sql(), "fields_fundamental": oracles.fundamentals_sql(), "fields_ratio": oracles.ratios_sql()}
+    found |= {"flagship": oracles.select_daily(oracles.base_book()), "portfolio_positions": oracles.book_sql(oracles.base_book()), "portfolio_walk_forward": oracles.walk_sql()}
+    found |= {name: oracles.select_daily(ctes) for name, ctes in oracles.PORTFOLIOS.items()}
+    found |= oracles.analytics()
+    found |= {"batch_compare": oracles.cells_sql(list(oracles.CELLS.values())), "batch_sweep": oracles.cells_sql(oracles.SWEEP_CELLS, False), "batch_blend": oracles.blend_sql()}
+    found |= {"pool_correlations": oracles.correlations_sql(), "pool_diversification": oracles.diversification_sql(CHOSEN), "pool_pareto": oracles.pareto_sql()}
+    found |= {"panel_preview": oracles.preview_sql(), "universe_labels": oracles.labels_sql()}
+    found |= {f"example_{name}": oracles.example_sql(name) for name in EXAMPLES}
     return found

@@ -55,7 +55,7 @@ def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("date", F.to_date(F.date_trunc("month", "o_orderdate")))
     share = lambda test: F.avg(test.cast("double"))
     by = orders.groupBy("date").agg(
-        F.avg(F.col("o_totalprice") / 1e4).alias("vix"),
+        F.avg(F.col("o_totalprice") / 1.25e4).alias("vix"),
         share(F.col("o_orderpriority").startswith("1")).alias("treasury_3m_yield"),
         share(F.col("o_orderpriority").startswith("2")).alias("treasury_2y_yield"),
         share(F.col("o_orderpriority").startswith("3")).alias("treasury_10y_yield"),
