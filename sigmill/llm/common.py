@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 from collections.abc import Iterator
@@ -46,7 +47,26 @@ def spread(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*[docs[c] for c in cols])
 
 
-def text_blocks(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[tuple[int, int, pa.Array]]:
+MARK_BITS = 26
+
+
+def marks(ids: DataFrame, column: str) -> np.ndarray:
+    """2**MARK_BITS bits (8 MB, whatever the input) with those of the ids set; unset bits rule an id out, set ones don't prove it."""
+    at = F.col(column).bitwiseXOR(F.shiftright(column, MARK_BITS)).bitwiseAND((1 << MARK_BITS) - 1)
+    rows = ids.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("page")).agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bits")).collect()
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for r in rows:
+        out[r["page"] << 12 : (r["page"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id's bit is set."""
+    at = (ids ^ (ids >> MARK_BITS)) & ((1 << MARK_BITS) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def text_blocks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, int, pa.Array]]:
     """(first row, number of rows, texts without nulls) of slices with about `most` bytes of text; a longer text stands alone."""
     texts = batch.column(column)
     if texts.null_count:
@@ -59,6 +79,20 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20
         stop = max(row + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield row, stop - row, texts.slice(row, stop - row)
         row = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives through many stages and would keep its largest."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # of the GNU C library
+except (AttributeError, OSError):
+    _TRIM = None
 
 
 def utf8_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

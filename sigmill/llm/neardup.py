@@ -20,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_blocks, utf8_block
+from .common import durable, marked, marks, text_blocks, utf8_block
 
 SHINGLE, HASHES, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 5, 128, 16, 8, 3, 12
 PERCENT = 85  # link: 100 * intersection >= PERCENT * union
@@ -106,7 +107,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """HASHES minima of a set of shingle hashes; in pieces, so that a very long text needs little memory."""
+    """The low 16 bits of HASHES minima of a set of shingle hashes; in pieces, so that a very long text needs little memory."""
     low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
@@ -114,7 +115,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
             v = low[k : k + 2048, None] * _MUL + _ADD
             v ^= v >> np.uint32(15)
             best = np.minimum(best, (v * np.uint32(0x2C1B3C6D)).min(axis=0))
-    return best
+    return best.astype("<u2")  # wraps
 
 
 def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -122,7 +123,7 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, n, texts in text_blocks(batch, most=2 << 20):
+            for row, n, texts in text_blocks(batch):
                 hashes, at = shingle_sets(texts, size)
                 counts = np.diff(at)
                 full = np.flatnonzero(counts)
@@ -151,11 +152,11 @@ def forest(classes: DataFrame) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, HASHES)
-            low = (sigs & np.uint32(0xF)).astype(np.uint8)
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(n, HASHES)
+            low = (sigs & 0xF).astype(np.uint8)
             sketch = pa.array([r.tobytes() for r in (low[:, ::2] << 4 | low[:, 1::2])], pa.binary())
             for tree, order in enumerate(_ORDERS):
-                keys = sigs[:, order].astype("<u2")  # wraps
+                keys = np.ascontiguousarray(sigs[:, order])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, tree, np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), batch.column("class_id"), batch.column("n_shingles"), sketch],
                     names=["tree", "key", "class_id", "n_shingles", "sketch"],
@@ -239,8 +240,7 @@ def scan_orders(trees: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOUR
             region = regions_of(rows)
             _, run, size = np.unique(region, return_inverse=True, return_counts=True)
             crowd = (size[run] > reach) | (region == region[0]) | (region == region[-1])  # at the ends the run may go on
-            some = rows[crowd]
-            yield _batch(len(some), region=region[crowd], class_id=some["class_id"], n_shingles=some["n_shingles"], sketch=some["sketch"])
+            yield _batch(int(crowd.sum()), region=region[crowd], class_id=rows["class_id"][crowd])
             rows = pd.concat([held, rows], ignore_index=True) if held is not None else rows
             a, b, agree = neighbours(rows, percent, reach)
             if len(a):
@@ -263,53 +263,82 @@ def candidates(met: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS)
     return met.where("a is not null").select("a", "b", "agree").unionByName(borders).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def crowded(met: DataFrame, groups: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS) -> DataFrame:
-    """(a, b): in regions of more classes than the orders compare, all candidate pairs of different groups (node, component).
+def crowd_of(met: DataFrame, reach: int = NEIGHBOURS) -> DataFrame:
+    """(region, class_id) of the regions that hold more classes than the orders compare."""
+    rows = met.where("region is not null").select("region", "class_id")
+    large = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > reach + 1).select("region")
+    return rows.join(large, "region", "left_semi")
 
-    The classes of a region's main group need not meet each other: they are joined already.
+
+def crowd_links(crowd: DataFrame, classes: DataFrame, sets: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that join different groups (node, component) in the regions of crowd, as many as join all that are linked there.
+
+    The classes of a region's main group need not meet each other: they are joined already. All others meet all classes of
+    other groups, BLOCK by BLOCK of them in a task; likely pairs are confirmed on the full sets, but for those of a class
+    and a group that one link has joined. A pair that shares several regions is tried in the first tree's alone.
     """
-    rows = met.where("region is not null").select("region", "class_id", "n_shingles", "sketch").join(groups, F.col("class_id") == F.col("node"), "left")
-    rows = durable(rows.select("region", "class_id", "n_shingles", "sketch", F.coalesce("component", "class_id").alias("group")))
+    label = groups.select(F.col("node").alias("class_id"), F.col("component"))
+    rows = durable(crowd.join(label, "class_id", "left").select("region", "class_id", F.coalesce("component", "class_id").alias("group")))
     by_group = rows.groupBy("region", "group").agg(F.count(F.lit(1)).alias("n"))
     stats = by_group.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group")).alias("main"))
-    stats = stats.where((F.col("total") > reach + 1) & (F.col("groups") > 1))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
-    stats = durable(stats.select("region", F.col("main.group").alias("main"), blocks(F.col("total")).alias("nb"), blocks(F.col("total") - F.col("main.n")).alias("no")))
-    met_rows = rows.join(stats, "region")
+    stats = durable(stats.where(F.col("groups") > 1).select("region", F.col("main.group").alias("main"), blocks(F.col("total")).alias("nb"), blocks(F.col("total") - F.col("main.n")).alias("no")))
+    full = rows.join(stats, "region").withColumn("odd", F.col("group") != F.col("main"))
+    full = full.join(classes.select("class_id", "n_shingles", "sig"), "class_id").join(sets.select(F.col("id").alias("class_id"), "shingles"), "class_id")
     at = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    odd = met_rows.where(F.col("group") != F.col("main")).withColumn("o", at("no")).withColumn("x", each("nb"))
-    every = met_rows.withColumn("x", at("nb")).withColumn("o", each("no"))
-    least = least_agreement(percent)
+    columns = ["region", "o", "x", "class_id", "n_shingles", "group", "odd", "sig", "shingles"]
+    left = full.where("odd").withColumn("o", at("no")).withColumn("x", each("nb")).select(*columns).toDF(*columns)
+    right = full.withColumn("x", at("nb")).withColumn("o", each("no")).select(*columns).toDF(*columns)
+    least = (percent / 100 - SLACK) * HASHES
+    prefixes = _ORDERS[:, :LEAST_DEPTH]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            words = lambda rows: np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-            sketch, ids, sizes, group = words(right), right["class_id"].to_numpy(np.int64), right["n_shingles"].to_numpy(np.int64), right["group"].to_numpy(np.int64)
-            for one, own, n, g in zip(words(left), left["class_id"], left["n_shingles"], left["group"]):
-                can = np.flatnonzero((group != g) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-                can = can[agreement(sketch[can], one[None, :]) >= least]
-                out_a.append(np.minimum(ids[can], own)), out_b.append(np.maximum(ids[can], own))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    columns = ["region", "o", "x", "class_id", "n_shingles", "sketch", "group"]
-    return odd.select(*columns).toDF(*columns).groupBy("region", "o", "x").cogroup(every.select(*columns).toDF(*columns).groupBy("region", "o", "x")).applyInPandas(meet, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are linked."""
-    pairs = durable(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-
-    def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sigs = np.frombuffer(b"".join(right["sig"]), "<u2").reshape(len(right), HASHES)
+            ids, sizes, group, odd = (right[c].to_numpy() for c in ("class_id", "n_shingles", "group", "odd"))
+            texts = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
+            tree = int(left["region"].iloc[0]) >> 48
+            for own, n, g, sig, shingles in zip(left["class_id"], left["n_shingles"], left["group"], left["sig"], left["shingles"]):
+                sig, shingles = np.frombuffer(sig, "<u2"), np.frombuffer(shingles, np.uint64)
+                can = np.flatnonzero((group != g) & (~odd | (ids > own)) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                agree = (sigs[can] == sig).sum(axis=1)
+                can, agree = can[agree >= least], agree[agree >= least]
+                shared = (sigs[can][:, prefixes] == sig[prefixes]).all(axis=2)
+                can, agree = can[shared.argmax(axis=1) == tree], agree[shared.argmax(axis=1) == tree]
+                joined = set()
+                for k in can[np.argsort(-agree, kind="stable")]:
+                    if group[k] in joined:
+                        continue
+                    common = len(np.intersect1d(shingles, texts[k], assume_unique=True))
+                    if 100 * common >= percent * (len(shingles) + len(texts[k]) - common):
+                        joined.add(group[k])
+                        out.append((min(own, ids[k]), max(own, ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("region", "o", "x").cogroup(right.groupBy("region", "o", "x")).applyInPandas(meet, "a long, b long").distinct()
+
+
+def shingles_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, shingles) of the rows of docs whose doc_id is among ids (doc_id): full sets, in bytes. Texts stay where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks(ids, "doc_id"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            for row, n, part in text_blocks(batch, most=2 << 20):
+            batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
+            batch = batch.filter(pa.array(marked(bits, batch.column("doc_id").to_numpy(zero_copy_only=False))))
+            for row, n, part in text_blocks(batch):
                 hashes, at = shingle_sets(part, size)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), pa.array([hashes[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])], pa.binary())], names=["id", "shingles"])
 
-    sets = durable(texts.mapInArrow(collect_sets, "id long, shingles binary").dropDuplicates(["id"]))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, shingles binary")
+    return found.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets (id, shingles) are linked."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,13 +351,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: i
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    with_a = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different groups (node, component); a node of no group is one of its own."""
+    label = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    labelled = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of the edges (a, b) reaches."""
+    """(node, component): the smallest node that each node of the edges (a, b) reaches; of the smallest nodes themselves there are no rows."""
     edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     for _ in range(most_rounds):
         # large star: larger neighbours of a node are linked to its smallest neighbour
@@ -338,15 +374,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        new = durable(new)
-        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
-        edges = new
-        if same:
+        edges = durable(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        # done when every node has one neighbour, which has none itself
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in_")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in_").alias("in_")).where("out > 1 or out = 1 and in_ = 1").limit(1).count():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError("components did not settle")
 
 
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, component), with all of them joined that links (a, b) join."""
+    label = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(between)
+    moved = groups.join(over.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    return durable(moved.select("node", F.coalesce("_to", "component").alias("component")).union(over.select("node", "component")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
@@ -357,20 +401,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     classes = durable(rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("first")).select("d1", "d2", "n_shingles", F.col("first.doc_id").alias("class_id"), F.col("first.sig").alias("sig")))
     met = durable(scan_orders(forest(classes), percent))
     pairs = durable(candidates(met, percent))
+    crowd = durable(crowd_of(met))
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(crowd.select("class_id")).distinct()
+    sets = durable(shingles_of(docs, durable(nodes), size))
     # each class's two best pairs first
     ends = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
     best = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("x"), F.min(F.struct(-F.col("agree"), "a", "b")).alias("y"))
-    first = best.select(F.explode(F.array(F.struct("x.a", "x.b"), F.struct("y.a", "y.b"))).alias("p")).select("p.a", "p.b").distinct()
-    links = durable(confirmed(first, docs, percent, size))
-    tried = durable(first)
-    groups = components(links)
-    # then all that join different groups
-    label = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    labelled = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").union(crowded(met, groups, percent)).distinct()
-    rest = durable(rest.join(tried, ["a", "b"], "left_anti"))
+    first = durable(best.select(F.explode(F.array(F.struct("x.a", "x.b"), F.struct("y.a", "y.b"))).alias("p")).select("p.a", "p.b").distinct())
+    groups = components(confirmed(first, sets, percent))
+    # then all others that join different groups, and last those of crowded regions
+    rest = durable(apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), groups))
     if rest.limit(1).count():
-        groups = components(durable(links.union(confirmed(rest, docs, percent, size))))
+        groups = joined_groups(groups, durable(confirmed(rest, sets, percent)))
+    more = durable(crowd_links(crowd, classes, sets, groups, percent))
+    if more.limit(1).count():
+        groups = joined_groups(groups, more)
     named = classes.select("d1", "d2", "n_shingles", "class_id").join(groups, F.col("class_id") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
@@ -378,6 +423,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """docs, with all their columns, without the rows that near_duplicates() doesn't keep. Rows with a null doc_id stay."""
-    dropped = near_duplicates(docs, percent, size).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """docs, with all their columns, without the rows that near_duplicates() doesn't keep. Rows with a null doc_id stay.
+
+    Only rows that may go are joined; all others are kept where they are read.
+    """
+    dropped = durable(near_duplicates(docs, percent, size).where(~F.col("kept")).select("doc_id").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(marks(dropped, "doc_id"))
+
+    def part(may_go: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id")
+                known = pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                may = marked(shared.value, known) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(may == may_go))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return part(False).unionByName(part(True).join(dropped, "doc_id", "left_anti").select(*docs.columns))
