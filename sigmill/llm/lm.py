@@ -32,7 +32,7 @@ HOT = 1 << 19  # most words that are sent to the tasks with their counts; the ot
 WIDTH, NOISE, BATCH = 16, 64, 8192
 PILOT_DOCS, PILOT_EPOCHS = 1500, 3
 SMOOTH = 0.1
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 
 
 def last_bytes(words: pa.Array, n: int) -> np.ndarray:

@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_for(tokenizer_path)
         for batch in batches:
-            for row, n, texts in text_blocks(batch, most=8 << 20):
+            for row, n, texts in text_blocks(batch, most=4 << 20):
                 ids, at = words.ids(texts)
                 owner, piece, start, length, crc, out_ids = [], [], [], [], [], []
                 for k in range(n):

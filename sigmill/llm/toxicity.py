@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, text_blocks
 
 # Letters of other scripts that look like Latin ones; digits and signs used for letters.
 HOMOGLYPHS = {
@@ -100,6 +100,11 @@ class Lexicon:
         words, total = folded.count(" ") - 1, sum(found)
         return max(found), min(total, 50.0), total / np.log2(2 + words), 100 * total / (words + 20)
 
+    def all_features(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Rows of features of a batch's texts."""
+        rows = [self.features(t) for _, _, texts in text_blocks(batch) for t in texts.to_pylist()]
+        return np.array(rows, dtype=np.float64).reshape(-1, 4)
+
     def score(self, features: np.ndarray) -> np.ndarray:
         """0 to 1 for rows of features."""
         weights = np.asarray(self.model)
@@ -126,8 +131,7 @@ def feature_rows(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [lexicon.features(t) for t in batch.column("text").to_pylist()]
-            f = np.array(rows, dtype=np.float64).reshape(-1, 4)
+            f = lexicon.all_features(batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array(f[:, k]) for k in range(4)]], names=[*names, "f0", "f1", "f2", "f3"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
@@ -148,9 +152,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> L
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for p in patterns_of(fold(text)):
-                    found.setdefault(p, [0, 0])[toxic] += 1
+            for row, n, texts in text_blocks(batch):
+                for text, toxic in zip(texts.to_pylist(), batch.column("toxic").slice(row, n).to_pylist()):
+                    for p in patterns_of(fold(text)):
+                        found.setdefault(p, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())], names=["pattern", "t", "n"])
 
     unique = rows.where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).withColumn("part", part).cache()
@@ -188,7 +193,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def probability(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.array([lexicon.features(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, 4)
+            f = lexicon.all_features(batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lexicon.score(f))], names=[*names, "score"])
 
     names = [c for c in docs.columns if c != "text"]
@@ -201,7 +206,7 @@ def reject(docs: DataFrame, lexicon: Lexicon, bar: float = 0.3) -> DataFrame:
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.array([lexicon.features(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, 4)
+            f = lexicon.all_features(batch)
             yield batch.filter(pa.array(lexicon.score(f) < bar))
 
     return docs.mapInArrow(drop, docs.schema)
