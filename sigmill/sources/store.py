@@ -13,7 +13,7 @@ SCHEMA = (
     "created_at string, result_json string, code_signature string, data_signature string, git_hash string"
 )
 SERIES = "struct<dates:array<string>,returns:array<double>>"
-RESULT = f"is:{SERIES},oos:{SERIES},timeseries:{SERIES}"
+RESULT = f"`is` {SERIES}, oos {SERIES}, timeseries {SERIES}"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
