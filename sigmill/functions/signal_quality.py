@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigmill.operators.crosssection import mean_rank
 from sigmill.operators.timeseries import zero_if_tiny
 
 HORIZONS = (1, 2, 3, 5, 10, 21)
 SEGMENT = ("segment",)
 
 
-def mean_rank(value: str, by: tuple[str, ...]) -> Column:
+def date_rank(value: str, by: tuple[str, ...]) -> Column:
     """Mean-tie rank of value on its date; null for a missing value, and if the date has fewer than two."""
-    day = Window.partitionBy(*by, "date", F.col(value).isNull())
-    ties = Window.partitionBy(*by, "date", value)
-    rank = F.rank().over(day.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    return F.when(F.col(value).isNotNull() & (F.count(value).over(day) > 1), rank)
+    rank, n = mean_rank(F.col(value), Window.partitionBy(*by, "date"))
+    return F.when(F.col(value).isNotNull() & (n > 1), rank)
 
 
 def correlation(x: str, y: str) -> Column:
@@ -36,7 +35,7 @@ def _ahead(book: DataFrame, horizons: tuple[int, ...], by: tuple[str, ...]) -> D
 def ic_series(book: DataFrame, horizons: tuple[int, ...] = (1,), by: tuple[str, ...] = SEGMENT) -> DataFrame:
     """(by, date, horizon, ic): correlation of the ranks of the signal with those of returns `horizon` rows later. All horizons share one pass."""
     rows = _ahead(book, horizons, by)
-    ranked = rows.select(*by, "date", mean_rank("signal", by).alias("r0"), *[mean_rank(f"ret_{h}", by).alias(f"r_{h}") for h in horizons])
+    ranked = rows.select(*by, "date", date_rank("signal", by).alias("r0"), *[date_rank(f"ret_{h}", by).alias(f"r_{h}") for h in horizons])
     per_date = ranked.groupBy(*by, "date").agg(*[correlation("r0", f"r_{h}").alias(f"ic_{h}") for h in horizons])
     each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"ic_{h}").alias("ic")) for h in horizons])
     return per_date.select(*by, "date", F.explode(each).alias("e")).select(*by, "date", "e.horizon", "e.ic")
@@ -82,6 +81,6 @@ def quantile_returns(book: DataFrame, n: int = 5, horizon: int = 1, by: tuple[st
 
 def rank_stability(book: DataFrame, by: tuple[str, ...] = SEGMENT) -> DataFrame:
     """(by, rank_stability): mean correlation of a date's ranks with those of the date before."""
-    ranked = book.select(*by, "date", "ticker", mean_rank("signal", by).alias("r"))
+    ranked = book.select(*by, "date", "ticker", date_rank("signal", by).alias("r"))
     paired = ranked.withColumn("before", F.lag("r").over(Window.partitionBy(*by, "ticker").orderBy("date")))
     return paired.groupBy(*by, "date").agg(correlation("r", "before").alias("c")).groupBy(*by).agg(F.avg("c").alias("rank_stability"))

@@ -10,12 +10,17 @@ from sigmill.plans.syntax import ExpressionError
 from .timeseries import positive, zero_if_tiny
 
 
+def mean_rank(x, window):
+    """(mean-tie rank among the values of the window's rows, number of values). Ranks from both ends need no grouping by value, so all stays in one partitioning."""
+    n = F.count(x).over(window)
+    first, last = F.rank().over(window.orderBy(x.asc_nulls_last())), F.rank().over(window.orderBy(x.desc_nulls_last()))
+    return (first + n + 1 - last) / 2, n
+
+
 def share_of_rank(c, x, *parts):
     """Mean-tie rank among the values of one cross-section part, as a share of their number; null stays null."""
-    with_value = c.across(*parts, x.isNull())
-    ties = c.across(*parts, x)
-    rank = F.rank().over(with_value.orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    return F.when(x.isNotNull(), rank / F.count(x).over(with_value))
+    rank, n = mean_rank(x, c.across(*parts))
+    return F.when(x.isNotNull(), rank / n)
 
 
 @function("rank(x)", "cross_sectional")
@@ -105,9 +110,9 @@ def bucket(c, x, n):
     """Number, from 0, of the value's part when the date's values are cut into n parts; ties go by the tickers' order."""
     if n < 2:
         raise ExpressionError("bucket needs at least 2 parts")
-    with_value = c.across(x.isNull())
-    place = F.row_number().over(with_value.orderBy(x, c.order())) - 1
-    part = F.floor(place * F.lit(n) / F.count(x).over(with_value))
+    w = c.across()
+    place = F.row_number().over(w.orderBy(x.asc_nulls_last(), c.order())) - 1
+    part = F.floor(F.try_divide(place * F.lit(n), F.count(x).over(w)))
     return F.when(x.isNotNull(), F.least(part, F.lit(n - 1)).cast("double"))
 
 
@@ -142,9 +147,7 @@ def geometric_mean(c, x):
 @function("step(x)", "cross_sectional")
 def step(c, x):
     """Rank brought to -1 to 1; null if the date has a single value."""
-    with_value, ties = c.across(x.isNull()), c.across(x)
-    n = F.count(x).over(with_value)
-    rank_ = F.rank().over(with_value.orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / 2
+    rank_, n = mean_rank(x, c.across())
     return F.when(x.isNotNull() & (n > 1), (rank_ - (n + 1) / 2) / ((n - 1) / 2))
 
 
@@ -153,5 +156,5 @@ def keep(c, x, n):
     """The n values largest in size; all others become 0. Ties go by the tickers' order."""
     if n < 1:
         raise ExpressionError("keep needs at least 1")
-    place = F.row_number().over(c.across(x.isNull()).orderBy(F.abs(x).desc(), c.order()))
+    place = F.row_number().over(c.across().orderBy(F.abs(x).desc_nulls_last(), c.order()))
     return F.when(x.isNotNull() & (place <= n), x).otherwise(F.lit(0.0))
