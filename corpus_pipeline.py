@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.llm import decontamination, langid, neardup, packing, toxicity
-from sigmill.llm.common import crc_mod, shared_dir
+from sigmill.llm.common import crc_mod, long_texts, shared_dir
 from sigmill.llm.queries import table, tokenizer_path
 
 HELD, FOLDS = 2, 4  # as in the operators' own queries, nothing is learned from these rows
@@ -30,11 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is unsure, go."""
+    long_texts(spark)
     return langid.reject(docs, langid.learn(learning_rows(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
+    long_texts(spark)
     return neardup.keep_one(docs)
 
 
@@ -45,6 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is packed into sequences."""
+    long_texts(spark)
     return packing.pack(docs, tokenizer_path())
 
 

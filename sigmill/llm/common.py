@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import json
+import os
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def long_texts(spark: SparkSession) -> SparkSession:
+    """The session, with smaller Arrow batches unless it has its own: 10,000 documents at once take much memory on both sides.
+
+    Workers also look for this package where the driver found it.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+    return spark
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no earlier stage."""
     shared_dir(df.sparkSession)

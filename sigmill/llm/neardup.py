@@ -9,8 +9,8 @@
 3. Candidate pairs are confirmed on the full sets. First each class's best pairs are, then all those that still join
    different groups; a pair within a group already joined would change nothing. In a crowded region the order leaves
    pairs out: there every class outside the region's main group meets, in blocks of bounded size, all classes of other groups.
-4. Groups are the connected components, found with large-star and small-star steps; hot keys only ever meet in sums
-   that combine before the shuffle, or in joins that can be split.
+4. Groups are the connected components, contracted in parts of bounded size and then found with large-star and small-star
+   steps; hot keys only ever meet in sums that combine before the shuffle, or in joins that can be split.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from .common import durable, marked, marks, text_blocks, utf8_block
 SHINGLE, HASHES, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 5, 128, 16, 8, 3, 12
 PERCENT = 85  # link: 100 * intersection >= PERCENT * union
 SLACK = 0.13  # a pair's signatures may agree by so much less than a link's (4 standard errors), before it is dropped
+EDGE_BLOCK = 200_000  # edges that one task joins by itself
 BLOCK = 512  # classes of a crowded region that one task compares with as many others
 
 _B = np.uint64(0x100000001B3)
@@ -68,7 +69,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         place = np.arange(len(b)) - starts[np.maximum(number, 0)]
         longest = int(place[word].max()) + 1
         power = np.cumprod(np.full(longest, _B, dtype=np.uint64))
-        value = np.where(word, _BYTE[b] * power[np.minimum(place, longest - 1)], np.uint64(0))
+        value = np.where(word, _BYTE[b] * power[np.clip(place, 0, longest - 1)], np.uint64(0))
         return mixed(np.add.reduceat(value, starts)), np.searchsorted(starts, at)
 
 
@@ -363,10 +364,40 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of the edges (a, b) reaches; of the smallest nodes themselves there are no rows."""
-    edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+def contracted(edges: DataFrame, block: int = EDGE_BLOCK) -> tuple[DataFrame, bool]:
+    """(edges, whether that is all): the edges (u, v) in parts of about `block`, each part joined within one task and left as edges from its nodes to their smallest."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        pairs = [(x, root(x)) for x in list(parent)]
+        yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["u", "v"], dtype="int64")
+
+    parts = max(1, -(-edges.count() // block))
+    return durable(edges.coalesce(parts).mapInPandas(join, "u long, v long")), parts == 1
+
+
+def components(edges: DataFrame, block: int = EDGE_BLOCK, most_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node that each node of the edges (a, b) reaches; of the smallest nodes themselves there are no rows.
+
+    Edges are first contracted in parts of bounded size; if there are several, large-star and small-star steps join them.
+    """
+    edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"))
+    edges, settled = contracted(edges, block)
     for _ in range(most_rounds):
+        if settled:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         # large star: larger neighbours of a node are linked to its smallest neighbour
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -375,10 +406,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = durable(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        # done when every node has one neighbour, which has none itself
+        # settled when every node has one neighbour, which has none itself
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in_")).union(edges.select("v", F.lit(0), F.lit(1)))
-        if not ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in_").alias("in_")).where("out > 1 or out = 1 and in_ = 1").limit(1).count():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        settled = not ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in_").alias("in_")).where("out > 1 or out = 1 and in_ = 1").limit(1).count()
     raise RuntimeError("components did not settle")
 
 

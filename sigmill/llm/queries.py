@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, langid, licenses, lm, neardup, packing, sharding, topk, toxicity, warc
-from .common import crc_mod
+from .common import crc_mod, long_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return long_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
