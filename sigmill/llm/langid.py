@@ -173,7 +173,8 @@ def verdicts(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs without the text, with lang_pred and score. A null text, or one without a letter, is `und` with score 0; so is all without a model."""
+    """docs without the text, with lang_pred and score in place of any columns of these names. A null text, or one without a letter, is `und` with score 0; so is all without a model."""
+    docs = docs.drop("lang_pred", "score")
     names = [c for c in docs.columns if c != "text"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(predict, f"{schema}, lang_pred string, score double")
 
 
-def reject(docs: DataFrame, model: Model | None, bar: float = 0.35) -> DataFrame:
+def reject(docs: DataFrame, model: Model | None, bar: float = 0.3) -> DataFrame:
     """docs, with all their columns, without the rows of no language (`und`) or whose language scores below `bar`."""
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

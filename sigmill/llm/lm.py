@@ -125,7 +125,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 @dataclass
 class Tokens:
-    """Of a block of texts: the distinct words, each token's number among them (-1: the end), output class and two context classes; offsets of the texts."""
+    """Of a block of texts: the distinct words and, last, the end; each token's number among them, output class and two context classes; offsets of the texts."""
 
     words: pa.Array
     number: np.ndarray
@@ -154,7 +154,7 @@ def tokens_of(texts: pa.Array, vocab: Vocabulary) -> Tokens:
     c1[at[:-1]] = c2[at[:-1]] = start
     second = at[:-1] + 1
     c2[second[second < at[1:]]] = start
-    return Tokens(words, number, out[number], c1, c2, at, place)
+    return Tokens(both, number, out[number], c1, c2, at, place)
 
 
 class Model:
@@ -294,8 +294,8 @@ def scores(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model)
                 row_id += n
                 cold = np.flatnonzero(place < 0)
                 owner = np.searchsorted(t.at, cold, side="right") - 1
-                key, many = np.unique(owner * (len(t.words) + 1) + t.number[cold], return_counts=True)
-                owner, word = key // (len(t.words) + 1), key % (len(t.words) + 1)
+                key, many = np.unique(owner * len(t.words) + t.number[cold], return_counts=True)
+                owner, word = key // len(t.words), key % len(t.words)
                 k = len(key)
                 # a text's own row has a key with a blank, as no word has
                 yield pa.RecordBatch.from_arrays(

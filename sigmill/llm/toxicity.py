@@ -189,13 +189,14 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> L
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, score) of every row; a null or empty text has the score of a text without a hit. Repeated rows are repeated."""
+    """docs without the text, with score in place of any column of that name; a null or empty text has the score of a text without a hit. Repeated rows are repeated."""
 
     def probability(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = lexicon.all_features(batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lexicon.score(f))], names=[*names, "score"])
 
+    docs = docs.drop("score")
     names = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
     return docs.mapInArrow(probability, f"{schema}, score double")

@@ -30,7 +30,7 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
-def resolve(captures: DataFrame, span: int = 86400) -> DataFrame:
+def resolve(captures: DataFrame, span: int = 3600) -> DataFrame:
     """One row per revisit of captures (columns of CAPTURE; kind `response` or `revisit`, ts in seconds).
 
     response_id: the full response of the same canonical URL with the latest ts before the revisit's, ties to the
@@ -45,16 +45,17 @@ def resolve(captures: DataFrame, span: int = 86400) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("curl"), "ts", "kind", "etag", "last_modified", "digest",
         F.array_sort(F.transform(F.coalesce("headers", F.array()), lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))).alias("headers"),
     ).withColumn("span", F.floor(F.col("ts") / span))
-    rows = rows.repartition("curl", "span")
+    # a null URL matches nothing; such rows are spread by their own ids
+    rows = rows.withColumn("_key", F.coalesce("curl", F.concat(F.lit(" "), F.coalesce("record_id", F.lit(0)).cast("string")))).repartition("_key", "span")
     full = F.when(
         (F.col("kind") == "response") & F.col("curl").isNotNull() & F.col("ts").isNotNull(),
         F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"),
     )
-    within = Window.partitionBy("curl", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_key", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("near", F.max(full).over(within))
-    spans = rows.groupBy("curl", "span").agg(F.max(full).alias("last"))
-    carried = spans.withColumn("far", F.max("last").over(Window.partitionBy("curl").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).select("curl", "span", "far")
-    revisits = rows.where("kind = 'revisit'").join(carried.where("far is not null"), ["curl", "span"], "left")
+    spans = rows.groupBy("_key", "span").agg(F.max(full).alias("last"))
+    carried = spans.withColumn("far", F.max("last").over(Window.partitionBy("_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).select("_key", "span", "far")
+    revisits = rows.where("kind = 'revisit'").join(carried.where("far is not null"), ["_key", "span"], "left")
     found = revisits.withColumn("hit", F.coalesce("near", "far"))
     weak = lambda c: F.regexp_replace(c, r"^W/", "")
     both = lambda a, b: a.isNotNull() & b.isNotNull()
