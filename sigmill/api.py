@@ -149,7 +149,7 @@ class Workspace:
         days.unpersist()
         return self.store.save(
             name=name, expression=formula, notes=notes, sharpe=half["sharpe"], annual_return=half["annual_return"], max_drawdown=half["max_drawdown"], turnover=half["avg_turnover"], fitness=half["fitness"],
-            result_json=result_json(rows, {k: v for k, v in asdict(settings).items() if k != "universe"}), code_signature=statistics.code_signature(), data_signature=statistics.data_signature(self.panel).first()["signature"],
+            result_json=result_json(rows, {k: v for k, v in asdict(settings).items() if k != "universe"}), code_signature=statistics.code_signature(), data_signature=statistics.data_signature(self.panel).first()["signature"], git_hash=statistics.git_hash(),
         )
 
     def saved_correlations(self) -> DataFrame:

@@ -509,6 +509,15 @@ def labels_sql() -> str:
     return query(SUPPLIERS, [], levels)
 
 
+def membership_sql() -> str:
+    out = "ticker_ord % 7 = 0 AND date < DATE '1997-01-01'"
+    return query(SUPPLIERS, [], f"SELECT date, CAST(sum(CASE WHEN {out} THEN 0 ELSE 1 END) AS BIGINT) AS n_members, CAST(sum(CASE WHEN {out} THEN 1 ELSE 0 END) AS BIGINT) AS n_late FROM p GROUP BY date")
+
+
+def missing_sql() -> str:
+    return query(SUPPLIERS, [], "SELECT DISTINCT 'S' || c_custkey AS ticker FROM customer WHERE 'S' || c_custkey NOT IN (SELECT ticker FROM p)")
+
+
 FULL = [*SUPPLIERS, *FUNDAMENTALS, *MACRO, "fm AS (SELECT f.*, md.* EXCLUDE (date) FROM f JOIN md ON md.date = f.date)"]
 Z = "({x} - avg({x}) OVER (PARTITION BY date)) / nullif(stddev_samp({x}) OVER (PARTITION BY date), 0)"
 MOM = lambda n: f"close / nullif({lag(C, n)}, 0) - 1"

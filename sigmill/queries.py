@@ -13,7 +13,7 @@ from sigmill.functions import exposure, performance, signal_quality, statistics
 from sigmill.functions.fields import MACRO_BASE, MACRO_SPREADS
 from sigmill.plans import batch, portfolio
 from sigmill.plans.compiler import evaluate
-from sigmill.sources import fundamentals, macro, panel
+from sigmill.sources import fundamentals, macro, panel, universe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -254,6 +254,19 @@ def universe_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unpivot("ticker", list(panel.LABEL_COLUMNS), "level", "label").groupBy("level", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def universe_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members per date, where every seventh ticker joins in 1997."""
+    base = panel.supplier_panel(spark, sf_dir)
+    late = base.where("ticker_ord % 7 = 0").select("ticker", F.lit("1997-01-01").cast("date").alias("join_date")).distinct()
+    return universe.membership(base, late)
+
+
+def universe_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' keys, taken for tickers, that no supplier has."""
+    wanted = panel.table(spark, sf_dir, "customer").select(F.concat(F.lit(" s"), F.col("c_custkey")).alias("ticker"))
+    return universe.missing(wanted, panel.supplier_panel(spark, sf_dir))
+
+
 def _acceptance(name: str) -> Query:
     formula, neutralization = EXAMPLES[name]
 
@@ -265,7 +278,7 @@ def _acceptance(name: str) -> Query:
     return run
 
 
-BATCHES = (batch_compare, batch_sweep, batch_blend, batch_blend_risk_parity, batch_permutation_test, pool_correlations, pool_diversification, pool_pareto, data_signature, panel_preview, universe_labels)
+BATCHES = (batch_compare, batch_sweep, batch_blend, batch_blend_risk_parity, batch_permutation_test, pool_correlations, pool_diversification, pool_pareto, data_signature, panel_preview, universe_labels, universe_membership, universe_missing)
 
 
 def queries() -> dict[str, Query]:
@@ -287,6 +300,6 @@ def oracle_sql() -> dict[str, str]:
     found |= oracles.analytics()
     found |= {"batch_compare": oracles.cells_sql(list(oracles.CELLS.values())), "batch_sweep": oracles.cells_sql(oracles.SWEEP_CELLS, False), "batch_blend": oracles.blend_sql()}
     found |= {"pool_correlations": oracles.correlations_sql(), "pool_diversification": oracles.diversification_sql(CHOSEN), "pool_pareto": oracles.pareto_sql()}
-    found |= {"panel_preview": oracles.preview_sql(), "universe_labels": oracles.labels_sql()}
+    found |= {"panel_preview": oracles.preview_sql(), "universe_labels": oracles.labels_sql(), "universe_membership": oracles.membership_sql(), "universe_missing": oracles.missing_sql()}
     found |= {f"example_{name}": oracles.example_sql(name) for name in EXAMPLES}
     return found
