@@ -134,13 +134,13 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """The model from rows of docs with text and lang; of each language about train_rows at most, chosen by a hash of the text."""
+    """The model from rows of docs with text and lang; of each language about train_rows at most, chosen by a hash of the text; equal texts count once."""
     rows = docs.select("lang", "text").where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     rate = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(min(1.0, train_rows / n) * 1_000_000))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate[F.col("lang")])
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate[F.col("lang")]).dropDuplicates(["lang", "text"])  # copies share a hash
     sample = counted(chosen).limit(2 * train_rows * len(sizes)).toPandas()  # a bounded number of rows of SIZE small numbers
     x = np.stack([np.frombuffer(c, "<u2") for c in sample["counts"]]).astype(np.float32) if len(sample) else np.zeros((0, SIZE), np.float32)
     x = x / np.maximum(1, x.sum(axis=1, keepdims=True)) * SCALE

@@ -241,7 +241,7 @@ def trained(docs: DataFrame, vocab: Vocabulary) -> Model:
                 t = tokens_of(texts, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i2").tobytes()], pa.binary()) for x in (t.out, t.c1, t.c2)], names=["out", "c1", "c2"])
 
-    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) <= int(min(1.0, PILOT_DOCS / max(1, size)) * 1_000_000)).select("text")
+    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) <= int(min(1.0, PILOT_DOCS / max(1, size)) * 1_000_000)).select("text").dropDuplicates(["text"])  # copies share a hash
     rows = few.mapInArrow(pilot, "out binary, c1 binary, c2 binary").collect()  # of about PILOT_DOCS texts
     rng = np.random.default_rng(3)
     out, c1, c2 = (np.concatenate([np.frombuffer(r[c], "<i2") for r in rows] or [np.zeros(0, "<i2")]).astype(np.int64) for c in ("out", "c1", "c2"))
