@@ -66,7 +66,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, from the documents table to the packed pieces."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if done:  # nothing reads the stage before the last any more
+            path = spark._jvm.org.apache.hadoop.fs.Path(done)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done = f"{folder}/{name}"
     return docs
