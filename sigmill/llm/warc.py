@@ -1,8 +1,8 @@
 """Resolution of not-modified revisits: an as-of join by canonical URL to the latest earlier full response.
 
-A URL with very many captures is cut into spans of time. Within a span a window finds the latest earlier response; the
-last response of each span is carried on to the URL's later spans by a window over spans, so no task needs a URL's
-whole history.
+Captures are cut into chunks of about equal size in the order of URL and time, so a URL with very many captures spans many
+chunks. Within a chunk a window finds the latest earlier response; the last response of each chunk is carried on to the
+URL's later chunks by a window over chunks. No task needs a URL's whole history.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable
+
 # Query parameters that don't change the page, and headers that a 304 response may not change.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref"]
 KEPT_HEADERS = ["connection", "content-encoding", "content-length", "content-range", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
@@ -30,7 +32,7 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
-def resolve(captures: DataFrame, span: int = 3600) -> DataFrame:
+def resolve(captures: DataFrame) -> DataFrame:
     """One row per revisit of captures (columns of CAPTURE; kind `response` or `revisit`, ts in seconds).
 
     response_id: the full response of the same canonical URL with the latest ts before the revisit's, ties to the
@@ -44,18 +46,20 @@ def resolve(captures: DataFrame, span: int = 3600) -> DataFrame:
     rows = captures.select(
         "record_id", canonical_url(F.col("url")).alias("curl"), "ts", "kind", "etag", "last_modified", "digest",
         F.array_sort(F.transform(F.coalesce("headers", F.array()), lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))).alias("headers"),
-    ).withColumn("span", F.floor(F.col("ts") / span))
+    )
     # a null URL matches nothing; such rows are spread by their own ids
-    rows = rows.withColumn("_key", F.coalesce("curl", F.concat(F.lit(" "), F.coalesce("record_id", F.lit(0)).cast("string")))).repartition("_key", "span")
+    rows = rows.withColumn("_key", F.coalesce("curl", F.concat(F.lit(" "), F.coalesce("record_id", F.lit(0)).cast("string"))))
+    # captures of one URL and time stay in one chunk; kept, as the ranges are drawn from samples
+    rows = durable(rows.repartitionByRange("_key", "ts").withColumn("chunk", F.spark_partition_id()))
     full = F.when(
         (F.col("kind") == "response") & F.col("curl").isNotNull() & F.col("ts").isNotNull(),
         F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"),
     )
-    within = Window.partitionBy("_key", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_key", "chunk").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("near", F.max(full).over(within))
-    spans = rows.groupBy("_key", "span").agg(F.max(full).alias("last"))
-    carried = spans.withColumn("far", F.max("last").over(Window.partitionBy("_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).select("_key", "span", "far")
-    revisits = rows.where("kind = 'revisit'").join(carried.where("far is not null"), ["_key", "span"], "left")
+    chunks = rows.groupBy("_key", "chunk").agg(F.max(full).alias("last"))
+    carried = chunks.withColumn("far", F.max("last").over(Window.partitionBy("_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))).select("_key", "chunk", "far")
+    revisits = rows.where("kind = 'revisit'").join(carried.where("far is not null"), ["_key", "chunk"], "left")
     found = revisits.withColumn("hit", F.coalesce("near", "far"))
     weak = lambda c: F.regexp_replace(c, r"^W/", "")
     both = lambda a, b: a.isNotNull() & b.isNotNull()

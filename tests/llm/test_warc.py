@@ -37,7 +37,13 @@ def test_statuses_and_headers(spark):
 def test_hot_url_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(response if rng.random() < 0.3 else revisit)(i, rng.choice(["h.com/a", "h.com/a", "h.com/b"]), rng.randrange(0, 400)) for i in range(600)]
-    found = {r["revisit_id"]: r["response_id"] for r in warc.resolve(captures(spark, rows), span=50).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that a URL spans chunks
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = {r["revisit_id"]: r["response_id"] for r in warc.resolve(captures(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     for i, url, ts, kind, *_ in rows:
         if kind == "revisit":
             earlier = [(t, j) for j, u, t, k, *_ in rows if k == "response" and u == url and t < ts]
