@@ -478,6 +478,18 @@ def blend_sql() -> str:
     return select_daily(book_ctes(weights, CELL_STAGES))
 
 
+def permutation_sql(orders: list[list[int]]) -> str:
+    """Sharpe ratios of the supplier panel (-1) and of copies whose dates are in the given orders (places from 0)."""
+    values = ", ".join(f"({k - 1}, {place + 1}, {source + 1})" for k, order in enumerate([list(range(len(orders[0]))), *orders]) for place, source in enumerate(order))
+    base = [
+        *SUPPLIERS, f"perm AS (SELECT * FROM (VALUES {values}) AS t(cell, place, source))", "dn AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM p))",
+        "p2 AS (SELECT v.cell, d.date, q.* EXCLUDE (date) FROM perm v JOIN dn d ON d.k = v.place JOIN dn s ON s.k = v.source JOIN p q ON q.date = s.date)",
+    ]
+    each = lambda x: x.replace("PARTITION BY ticker", "PARTITION BY cell, ticker").replace("PARTITION BY date", "PARTITION BY cell, date")
+    ctes = book_ctes(each(REVERSAL), [each(x) for x in REVERSAL_STAGES], base=base, by=("cell", "segment"), segment="'is'", first="p2")
+    return f"WITH {', '.join(ctes)} SELECT CAST(cell AS INT) AS iteration, {rounded('CASE WHEN stddev_samp(ret) > 1e-12 THEN ' + sharpe_sql() + ' END', 4)} AS sharpe FROM daily GROUP BY cell"
+
+
 POOL = "pool AS (SELECT cell AS id, date, ret FROM daily)"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,7 +214,7 @@ def batch_blend_risk_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sharpe ratios of the panel (-1) and of copies with shuffled dates. The orders come from numpy's generator; no SQL."""
+    """Sharpe ratios of the panel (-1) and of copies with shuffled dates."""
     out = batch.permutation_runs(panel.supplier_panel(spark, sf_dir), REVERSAL, portfolio.Settings(run_oos=False), number=10)
     return out.select("iteration", rounded("sharpe", 4).alias("sharpe"))
 
@@ -300,6 +301,8 @@ def oracle_sql() -> dict[str, str]:
     found |= oracles.analytics()
     found |= {"batch_compare": oracles.cells_sql(list(oracles.CELLS.values())), "batch_sweep": oracles.cells_sql(oracles.SWEEP_CELLS, False), "batch_blend": oracles.blend_sql()}
     found |= {"pool_correlations": oracles.correlations_sql(), "pool_diversification": oracles.diversification_sql(CHOSEN), "pool_pareto": oracles.pareto_sql()}
+    orders = [np.random.default_rng(k).permutation(83).tolist() for k in range(10)]  # the test data have 83 months at every scale
+    found |= {"batch_permutation_test": oracles.permutation_sql(orders)}
     found |= {"panel_preview": oracles.preview_sql(), "universe_labels": oracles.labels_sql(), "universe_membership": oracles.membership_sql(), "universe_missing": oracles.missing_sql()}
     found |= {f"example_{name}": oracles.example_sql(name) for name in EXAMPLES}
     return found
