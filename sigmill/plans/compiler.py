@@ -2,12 +2,14 @@
 
 The panel has one row per (date, ticker) of a dense calendar. A function over a window needs its argument as a plain
 column, as Spark has no nested windows: the compiler then adds a stage, a column with the argument. Equal subtrees are
-compiled once. Spark joins neighbouring windows with one partitioning into one sort, so a formula costs one shuffle for
-each change between a ticker's history and a date's cross-section.
+compiled once. Stages wait until the frame is needed and are then laid out together: all that can be computed over
+tickers' histories, then all that can be over dates' cross-sections, and so on. So any number of formulas costs as many
+shuffles as the deepest nesting of changes between the two.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -31,18 +33,58 @@ class Value:
     number: float | int | None = None
 
 
+_STAGE = re.compile(r"\b_s[0-9]+\b")
+_PARTITION = re.compile(r"PARTITION BY (.*?)(?: ORDER BY| ROWS| RANGE|\))")
+
+
+def laid_out(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
+    """df with the stages (name, column), each after those that it names; those over one partitioning together where they can be."""
+    text = {name: str(column) for name, column in stages}
+    names = list(text)
+    needs = {n: set(names[:k]) if "more fields" in text[n] else set(_STAGE.findall(text[n])) & set(names) for k, n in enumerate(names)}
+
+    def kind(name: str) -> str:
+        by = [part for found in _PARTITION.findall(text[name]) for part in found.split(", ")]
+        return "history" if "ticker" in by else "across" if by else "row"
+
+    kinds, columns, done, current = {n: kind(n) for n in names}, dict(stages), set(), "row"
+    while len(done) < len(names):
+        ready = [n for n in names if n not in done and needs[n] <= done]
+        now = [n for n in ready if kinds[n] == "row"] or [n for n in ready if kinds[n] == current]
+        if not now:
+            current = max(("history", "across"), key=lambda k: sum(kinds[n] == k for n in ready))
+            continue
+        df = df.withColumns({n: columns[n] for n in now})
+        done.update(now)
+    return df
+
+
 class Context:
     """What builders use: windows, stages, fields. segments: columns that separate independent runs over one panel."""
 
     START = Window.unboundedPreceding
 
     def __init__(self, panel: DataFrame, segments: tuple[str, ...] = ()):
-        self.df, self.segments = panel, segments
+        self.segments, self.pending = segments, []
+        self.df = panel
         self.functions: dict[str, Function] = load()
         self.staged = 0
         self.fields: dict[str, Column] = {}
         self.memo: dict[Node, Value] = {}
 
+    # the frame
+    @property
+    def df(self) -> DataFrame:
+        """The panel with all stages so far."""
+        waiting, self.pending = self.pending, []
+        if waiting:
+            self._df = laid_out(self._df, waiting)
+        return self._df
+
+    @df.setter
+    def df(self, value: DataFrame) -> None:
+        self._df, self._types = value, dict(value.dtypes)
+
     # windows
     def history(self, *more: Column) -> WindowSpec:
         return Window.partitionBy(*self.segments, "ticker", *more).orderBy("date")
@@ -70,15 +112,15 @@ class Context:
         """The column as a stage of its own."""
         name = f"_s{self.staged}"
         self.staged += 1
-        self.df = self.df.withColumn(name, column)
+        self.pending.append((name, column))
         return F.col(name)
 
     def field(self, name: str) -> Column:
         """A field of the panel, or one derived from its fields, staged at its first use."""
         if name not in self.fields:
-            if name in self.df.columns:
+            if name in self._types:
                 column = F.col(name)
-                self.fields[name] = column if dict(self.df.dtypes)[name] == "string" else column.cast("double")
+                self.fields[name] = column if self._types[name] == "string" else column.cast("double")
             else:
                 definition = field_registry.FIELDS.get(name)
                 if definition is None or definition.build is None:
