@@ -16,6 +16,7 @@ from sigmill.llm.common import crc_mod, long_texts, shared_dir
 from sigmill.llm.queries import table, tokenizer_path
 
 HELD, FOLDS = 2, 4  # as in the operators' own queries, nothing is learned from these rows
+NEAR_PERCENT = 80  # near duplicates: this similarity or more of the word shingle sets; the query of operator 6 has its own, 85
 
 
 def learning_rows(df: DataFrame) -> DataFrame:
@@ -35,9 +36,9 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates (similarity 0.8 or more) the document with the smallest doc_id stays."""
     long_texts(spark)
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

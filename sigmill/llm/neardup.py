@@ -29,7 +29,7 @@ from .common import durable, marked, marks, text_blocks, utf8_block
 
 SHINGLE, HASHES, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 5, 128, 16, 8, 3, 12
 PERCENT = 85  # link: 100 * intersection >= PERCENT * union
-SLACK = 0.13  # a pair's signatures may agree by so much less than a link's (4 standard errors), before it is dropped
+SLACK = 0.13  # a pair's signatures may agree by so much less than a link's (4 standard errors at PERCENT), before it is dropped
 EDGE_BLOCK = 200_000  # edges that one task joins by itself
 BLOCK = 512  # classes of a crowded region that one task compares with as many others
 
@@ -174,9 +174,15 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x.shape[1] * 16 - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
 
 
+def least_share(percent: int) -> float:
+    """The share of equal signature values that a candidate pair needs: 4 standard errors below a link's, and SLACK at least."""
+    p = percent / 100
+    return p - max(SLACK, 4 * (p * (1 - p) / HASHES) ** 0.5)
+
+
 def least_agreement(percent: int) -> float:
     """The equal fields that a candidate pair needs; one in 16 is equal by chance."""
-    share = percent / 100 - SLACK
+    share = least_share(percent)
     return (share + (1 - share) / 16) * HASHES
 
 
@@ -291,7 +297,7 @@ def crowd_links(crowd: DataFrame, classes: DataFrame, sets: DataFrame, groups: D
     columns = ["region", "o", "x", "class_id", "n_shingles", "group", "odd", "sig", "shingles"]
     left = full.where("odd").withColumn("o", at("no")).withColumn("x", each("nb")).select(*columns).toDF(*columns)
     right = full.withColumn("x", at("nb")).withColumn("o", each("no")).select(*columns).toDF(*columns)
-    least = (percent / 100 - SLACK) * HASHES
+    least = least_share(percent) * HASHES
     prefixes = _ORDERS[:, :LEAST_DEPTH]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

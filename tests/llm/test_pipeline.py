@@ -1,6 +1,9 @@
 import corpus_pipeline
 from sigmill.llm import decontamination, langid, neardup, packing, queries, toxicity
 
+from .helpers import docs as table_of
+from .test_neardup import fixture, shingles
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -28,6 +31,36 @@ def test_stages_are_the_operators_decisions(spark):
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect()) == last
 
 
+def smallest_of_groups(rows, percent):
+    """The smallest doc_id of each group of rows (doc_id, text) linked at `percent`, by comparing all pairs."""
+    sets, group = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= percent * len(sets[a] | sets[b]) and group[a] != group[b]:
+                x, y = sorted((group[a], group[b]))
+                group = {i: x if g == y else g for i, g in group.items()}
+    return sorted(set(group.values()))
+
+
+def test_near_duplicates_from_a_similarity_of_80_percent(spark):
+    rows = fixture(300)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table_of(spark, rows), SF).collect())
+    expected = smallest_of_groups(rows, 80)
+    assert kept == expected and len(expected) < len(smallest_of_groups(rows, 85))
+
+
+def test_run_is_its_stages(spark):
+    found = queries.table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, found, SF).collect()
+        if name == "near_dedup":
+            assert sorted(r["doc_id"] for r in kept) == smallest_of_groups([(r["doc_id"], r["text"]) for r in found.collect()], 80)
+        found = spark.createDataFrame(kept, found.schema)
+    last = sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.pack(found, queries.tokenizer_path()).collect())
+    assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect()) == last
+
+
 def test_entry_has_all_queries():
     import __spark_entry__
 
