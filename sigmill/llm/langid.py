@@ -60,39 +60,38 @@ def family_of(lang: str) -> str:
     return FAMILY_OF.get(lang, f"only {lang}")
 
 
-def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (constant last) of a linear support vector machine; y is 1 or -1, both sides weighing the same."""
+def svm(design: np.ndarray, own: np.ndarray, y: np.ndarray, ridge: float = 1e-4, epochs: int = 12, seed: int = 7) -> np.ndarray:
+    """Weights (constant last) of a linear support vector machine on the rows `own` of design; their y is 1 or -1, both sides weighing the same."""
     rng = np.random.default_rng(seed)
-    design = np.column_stack([x, np.ones(len(x), x.dtype)])
     side = {s: 0.5 / max(1, (y == s).sum()) * len(y) for s in (1, -1)}
     cost = np.where(y > 0, side[1], side[-1])
     w, mean, t = np.zeros(design.shape[1]), np.zeros(design.shape[1]), 0
     for epoch in range(epochs):
-        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 32)):
+        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             t += 1
             rate = 1 / (ridge * (t + 2000))
-            part, target = design[rows], y[rows]
+            part, target = design[own[rows]], y[rows]
             wrong = target * (part @ w) < 1
             w *= 1 - rate * ridge
             w += rate * ((cost[rows] * target * wrong) @ part) / len(rows) * 0.05
             if epoch >= epochs // 2:
                 mean += w
-    steps = t - sum(len(np.array_split(np.arange(len(x)), max(1, len(x) // 32))) for _ in range(epochs // 2))
+    steps = t - sum(len(np.array_split(np.arange(len(y)), max(1, len(y) // 32))) for _ in range(epochs // 2))
     return mean / max(1, steps)
 
 
 class Model:
     """langs: sorted. families: sorted names. machines: rows of weights (SIZE + 1); first one for each family, then one for each pair."""
 
-    def __init__(self, langs: list[str], x: np.ndarray, y: np.ndarray):
+    def __init__(self, langs: list[str], design: np.ndarray, y: np.ndarray):
         self.langs = sorted(langs)
         self.families = sorted({family_of(lang) for lang in self.langs})
         of = np.array([family_of(lang) for lang in y])
-        rows = [svm(x, np.where(of == f, 1, -1)) for f in self.families] if len(self.families) > 1 else []
+        rows = [svm(design, np.arange(len(y)), np.where(of == f, 1, -1)) for f in self.families] if len(self.families) > 1 else []
         self.pairs = [(a, b) for a, b in combinations(self.langs, 2) if family_of(a) == family_of(b)]
         for a, b in self.pairs:
-            own = (y == a) | (y == b)
-            rows.append(svm(x[own], np.where(y[own] == a, 1, -1)))
+            own = np.flatnonzero((y == a) | (y == b))
+            rows.append(svm(design, own, np.where(y[own] == a, 1, -1)))
         self.machines = np.array(rows, dtype=np.float32).reshape(-1, SIZE + 1)
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +135,18 @@ def counted(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """The model from rows of docs with text and lang; of each language about train_rows at most, chosen by a hash of the text; equal texts count once."""
     rows = docs.select("lang", "text").where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # copies once, as in the sample
     if not sizes:
         return None
     rate = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(min(1.0, train_rows / n) * 1_000_000))])
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate[F.col("lang")]).dropDuplicates(["lang", "text"])  # copies share a hash
     sample = counted(chosen).limit(2 * train_rows * len(sizes)).toPandas()  # a bounded number of rows of SIZE small numbers
-    x = np.stack([np.frombuffer(c, "<u2") for c in sample["counts"]]).astype(np.float32) if len(sample) else np.zeros((0, SIZE), np.float32)
-    x = x / np.maximum(1, x.sum(axis=1, keepdims=True)) * SCALE
-    return Model(list(sizes), x, sample["lang"].to_numpy())
+    design = np.ones((len(sample), SIZE + 1), np.float32)  # the only copy of the rows that the driver holds while it learns
+    for k, c in enumerate(sample.pop("counts")):
+        design[k, :-1] = np.frombuffer(c, "<u2")
+    design[:, :-1] /= np.maximum(1, design[:, :-1].sum(axis=1, keepdims=True))
+    design[:, :-1] *= SCALE
+    return Model(list(sizes), design, sample["lang"].to_numpy())
 
 
 def verdicts(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray]:

@@ -50,6 +50,15 @@ def test_inputs_are_the_text_alone(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_copies_do_not_thin_the_sample(spark, monkeypatch):
+    rows = corpus()
+    copies = [(1000 + k, "the same text in many copies", "en") for k in range(8000)]
+    monkeypatch.setattr(langid, "Model", lambda langs, design, y: y.tolist())
+    alone, among = (langid.learn(docs(spark, r), train_rows=40) for r in (rows, rows + copies))  # 80 distinct texts a language
+    assert 20 <= alone.count("en") and 20 <= among.count("en") <= 60
+    assert all(alone.count(lang) == among.count(lang) for lang in SYLLABLES if lang != "en")
+
+
 def test_trigrams_stay_within_texts():
     from sigmill.llm.common import utf8_block
 
