@@ -5,6 +5,9 @@ many pieces each length has. The plan works on these counts: lengths from the lo
 with the tightest room, which a segment tree over remaining capacities finds in logarithmic time; bins with one history
 are handled as one group. The plan gives for each length which ranks go to which bins; pieces then find their place by
 their rank among those of their length. Its size depends on the capacity, not on the number of documents.
+
+A piece's rank is its place among those of its length in its own partition, plus what the partitions before hold of that
+length. So no task ever sees more than a partition's rows, however many pieces share one length.
 """
 
 from __future__ import annotations
@@ -16,12 +19,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, text_blocks
 
-CAPACITY, END_ID, SALTS, CACHED_WORDS, MARK = 4096, 1, 64, 600_000, "\x1c"
+CAPACITY, END_ID, MARK = 4096, 1, "\x1c"
+CACHED_WORDS = 160_000  # words that a worker keeps; a block of texts with more of them adds its own for as long as it lasts
+JOINED, AT_ONCE = 512, 8  # words of one text for the tokenizer, and such texts whose encodings are held at once
 
 
 class Tree:
@@ -109,7 +115,8 @@ class Words:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.starts, self.lengths, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
         self.add(list(self.ENDS))
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,31 +125,52 @@ class Words:
             ids = self.encode(words)
             lengths = np.fromiter(map(len, ids), np.int64, len(words))
             return np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum())), lengths
-        joined = [f" {MARK} ".join(words[k : k + 1024]) + f" {MARK}" for k in range(0, len(words), 1024)]
-        ids = np.concatenate([np.array(x, np.uint32) for x in self.encode(joined)]) if joined else np.zeros(0, np.uint32)
-        at = np.flatnonzero(ids == self.mark)
-        return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+        kept, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), JOINED * AT_ONCE):
+            part = words[k : k + JOINED * AT_ONCE]
+            for ids in self.encode([f" {MARK} ".join(part[j : j + JOINED]) + f" {MARK}" for j in range(0, len(part), JOINED)]):
+                ids = np.array(ids, np.uint32)
+                at = np.flatnonzero(ids == self.mark)
+                kept.append(np.delete(ids, at))
+                lengths.append(np.diff(at, prepend=-1) - 1)
+        return np.concatenate(kept), np.concatenate(lengths)
 
     def add(self, new: list[str]) -> None:
         flat, lengths = self.encoded(new)
         base, n = len(self.known), len(new)
         while base + n > len(self.starts):
-            self.starts, self.lengths = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.lengths, self.lengths * 0])
+            self.starts, self.lengths, self.hits = (np.concatenate([x, x * 0]) for x in (self.starts, self.lengths, self.hits))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
         self.flat[self.used : self.used + len(flat)] = flat
         self.lengths[base : base + n] = lengths
         self.starts[base : base + n] = self.used + np.cumsum(lengths) - lengths
+        self.hits[base : base + n] = 0
         self.used += len(flat)
         self.known.update(zip(new, range(base, base + n)))
 
+    def shrink(self, most: int) -> None:
+        """Keeps the `most` words that most blocks have had, ties to the older; their counts are halved, so that words go out of use."""
+        n, ends = len(self.known), len(self.ENDS)
+        keep = np.sort(np.append(np.arange(ends), ends + np.argsort(-self.hits[ends:n], kind="stable")[: max(0, most - ends)]))
+        words = list(self.known)  # in the order of their places
+        flat = np.concatenate([self.flat[:0], *[self.flat[s : s + m] for s, m in zip(self.starts[keep].tolist(), self.lengths[keep].tolist())]])
+        lengths, hits, k = self.lengths[keep], self.hits[keep] // 2, len(keep)
+        self.known = {words[at]: place for place, at in enumerate(keep.tolist())}
+        self.starts, self.lengths, self.hits = (np.zeros(max(1 << 16, k), np.int64) for _ in range(3))
+        self.starts[:k], self.lengths[:k], self.hits[:k] = np.cumsum(lengths) - lengths, lengths, hits
+        self.flat, self.used = np.append(flat, np.zeros(1 << 18, np.uint32)), len(flat)
+
     def places(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > CACHED_WORDS:
-            self.clear()
         new = [w for w in words if w not in self.known]
+        if new and len(self.known) + len(new) > CACHED_WORDS:
+            self.shrink(CACHED_WORDS // 2)
+            new = [w for w in words if w not in self.known]
         if new:
             self.add(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.hits[found] += 1
+        return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and the n + 1 offsets of the texts."""
@@ -187,7 +215,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_for(tokenizer_path)
         for batch in batches:
-            for row, n, texts in text_blocks(batch, most=4 << 20):
+            for row, n, texts in text_blocks(batch):
                 ids, at = words.ids(texts)
                 owner, piece, start, length, crc, out_ids = [], [], [], [], [], []
                 for k in range(n):
@@ -207,22 +235,46 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+def ranked(cut: DataFrame) -> DataFrame:
+    """cut, which must be durable, with _part (its partition) and _r (the row's place among the partition's rows of its length)."""
+    names = cut.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(1, np.int64)
+        for batch in batches:
+            length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(length):
+                continue
+            if length.max() >= len(seen):
+                seen = np.append(seen, np.zeros(length.max() + 1 - len(seen), np.int64))
+            order = np.argsort(length, kind="stable")
+            sorted_ = length[order]
+            local = np.empty(len(length), np.int64)
+            local[order] = np.arange(len(length)) - np.searchsorted(sorted_, sorted_)
+            rank = seen[length] + local
+            seen += np.bincount(length, minlength=len(seen))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], names=[*names, "_part", "_r"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
+    return cut.mapInArrow(number, f"{schema}, _part int, _r long")
+
+
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut with sequence_id and offset: best-fit decreasing over its `length` column (1 to capacity).
 
-    Pieces of one length are ranked by (doc_id, piece, ids_crc32, start); equal rows are interchangeable. A length that very many
-    pieces share is ranked in SALTS parts. An empty table stays empty.
+    cut must be durable: pieces of one length are ranked in the order of its partitions and of their rows, so equal rows,
+    however many, are like any others. An empty table stays empty.
     """
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    parts = durable(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")))  # at most capacity * SALTS rows
-    before = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
+    parts = cut.groupBy(F.spark_partition_id().alias("_part"), "length").agg(F.count(F.lit(1)).alias("_n"))
+    parts = durable(parts.select("_part", "length", "_n"))  # at most capacity rows a partition
+    earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("_part", "length", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     counts = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
     plan = best_fit(counts, capacity)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     keys = (plan[:, 0] << 44) + plan[:, 1]
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "start")).cast("long") - 1
-    ranked = salted.withColumn("_r", rank).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_r") + F.col("_before"))
     names = cut.columns
+    rows = ranked(cut).join(before, ["_part", "length"]).withColumn("_rank", F.col("_r") + F.col("_before"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +286,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(bins), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return ranked.select(*names, "_rank").mapInArrow(fill, f"{schema}, sequence_id long, offset long")
+    return rows.select(*names, "_rank").mapInArrow(fill, f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

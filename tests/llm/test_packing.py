@@ -100,14 +100,29 @@ def test_odd_rows_and_empty(spark):
     assert packing.pack(docs(spark, []), path).collect() == []
 
 
-def test_cache_can_be_cleared(monkeypatch):
+def test_cache_is_bounded_and_keeps_frequent_words(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(packing, "CACHED_WORDS", 8)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
     words = packing.words_for(path)
-    a, at = words.ids(pa.array(["one two three four", "five six seven eight nine", ""]))
-    b, _ = words.ids(pa.array(["one two three four five six seven eight nine"]))
-    assert a.tolist() == b.tolist() and at[2] == at[3]
+    words.clear()
+    fresh = packing.words_for(path).__class__(words.encode)
+    for k in range(30):
+        texts = pa.array([f"the same few words, {' '.join(f'new{k}x{j}.' for j in range(9))}", ""])
+        ids, at = words.ids(texts)
+        monkeypatch.setattr(packing, "CACHED_WORDS", 10**6)
+        expected, offsets = fresh.ids(texts)
+        monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+        assert ids.tolist() == expected.tolist() and at.tolist() == offsets.tolist()
+        assert len(words.known) <= 40 + 14 and list(words.known)[:3] == list(words.ENDS)
+    assert {"the", "same", "few"} <= set(words.known) and "new0x1" not in words.known
+    words.clear()
+
+
+def test_one_length_in_all_rows(spark):
+    rows = packing.pack(docs(spark, [(k % 3, "one two three") for k in range(400)]).repartition(7), path, capacity=10).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(places) == 400 and {r["length"] for r in rows} == {4} and len({s for s, _ in places}) == 200
 
 
 def test_ids_are_kept_on_demand(spark):
