@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_blocks, utf8_block
+from .common import crc_mod, give_back, text_blocks, utf8_block
 
 # Families of related languages by code. Any other code is a family of its own.
 FAMILIES = {
@@ -32,6 +32,7 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 
 SIZE, SCALE = 4096, 64.0
 TRAIN_ROWS = 1500  # training rows of each language, about this many at most
+MOST_LANGS = 200  # languages that are learned, at most
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, dtype=np.uint32)
@@ -60,20 +61,36 @@ def family_of(lang: str) -> str:
     return FAMILY_OF.get(lang, f"only {lang}")
 
 
-def svm(design: np.ndarray, own: np.ndarray, y: np.ndarray, ridge: float = 1e-4, epochs: int = 12, seed: int = 7) -> np.ndarray:
+class Rows:
+    """Sparse rows of SIZE columns: the values of row k are values[at[k] : at[k + 1]], their columns likewise."""
+
+    def __init__(self, columns: np.ndarray, values: np.ndarray, at: np.ndarray):
+        self.columns, self.values, self.at = columns, values, at
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(columns, values, which of the asked rows) of all entries of rows."""
+        many = self.at[rows + 1] - self.at[rows]
+        entries = np.repeat(self.at[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return self.columns[entries], self.values[entries], np.repeat(np.arange(len(rows)), many)
+
+
+def svm(design: Rows, own: np.ndarray, y: np.ndarray, ridge: float = 1e-4, epochs: int = 12, seed: int = 7) -> np.ndarray:
     """Weights (constant last) of a linear support vector machine on the rows `own` of design; their y is 1 or -1, both sides weighing the same."""
     rng = np.random.default_rng(seed)
     side = {s: 0.5 / max(1, (y == s).sum()) * len(y) for s in (1, -1)}
     cost = np.where(y > 0, side[1], side[-1])
-    w, mean, t = np.zeros(design.shape[1]), np.zeros(design.shape[1]), 0
+    w, mean, t = np.zeros(SIZE + 1), np.zeros(SIZE + 1), 0
     for epoch in range(epochs):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             t += 1
             rate = 1 / (ridge * (t + 2000))
-            part, target = design[own[rows]], y[rows]
-            wrong = target * (part @ w) < 1
+            columns, values, which = design.take(own[rows])
+            target = y[rows]
+            wrong = target * (np.bincount(which, values * w[columns], len(rows)) + w[-1]) < 1
+            push = cost[rows] * target * wrong * (rate * 0.05 / len(rows))
             w *= 1 - rate * ridge
-            w += rate * ((cost[rows] * target * wrong) @ part) / len(rows) * 0.05
+            w[:-1] += np.bincount(columns, values * push[which], SIZE)
+            w[-1] += push.sum()
             if epoch >= epochs // 2:
                 mean += w
     steps = t - sum(len(np.array_split(np.arange(len(y)), max(1, len(y) // 32))) for _ in range(epochs // 2))
@@ -83,7 +100,7 @@ def svm(design: np.ndarray, own: np.ndarray, y: np.ndarray, ridge: float = 1e-4,
 class Model:
     """langs: sorted. families: sorted names. machines: rows of weights (SIZE + 1); first one for each family, then one for each pair."""
 
-    def __init__(self, langs: list[str], design: np.ndarray, y: np.ndarray):
+    def __init__(self, langs: list[str], design: Rows, y: np.ndarray):
         self.langs = sorted(langs)
         self.families = sorted({family_of(lang) for lang in self.langs})
         of = np.array([family_of(lang) for lang in y])
@@ -119,34 +136,53 @@ class Model:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, counts): for each row the counts of its trigrams, as bytes of 16-bit numbers."""
+    """(lang, columns, counts): for each row its trigrams, as bytes of 16-bit numbers, and how often each occurs, as bytes of 32-bit numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, n, texts in text_blocks(batch):
                 raw, at = utf8_block(texts)
                 grams, use = trigrams(raw, at)
-                out = [np.minimum(np.bincount(grams[lo:hi][use[lo:hi]], minlength=SIZE), 65535).astype("<u2").tobytes() for lo, hi in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(row, n), pa.array(out, pa.binary())], names=["lang", "counts"])
-
-    return docs.select("lang", "text").mapInArrow(count, "lang string, counts binary")
-
-
-def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """The model from rows of docs with text and lang; of each language about train_rows at most, chosen by a hash of the text; equal texts count once."""
+                columns, counts = [], []
+                for lo, hi in zip(at[:-1], at[1:]):
+                    number = np.bincount(grams[lo:hi][use[lo:hi]], minlength=SIZE)
+                    found = np.flatnonzero(number)
+                    columns.append(found.astype("<u2").tobytes())
+                    counts.append(number[found].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(row, n), pa.array(columns, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "columns", "counts"])
+
+    return docs.select("lang", "text").mapInArrow(count, "lang string, columns binary, counts binary")
+
+
+def sampled(docs: DataFrame) -> tuple[Rows, np.ndarray]:
+    """The sparse rows of the shares of trigrams, times SCALE, and their languages; the order of the rows is that of their contents."""
+    rows = counted(docs).orderBy("lang", "columns", "counts").toArrow().combine_chunks()
+    whole = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+    columns, counts = whole("columns", "<u2"), whole("counts", "<u4")
+    at = np.concatenate([[0], np.cumsum([len(x) // 2 for x in rows.column("columns").to_pylist()], dtype=np.int64)])
+    total = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), counts, len(at) - 1)
+    values = (counts * (SCALE / np.repeat(np.maximum(1, total), np.diff(at)))).astype(np.float32)
+    return Rows(columns, values, at), np.array(rows.column("lang").to_pylist(), dtype=object)
+
+
+def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, most_langs: int = MOST_LANGS) -> Model | None:
+    """The model from rows of docs with text and lang; None if there are none.
+
+    Of each language about train_rows distinct texts at most, chosen by a hash of the text, so copies count once and the
+    order and the partitions of docs don't matter. Of more than most_langs values of lang (a spoiled column) those with the
+    most texts are learned, ties in their order. Null texts and languages take no part; extra columns are ignored.
+    """
     rows = docs.select("lang", "text").where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # copies once, as in the sample
+    texts = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # copies once, as in the sample
+    sizes = {r["lang"]: r["n"] for r in texts.orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not sizes:
         return None
     rate = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(min(1.0, train_rows / n) * 1_000_000))])
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate[F.col("lang")]).dropDuplicates(["lang", "text"])  # copies share a hash
-    sample = counted(chosen).limit(2 * train_rows * len(sizes)).toPandas()  # a bounded number of rows of SIZE small numbers
-    design = np.ones((len(sample), SIZE + 1), np.float32)  # the only copy of the rows that the driver holds while it learns
-    for k, c in enumerate(sample.pop("counts")):
-        design[k, :-1] = np.frombuffer(c, "<u2")
-    design[:, :-1] /= np.maximum(1, design[:, :-1].sum(axis=1, keepdims=True))
-    design[:, :-1] *= SCALE
-    return Model(list(sizes), design, sample["lang"].to_numpy())
+    design, y = sampled(chosen)  # about train_rows rows a language, a few kilobytes each
+    model = Model(list(sizes), design, y)
+    give_back()
+    return model
 
 
 def verdicts(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
