@@ -12,32 +12,39 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; only where it is unset, as in tests, a new local one."""
+    """The shared folder that spark.checkpoint.dir names; only where it is unset and the master is local, as in tests, a new local one."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
 def long_texts(spark: SparkSession) -> SparkSession:
-    """The session, with smaller Arrow batches unless it has its own: 10,000 documents at once take much memory on both sides.
+    """The session, with smaller Arrow batches unless it has its own: 10,000 documents, or 64 MB of them, at once take much memory on both sides.
 
-    Workers also look for this package where the driver found it.
+    Workers also look for this package where the driver found it. Both stay for the rest of the session, as its DataFrames
+    are computed after this call; `SETTINGS` names the settings, so a caller can put them back.
     """
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "2000")
+    for key, (default, smaller) in SETTINGS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, smaller)
     return spark
 
 
@@ -47,6 +54,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*kept: DataFrame) -> None:
+    """Deletes the files of durable DataFrames that nothing will read again; others are left alone."""
+    for df in kept:
+        try:
+            file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        except Py4JError:  # not a checkpoint
+            continue
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table of constants as one JVM literal; no Python rows reach the executors."""
     parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")

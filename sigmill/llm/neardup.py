@@ -1,14 +1,15 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
 1. Every text becomes its set of word shingles (64-bit hashes) and a signature of HASHES minima. Texts with the same set
-   are one class from here on; a class carries its smallest doc_id.
+   are one class from here on, with a number of its own; a class carries its smallest doc_id.
 2. The forest is TREES sorted orders of the classes, each by its own sequence of signature values. In each order a class
    meets the neighbours that share its longest prefixes. How deep a shared prefix must be depends on the region: where
    few classes share the shallowest one, all that do are candidates, and where many do, the order itself brings the
    deepest ones together. A candidate pair must also agree in enough of the whole signature, by a wide margin.
 3. Candidate pairs are confirmed on the full sets. First each class's best pairs are, then all those that still join
    different groups; a pair within a group already joined would change nothing. In a crowded region the order leaves
-   pairs out: there every class outside the region's main group meets, in blocks of bounded size, all classes of other groups.
+   pairs out: there every class outside the region's main group meets, in blocks of bounded size, all classes of other
+   groups, first by signatures alone; those that found a likely partner in a block meet there again with their full sets.
 4. Groups are the connected components, contracted in parts of bounded size and then found with large-star and small-star
    steps; hot keys only ever meet in sums that combine before the shuffle, or in joins that can be split.
 """
@@ -25,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, marked, marks, text_blocks, utf8_block
+from .common import durable, marked, marks, release, text_blocks, utf8_block
 
 SHINGLE, HASHES, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 5, 128, 16, 8, 3, 12
 PERCENT = 85  # link: 100 * intersection >= PERCENT * union
 SLACK = 0.13  # a pair's signatures may agree by so much less than a link's (4 standard errors at PERCENT), before it is dropped
 EDGE_BLOCK = 200_000  # edges that one task joins by itself
-BLOCK = 512  # classes of a crowded region that one task compares with as many others
+BLOCK = 256  # classes of a crowded region that are compared at once with as many others
 
 _B = np.uint64(0x100000001B3)
 _RNG = np.random.default_rng(20)
@@ -127,15 +128,10 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for row, n, texts in text_blocks(batch):
                 hashes, at = shingle_sets(texts, size)
                 counts = np.diff(at)
-                full = np.flatnonzero(counts)
-                d1, d2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                if len(full):
-                    with np.errstate(over="ignore"):  # sums over the set; the hashes are mixed again with two keys
-                        d1[full] = np.add.reduceat(mixed(hashes + np.uint64(0x9E3779B97F4A7C15)), at[:-1][full])
-                        d2[full] = np.add.reduceat(mixed(hashes ^ np.uint64(0xD6E8FEB86659FD93)), at[:-1][full])
+                d1, d2 = digests(hashes, at)
                 sig = [signature(hashes[lo:hi]).tobytes() if hi > lo else None for lo, hi in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, n), pa.array(counts, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig, pa.binary())],
+                    [batch.column("doc_id").slice(row, n), pa.array(counts, pa.int64()), pa.array(d1), pa.array(d2), pa.array(sig, pa.binary())],
                     names=["doc_id", "n_shingles", "d1", "d2", "sig"],
                 )
 
@@ -281,8 +277,9 @@ def crowd_links(crowd: DataFrame, classes: DataFrame, sets: DataFrame, groups: D
     """(a, b): links that join different groups (node, component) in the regions of crowd, as many as join all that are linked there.
 
     The classes of a region's main group need not meet each other: they are joined already. All others meet all classes of
-    other groups, BLOCK by BLOCK of them in a task; likely pairs are confirmed on the full sets, but for those of a class
-    and a group that one link has joined. A pair that shares several regions is tried in the first tree's alone.
+    other groups, BLOCK by BLOCK of them: by signatures first, so that only classes with a likely partner in a block send it
+    their full sets, on which pairs are confirmed, but for those of a class and a group that one link has joined. A pair
+    that shares several regions is tried in the first tree's alone.
     """
     label = groups.select(F.col("node").alias("class_id"), F.col("component"))
     rows = durable(crowd.join(label, "class_id", "left").select("region", "class_id", F.coalesce("component", "class_id").alias("group")))
@@ -290,32 +287,53 @@ def crowd_links(crowd: DataFrame, classes: DataFrame, sets: DataFrame, groups: D
     stats = by_group.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group")).alias("main"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
     stats = durable(stats.where(F.col("groups") > 1).select("region", F.col("main.group").alias("main"), blocks(F.col("total")).alias("nb"), blocks(F.col("total") - F.col("main.n")).alias("no")))
-    full = rows.join(stats, "region").withColumn("odd", F.col("group") != F.col("main"))
-    full = full.join(classes.select("class_id", "n_shingles", "sig"), "class_id").join(sets.select(F.col("id").alias("class_id"), "shingles"), "class_id")
     at = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["region", "o", "x", "class_id", "n_shingles", "group", "odd", "sig", "shingles"]
-    left = full.where("odd").withColumn("o", at("no")).withColumn("x", each("nb")).select(*columns).toDF(*columns)
-    right = full.withColumn("x", at("nb")).withColumn("o", each("no")).select(*columns).toDF(*columns)
     least = least_share(percent) * HASHES
     prefixes = _ORDERS[:, :LEAST_DEPTH]
+    marked_rows = rows.join(stats, "region").withColumn("odd", F.col("group") != F.col("main"))
+    signed_rows = durable(marked_rows.join(classes.select("class_id", "n_shingles", "sig"), "class_id").select("region", "nb", "no", "class_id", "n_shingles", "group", "odd", "sig"))
+    names = ["region", "o", "x", "class_id", "n_shingles", "group", "odd", "sig"]
+    left = signed_rows.where("odd").withColumn("o", at("no")).withColumn("x", each("nb")).select(*names).toDF(*names)
+    right = signed_rows.withColumn("x", at("nb")).withColumn("o", each("no")).select(*names).toDF(*names)
+
+    def likely(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of left, the rows of right that may be linked with it, the likeliest first."""
+        sigs = np.frombuffer(b"".join(right["sig"]), "<u2").reshape(len(right), HASHES)
+        ids, sizes, group, odd = (right[c].to_numpy() for c in ("class_id", "n_shingles", "group", "odd"))
+        tree = int(left["region"].iloc[0]) >> 48
+        for k, (own, n, g, sig) in enumerate(zip(left["class_id"], left["n_shingles"], left["group"], left["sig"])):
+            sig = np.frombuffer(sig, "<u2")
+            can = np.flatnonzero((group != g) & (~odd | (ids > own)) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+            agree = (sigs[can] == sig).sum(axis=1)
+            can, agree = can[agree >= least], agree[agree >= least]
+            first = (sigs[can][:, prefixes] == sig[prefixes]).all(axis=2).argmax(axis=1) == tree
+            yield k, can[first][np.argsort(-agree[first], kind="stable")]
+
+    def hopeful(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """(region, o, x, side, class_id): the rows of either side that have a likely partner in this block."""
+        out = pd.DataFrame({c: [] for c in ("region", "o", "x", "side", "class_id")}, dtype="int64")
+        if len(left) and len(right):
+            both = list(likely(left, right))
+            lefts = np.array([k for k, can in both if len(can)], dtype=np.int64)
+            rights = np.unique(np.concatenate([can for _, can in both] or [np.zeros(0, np.int64)])).astype(np.int64)
+            found = np.concatenate([left["class_id"].to_numpy()[lefts], right["class_id"].to_numpy()[rights]])
+            out = pd.DataFrame({"region": left["region"].iloc[0], "o": left["o"].iloc[0], "x": left["x"].iloc[0], "side": np.repeat([0, 1], [len(lefts), len(rights)]), "class_id": found}, dtype="int64")
+        return out
+
+    kind = "region long, o long, x long, side long, class_id long"
+    hopes = durable(left.groupBy("region", "o", "x").cogroup(right.groupBy("region", "o", "x")).applyInPandas(hopeful, kind))
+    whole = hopes.join(signed_rows.drop("nb", "no"), ["region", "class_id"]).join(sets.select(F.col("id").alias("class_id"), "shingles"), "class_id")
+    side = lambda k: whole.where(F.col("side") == k).select(*names, "shingles").toDF(*names, "shingles").groupBy("region", "o", "x")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            sigs = np.frombuffer(b"".join(right["sig"]), "<u2").reshape(len(right), HASHES)
-            ids, sizes, group, odd = (right[c].to_numpy() for c in ("class_id", "n_shingles", "group", "odd"))
+            ids, group = right["class_id"].to_numpy(), right["group"].to_numpy()
             texts = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
-            tree = int(left["region"].iloc[0]) >> 48
-            for own, n, g, sig, shingles in zip(left["class_id"], left["n_shingles"], left["group"], left["sig"], left["shingles"]):
-                sig, shingles = np.frombuffer(sig, "<u2"), np.frombuffer(shingles, np.uint64)
-                can = np.flatnonzero((group != g) & (~odd | (ids > own)) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-                agree = (sigs[can] == sig).sum(axis=1)
-                can, agree = can[agree >= least], agree[agree >= least]
-                shared = (sigs[can][:, prefixes] == sig[prefixes]).all(axis=2)
-                can, agree = can[shared.argmax(axis=1) == tree], agree[shared.argmax(axis=1) == tree]
-                joined = set()
-                for k in can[np.argsort(-agree, kind="stable")]:
+            for at_left, can in likely(left, right):
+                own, shingles, joined = left["class_id"].iloc[at_left], np.frombuffer(left["shingles"].iloc[at_left], np.uint64), set()
+                for k in can:
                     if group[k] in joined:
                         continue
                     common = len(np.intersect1d(shingles, texts[k], assume_unique=True))
@@ -324,12 +342,25 @@ def crowd_links(crowd: DataFrame, classes: DataFrame, sets: DataFrame, groups: D
                         out.append((min(own, ids[k]), max(own, ids[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return left.groupBy("region", "o", "x").cogroup(right.groupBy("region", "o", "x")).applyInPandas(meet, "a long, b long").distinct()
+    found = durable(side(0).cogroup(side(1)).applyInPandas(meet, "a long, b long").distinct())
+    release(rows, stats, signed_rows, hopes)
+    return found
+
+
+def digests(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each of the sets in two numbers, zeros for an empty one: sums over the set, its hashes mixed again with two keys."""
+    full = np.flatnonzero(np.diff(at))
+    d1, d2 = np.zeros(len(at) - 1, np.uint64), np.zeros(len(at) - 1, np.uint64)
+    if len(full):
+        with np.errstate(over="ignore"):
+            d1[full] = np.add.reduceat(mixed(hashes + np.uint64(0x9E3779B97F4A7C15)), at[:-1][full])
+            d2[full] = np.add.reduceat(mixed(hashes ^ np.uint64(0xD6E8FEB86659FD93)), at[:-1][full])
+    return d1.view(np.int64), d2.view(np.int64)
 
 
-def shingles_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, shingles) of the rows of docs whose doc_id is among ids (doc_id): full sets, in bytes. Texts stay where they are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(marks(ids, "doc_id"))
+def shingles_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, shingles): the full sets, in bytes, of the classes wanted (class_id, doc_id, d1, d2); durable. Texts stay where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks(wanted, "doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -338,10 +369,17 @@ def shingles_of(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFra
             batch = batch.filter(pa.array(marked(bits, batch.column("doc_id").to_numpy(zero_copy_only=False))))
             for row, n, part in text_blocks(batch):
                 hashes, at = shingle_sets(part, size)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), pa.array([hashes[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])], pa.binary())], names=["id", "shingles"])
+                d1, d2 = digests(hashes, at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(row, n), pa.array(d1), pa.array(d2), pa.array([hashes[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])], pa.binary())],
+                    names=["doc_id", "d1", "d2", "shingles"],
+                )
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, shingles binary")
-    return found.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id"])
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, d1 long, d2 long, shingles binary")
+    own = wanted.select(F.col("class_id").alias("id"), "doc_id", "d1", "d2")
+    out = durable(found.join(own, ["doc_id", "d1", "d2"]).select("id", "shingles").dropDuplicates(["id"]))  # a repeated row has the same set
+    shared.destroy()
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -430,16 +468,21 @@ def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
-    Texts without words (or null) have an empty set and link with nothing. Rows of one doc_id are one document if they are
-    equal; a repeated row is reported again. Null doc_ids link with nothing and are kept.
+    Texts without words (or null) have an empty set and link with nothing. Rows of one doc_id are one document if their
+    texts have the same set; with different sets each is a document of its own, in its own component. A repeated row is
+    reported again. Null doc_ids link with nothing and are kept. Extra columns are ignored; an empty table gives one.
     """
     rows = durable(signed(docs, size).select("doc_id", "n_shingles", "d1", "d2", "sig"))
-    classes = durable(rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("first")).select("d1", "d2", "n_shingles", F.col("first.doc_id").alias("class_id"), F.col("first.sig").alias("sig")))
+    own = F.min(F.struct("doc_id", "sig")).alias("first")
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(own).select("d1", "d2", "n_shingles", F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"))
+    classes = durable(classes.withColumn("class_id", F.monotonically_increasing_id()))
     met = durable(scan_orders(forest(classes), percent))
     pairs = durable(candidates(met, percent))
     crowd = durable(crowd_of(met))
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(crowd.select("class_id")).distinct()
-    sets = durable(shingles_of(docs, durable(nodes), size))
+    release(met)
+    nodes = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).union(crowd.select("class_id")).distinct()
+    wanted = durable(classes.join(nodes, "class_id", "left_semi").select("class_id", "doc_id", "d1", "d2"))
+    sets = shingles_of(docs, wanted, size)
     # each class's two best pairs first
     ends = pairs.select(F.col("a").alias("node"), "a", "b", "agree").union(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
     best = ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("x"), F.min(F.struct(-F.col("agree"), "a", "b")).alias("y"))
@@ -449,21 +492,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     rest = durable(apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), groups))
     if rest.limit(1).count():
         groups = joined_groups(groups, durable(confirmed(rest, sets, percent)))
-    more = durable(crowd_links(crowd, classes, sets, groups, percent))
+    more = crowd_links(crowd, classes, sets, groups, percent)
     if more.limit(1).count():
         groups = joined_groups(groups, more)
-    named = classes.select("d1", "d2", "n_shingles", "class_id").join(groups, F.col("class_id") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    release(pairs, crowd, wanted, sets, first, rest, more)
+    # a group's name is its smallest doc_id; a class of no group is one of its own
+    linked = groups.select("node", "component").union(groups.select("component", "component").distinct())
+    least = linked.join(classes.select(F.col("class_id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("name"))
+    by_node = linked.join(least, "component").select("node", "name")
+    named = classes.join(by_node, F.col("class_id") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+    empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()  # these never meet a class, and may be many
+    out = rows.where(~empty).select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """docs, with all their columns, without the rows that near_duplicates() doesn't keep. Rows with a null doc_id stay.
+    """docs, with all their columns, without the rows that near_duplicates() doesn't keep.
 
-    Only rows that may go are joined; all others are kept where they are read.
+    Rows with a null doc_id stay, and all rows of a doc_id one of whose rows is kept. Only rows that may go are joined; all
+    others are kept where they are read.
     """
-    dropped = durable(near_duplicates(docs, percent, size).where(~F.col("kept")).select("doc_id").distinct())
+    found = near_duplicates(docs, percent, size).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    dropped = durable(found.where("not kept and doc_id is not null").select("doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(marks(dropped, "doc_id"))
 
     def part(may_go: bool):

@@ -94,6 +94,28 @@ def test_odd_rows(spark):
     assert neardup.keep_one(docs(spark, ODD)).count() == len(ODD) - 1
 
 
+def test_one_id_on_different_texts(spark):
+    rng = random.Random(5)
+    a, b, c = ([rng.choice(WORDS) for _ in range(60)] for _ in range(3))
+    text = " ".join
+    rows = [(7, text(a)), (7, text(b)), (9, text([*a[:-1], "other"])), (3, text([*b[:-1], "other"])), (9, text(c)), (11, text(c)), (7, text(a))]
+    expected = sorted([(7, 56, 7), (7, 56, 7), (9, 56, 7), (7, 56, 3), (3, 56, 3), (9, 56, 9), (11, 56, 9)])
+    for partitions in (1, 5):
+        got = neardup.near_duplicates(docs(spark, rows).repartition(partitions)).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expected
+    assert sorted(r["doc_id"] for r in neardup.keep_one(docs(spark, rows)).collect()) == [3, 7, 7, 7, 9, 9]
+
+
+def test_region_of_boilerplate(spark, monkeypatch):
+    """Texts that share most of their words, so that one region holds all of them, and few links among them."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(6)
+    shared = [rng.choice(WORDS) for _ in range(120)]
+    rows = [(k, " ".join(shared + [rng.choice(WORDS) for _ in range(rng.choice([0, 12, 30, 34]))])) for k in range(160)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute(rows) and 2 < len({c for _, c in got.values()}) < 160
+
+
 def test_empty(spark):
     assert neardup.near_duplicates(docs(spark, [])).collect() == []
     assert neardup.keep_one(docs(spark, [])).collect() == []
