@@ -2,14 +2,15 @@
 
 Folding lowers case and maps homoglyphs, digits and signs that stand for letters; all that is no letter becomes one
 blank. The lexicon holds whole words and beginnings of words with weights learned from labelled rows: the log of how
-much more often toxic texts have them. Exceptions are words that begin like a listed one but are usual in clean texts.
+much more often toxic texts have them. Exceptions are phrases of one to three words that hold a listed word or beginning but are
+usual in clean texts; nothing counts inside them. All patterns that labelled rows support are listed, however many.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SIGNS = {"@": "a", "$": "s", "!": "i"}
 
 TRAIN_ROWS = 20_000  # labelled rows that the lexicon and its calibration are learned from, at most
-MOST_PATTERNS, LEAST_DOCS, LEAST_WEIGHT, SHORTEST, LONGEST = 4096, 5, 2.0, 4, 8
+LEAST_DOCS, LEAST_WEIGHT = 5, 2.0  # a listed pattern has at least this weight and this many toxic texts
+SHORTEST, LONGEST = 4, 8  # letters of the beginnings of words; a whole word is listed at any length
+PHRASE = 3  # words of an exception, at most
 
 _LETTERS = str.maketrans(HOMOGLYPHS)
 _SIGN = re.compile(r"(?:(?<=[^\W\d_])|(?<![^\s]))[@$!](?=[^\W\d_])")
@@ -57,6 +60,20 @@ def patterns_of(folded: str) -> set[str]:
     return out
 
 
+def phrases_of(folded: str, starts: set[int]) -> set[str]:
+    """The phrases of 1 to PHRASE words (` a phrase `) of a folded text that hold a word whose blank is at one of starts."""
+    words, at, place = folded.split(), {}, 0
+    for k, w in enumerate(words):
+        at[place] = k
+        place += len(w) + 1
+    out = set()
+    for k in (at[s] for s in starts):
+        for n in range(1, PHRASE + 1):
+            for first in range(max(0, k - n + 1), min(k, len(words) - n) + 1):
+                out.add(f" {' '.join(words[first : first + n])} ")
+    return out
+
+
 class Lexicon:
     """weights: by pattern. exceptions: phrases (` a phrase `) in which no pattern counts. model: of the calibration, or None."""
 
@@ -68,7 +85,7 @@ class Lexicon:
         return {**self.__dict__, "_automaton": None}
 
     def hits(self, folded: str) -> list[tuple[int, float]]:
-        """(start, weight) of the longest pattern at each word start, outside of exception phrases."""
+        """(start, weight) of the longest pattern at each word start, in their order, outside of exception phrases."""
         if self._automaton is None:
             import ahocorasick
 
@@ -77,28 +94,32 @@ class Lexicon:
                 a.add_word(p, p)
             if len(a):
                 a.make_automaton()
-            self._automaton = a
+            self._automaton, self._skip = a, set(self.exceptions)
         if not len(self._automaton):
             return []
         best: dict[int, tuple[int, float]] = {}
-        cover: list[tuple[int, int]] = []
-        skip = set(self.exceptions)
+        cover: dict[int, int] = {}  # by start the last end of a phrase
         for end, p in self._automaton.iter(folded):
             start = end - len(p) + 1
-            if p in skip:
-                cover.append((start, end))
+            if p in self._skip:
+                cover[start] = max(cover.get(start, 0), end)
             if (w := self.weights.get(p)) is not None and (start not in best or best[start][0] < len(p)):
                 best[start] = (len(p), w)
-        return [(at, w) for at, (n, w) in best.items() if not any(lo <= at and at + n - 1 <= hi for lo, hi in cover)]
+        out, covered = [], -1
+        for at in sorted({*best, *cover}):
+            covered = max(covered, cover.get(at, -1))
+            if at in best and at + best[at][0] - 1 > covered:
+                out.append((at, best[at][1]))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Largest weight, sum, sum by the logarithm of the length, sum by length in words."""
+        """Largest weight, logarithm of the sum, sum by the logarithm of the length, sum by length in words."""
         folded = fold(text or "")
         found = [w for _, w in self.hits(folded)]
         if not found:
             return 0.0, 0.0, 0.0, 0.0
         words, total = folded.count(" ") - 1, sum(found)
-        return max(found), min(total, 50.0), total / np.log2(2 + words), 100 * total / (words + 20)
+        return max(found), float(np.log1p(total)), total / np.log2(2 + words), 100 * total / (words + 20)
 
     def all_features(self, batch: pa.RecordBatch) -> np.ndarray:
         """Rows of features of a batch's texts."""
@@ -138,46 +159,47 @@ def feature_rows(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.mapInArrow(score, f"{schema}, f0 double, f1 double, f2 double, f3 double")
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
-    """The lexicon from labelled rows (labels: doc_id, toxic 0 or 1) among docs, train_rows at most, in the order of a hash.
-
-    Equal texts count once. Half of the rows give the weights, the others the calibration. Without rows of both labels
-    the lexicon is empty and every score the share of toxic rows (0 if there are none).
-    """
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows
-    part = F.pmod(F.xxhash64(F.col("text")), F.lit(2))
+def counts_of(rows: DataFrame, found_in: Callable[[str], set[str]]) -> DataFrame:
+    """(pattern, t, n): how many toxic and how many other texts of rows (text, toxic) each pattern is found in."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, list[int]] = {}
             for row, n, texts in text_blocks(batch):
                 for text, toxic in zip(texts.to_pylist(), batch.column("toxic").slice(row, n).to_pylist()):
-                    for p in patterns_of(fold(text)):
+                    for p in found_in(fold(text)):
                         found.setdefault(p, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())], names=["pattern", "t", "n"])
 
-    unique = rows.where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).withColumn("part", part).cache()
+    return rows.select("text", "toxic").mapInArrow(count, "pattern string, t long, n long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
+    """The lexicon from labelled rows (labels: doc_id, toxic 0 or 1) among docs, train_rows at most, in the order of a hash.
+
+    Equal texts count once. Half of the rows give the weights and exceptions, the others the calibration. Without rows of
+    both labels the lexicon is empty and every score the share of toxic rows (0 if there are none).
+    """
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows
+    part = F.pmod(F.xxhash64(F.col("text")), F.lit(2))
+    unique = rows.where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("part", part).cache()
     try:
         sizes = {(r["part"], r["toxic"]): r["n"] for r in unique.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         toxic, clean = sizes.get((0, 1), 0), sizes.get((0, 0), 0)
         share = sum(n for (_, t), n in sizes.items() if t) / max(1, sum(sizes.values()))
-        weights: dict[str, float] = {}
-        exceptions: list[str] = []
+        lexicon = Lexicon({}, [])
         if toxic and clean:
-            counted = unique.where("part = 0").select("text", "toxic").mapInArrow(count, "pattern string, t long, n long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+            half = unique.where("part = 0")
             weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (clean + 1))
-            scored = counted.withColumn("w", weight)
-            listed = scored.where((F.col("t") >= LEAST_DOCS) & (F.col("w") >= LEAST_WEIGHT)).orderBy(F.desc(F.col("t") * F.col("w")), "pattern").limit(MOST_PATTERNS)
-            weights = {r["pattern"]: float(r["w"]) for r in listed.collect()}
-            starts = sorted({p.rstrip() for p in weights if not p.endswith(" ")})
-            if starts:
-                plain = scored.where((F.col("n") >= LEAST_DOCS) & (F.col("w") < LEAST_WEIGHT / 2) & F.col("pattern").endswith(" "))
-                like = F.exists(F.array(*[F.lit(s) for s in starts]), lambda s: F.col("pattern").startswith(s))
-                exceptions = [r["pattern"] for r in plain.where(like).orderBy(F.desc("n"), "pattern").limit(MOST_PATTERNS).collect()]
-        lexicon = Lexicon(weights, exceptions)
-        if weights:
+            listed = counts_of(half, patterns_of).where(F.col("t") >= LEAST_DOCS).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
+            lexicon = Lexicon({r["pattern"]: float(r["w"]) for r in listed.collect()}, [])  # of train_rows texts at most
+            if lexicon.weights:
+                held = counts_of(half, lambda folded: phrases_of(folded, {at for at, _ in lexicon.hits(folded)}))
+                usual = held.where(F.col("n") >= LEAST_DOCS).withColumn("w", weight).where(F.col("w") < LEAST_WEIGHT / 2)
+                lexicon = Lexicon(lexicon.weights, sorted(r["pattern"] for r in usual.collect()))
+        if lexicon.weights:
             sample = feature_rows(unique.where("part = 1").select("text", "toxic"), lexicon).select("toxic", "f0", "f1", "f2", "f3").toPandas()  # train_rows rows at most
             if sample["toxic"].nunique() == 2:
                 lexicon.model = logistic(sample[["f0", "f1", "f2", "f3"]].to_numpy(), sample["toxic"].to_numpy(dtype=float))
@@ -203,7 +225,10 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, bar: float = 0.3) -> DataFrame:
-    """docs, with all their columns, without the rows that score `bar` or more."""
+    """docs, with all their columns, without the rows that score `bar` or more.
+
+    A null or empty text scores like a text without a hit; repeated rows share one verdict; an empty table stays empty.
+    """
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +239,11 @@ def reject(docs: DataFrame, lexicon: Lexicon, bar: float = 0.3) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, held: int = 2, folds: int = 4, bar: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted): learned from rows whose crc32(doc_id as text) mod folds is not `held`, applied to all."""
+    """(doc_id, held_out, score, predicted) of every row of docs: learned from rows whose crc32(doc_id as text) mod folds is not `held`.
+
+    Null and empty texts have the score of a text without a hit; a null doc_id counts as the empty text in the fold; repeated
+    rows are repeated, extra columns ignored, and an empty table gives one.
+    """
     fold_of = crc_mod(F.col("doc_id"), folds)
     lexicon = learn(docs.select("doc_id", "text").where(fold_of != held), labels.where(fold_of != held))
     rows = score(docs.select("doc_id", (fold_of == held).alias("held_out"), "text"), lexicon)

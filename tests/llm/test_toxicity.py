@@ -1,5 +1,8 @@
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from sigmill.llm import toxicity as t
 
 from .helpers import ODD, docs
@@ -20,6 +23,41 @@ def test_longest_pattern_and_exceptions():
     assert t.Lexicon({}, []).hits(" a ") == []
 
 
+def naive_hits(lexicon, folded):
+    """The longest pattern at each blank, by comparing every pattern, without those that lie within an exception."""
+    cover = [(k, k + len(e) - 1) for e in lexicon.exceptions for k in range(len(folded)) if folded.startswith(e, k)]
+    out = []
+    for k in range(len(folded)):
+        found = [p for p in lexicon.weights if folded.startswith(p, k)]
+        if found:
+            p = max(found, key=len)
+            if not any(lo <= k and k + len(p) - 1 <= hi for lo, hi in cover):
+                out.append((k, lexicon.weights[p]))
+    return out
+
+
+@given(st.lists(st.sampled_from(["ab", "abc", "abcd", "b", "bc", "ca", "cab"]), max_size=14), st.sets(st.sampled_from([" ab", " ab ", " abc", " abcd ", " b", " ca ", " cab", " ab b"])), st.sets(st.sampled_from([" ab b ", " abc ", " b bc ca ", " ca ab ", " bc b ab "])))
+@settings(max_examples=400, deadline=None)
+def test_automaton_against_comparing_every_pattern(words, patterns, exceptions):
+    lexicon = t.Lexicon({p: float(k + 1) for k, p in enumerate(sorted(patterns))}, sorted(exceptions))
+    folded = t.fold(" ".join(words))
+    assert lexicon.hits(folded) == naive_hits(lexicon, folded)
+
+
+def test_phrases_hold_the_word():
+    assert t.phrases_of(" a b c d ", {4}) == {" c ", " b c ", " c d ", " a b c ", " b c d "}
+    assert t.phrases_of(" a ", {0}) == {" a "} and t.phrases_of(" a b ", set()) == set()
+
+
+def test_phrases_usual_in_clean_texts_are_exceptions(spark):
+    rows, labels = corpus(1500)
+    rng = random.Random(3)
+    rows = [(i, f"{x} the killer" if y else f"{x} killer whale" if rng.random() < 0.02 else x) for (i, x), (_, _, y) in zip(rows, labels)]
+    lexicon = t.learn(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert " killer " in lexicon.weights and " killer whale " in lexicon.exceptions and " the killer " not in lexicon.exceptions
+    assert lexicon.hits(t.fold("Killer whale")) == [] and len(lexicon.hits(t.fold("k1ller"))) == 1
+
+
 def corpus(n=1200):
     rng = random.Random(0)
     plain = [f"plain{a}{b}" for a in "abcdefgh" for b in "qrstuvwxyz"] + ["swinging"]
