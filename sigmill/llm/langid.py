@@ -225,7 +225,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model | None, bar: float = 0.3) -> DataFrame:
-    """docs, with all their columns, without the rows of no language (`und`) or whose language scores below `bar`."""
+    """docs, with all their columns, without the rows of no language (`und`) or whose language scores below `bar`.
+
+    So null and empty texts go, and without a model all rows; repeated rows share one verdict; an empty table stays empty.
+    """
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +239,11 @@ def reject(docs: DataFrame, model: Model | None, bar: float = 0.3) -> DataFrame:
 
 
 def classify(docs: DataFrame, held: int = 2, folds: int = 4) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learned from rows whose crc32(doc_id as text) mod folds is not `held`, applied to all."""
+    """(doc_id, held_out, lang_pred, score) of every row of docs: learned from rows whose crc32(doc_id as text) mod folds is not `held`.
+
+    A null doc_id counts as the empty text in the fold; a null text, or one without a letter, is `und` with score 0; repeated
+    rows are repeated, extra columns ignored, and an empty table gives one.
+    """
     fold_of = crc_mod(F.col("doc_id"), folds)
     model = learn(docs.where(fold_of != held))
     return identify(docs.select("doc_id", (fold_of == held).alias("held_out"), "text"), model)
