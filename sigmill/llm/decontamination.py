@@ -6,7 +6,7 @@ counted in diagonal bands of width 2 (k + 1), each overlapping the next by half,
 that reach the bound are verified by a banded alignment of the whole item.
 
 Texts are compared in lower case, runs of white space as one blank. Items go out to the tasks in blocks of bounded
-size; every block meets every text.
+size. The documents are read once: a task holds a bounded part of its texts, and every block of items meets that part.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import durable, text_blocks
 
 Q, EDIT_RATE = 10, 0.07
 BLOCK_CHARS = 1 << 20  # of items that one broadcast holds
+TABLES, HELD = 2, 32 << 20  # blocks whose tables a task keeps, and bytes of text that it holds for each round of the others
 
 _LOWER = np.arange(1 << 16, dtype=np.uint32)
 for _c in range(1 << 16):
@@ -208,47 +211,90 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[tuple
             yield [r["item_id"] for r in found], [r["text"] for r in found]
 
 
+def shipped_items(docs: DataFrame, benchmark: DataFrame) -> list[Broadcast]:
+    """(ids, texts) of each block of items, sent out one after another."""
+    return [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark)]
+
+
+def held_parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about `most` bytes; 0: each by itself."""
+    part, size = [], 0
+    for batch in batches:
+        part.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+class Blocks:
+    """The tables of a task's blocks of items; the first TABLES of them are kept, the others made for each part of the texts."""
+
+    def __init__(self, shipped: list[Broadcast], q: int, rate: float):
+        self.shipped, self.q, self.rate = shipped, q, rate
+        self.kept: list[Items] = []
+
+    @property
+    def held(self) -> int:
+        return HELD if len(self.shipped) > TABLES else 0
+
+    def __iter__(self) -> Iterator[Items]:
+        for k, one in enumerate(self.shipped):
+            if k < len(self.kept):
+                yield self.kept[k]
+                continue
+            items = Items(*one.value, q=self.q, rate=self.rate)
+            if one._path is not None:  # a worker would hold every block's texts; they can be read again
+                one.__dict__.pop("_value", None)
+            if k < TABLES:
+                self.kept.append(items)
+            yield items
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
     """(doc_id, item_id, start, end, edits): for each row of docs and each item the best occurrence within the budget.
 
     The budget is floor(rate * characters of the item) edits; start and end are character places in the original text.
     Rows with a null or empty text have none; items that are null or empty are skipped; repeated items count once, a
-    repeated row of docs is reported again.
+    repeated row of docs is reported again. Null doc_ids are reported as such; extra columns are ignored; ids of any type stay as they are.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    item_type = benchmark.schema["item_id"].dataType
-    schema = f"doc_id {id_type}, item_id {item_type.simpleString()}, start int, end int, edits int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for ids, texts in item_blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast((ids, texts))  # about BLOCK_CHARS characters
-
-        def find(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            items = Items(*shipped.value, q=q, rate=rate)
-            for batch in batches:
-                for row, _, texts in text_blocks(batch):
-                    found = list(matches(items, texts.to_pylist()))
-                    if found:
-                        owner = batch.column("doc_id").take(pa.array([row + t for t, *_ in found]))
-                        rest = [pa.array([f[c] for f in found], pa.int32()) for c in (2, 3, 4)]
-                        yield pa.RecordBatch.from_arrays([owner, pa.array([items.ids[f[1]] for f in found]).cast(pa_type), *rest], names=["doc_id", "item_id", "start", "end", "edits"])
-
-        pa_type = pa.int64() if item_type.simpleString() == "bigint" else pa.int32() if item_type.simpleString() == "int" else pa.string()
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(find, schema))
-    return out
+    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    pa_type = to_arrow_type(item_type)
+    shipped = shipped_items(docs, benchmark)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(shipped, q, rate)
+        for part in held_parts(batches, blocks.held):
+            for items in blocks:
+                for batch in part:
+                    for row, _, texts in text_blocks(batch):
+                        found = list(matches(items, texts.to_pylist()))
+                        if found:
+                            owner = batch.column("doc_id").take(pa.array([row + t for t, *_ in found]))
+                            rest = [pa.array([f[c] for f in found], pa.int32()) for c in (2, 3, 4)]
+                            yield pa.RecordBatch.from_arrays([owner, pa.array([items.ids[f[1]] for f in found], pa_type), *rest], names=["doc_id", "item_id", "start", "end", "edits"])
+
+    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {id_type}, item_id {item_type.simpleString()}, start int, end int, edits int")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
-    """docs, with all their columns, without the rows in which a benchmark item occurs."""
-    for ids, texts in item_blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast((ids, texts))  # about BLOCK_CHARS characters
-
-        def drop(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            items = Items(*shipped.value, q=q, rate=rate)
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for row, _, texts in text_blocks(batch):
-                    clean[[row + t for t, *_ in matches(items, texts.to_pylist())]] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(drop, docs.schema)
-    return docs
+    """docs, with all their columns, without the rows in which a benchmark item occurs.
+
+    Null and empty texts stay; null and empty items take no part; repeated rows share one verdict; empty tables change nothing.
+    """
+    shipped = shipped_items(docs, benchmark)
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(shipped, q, rate)
+        for part in held_parts(batches, blocks.held):
+            clean = [np.ones(batch.num_rows, bool) for batch in part]
+            for items in blocks:
+                for k, batch in enumerate(part):
+                    for row, _, texts in text_blocks(batch):
+                        clean[k][[row + t for t, *_ in matches(items, texts.to_pylist())]] = False
+            for k, batch in enumerate(part):
+                yield batch.filter(pa.array(clean[k]))
+
+    return docs.mapInArrow(drop, docs.schema)

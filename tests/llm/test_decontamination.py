@@ -89,8 +89,20 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rows = [(k, prose(rng, 5) + " " + items[k % 12][1] + " " + prose(rng, 5)) for k in range(24)]
     df = spark.createDataFrame(items, "item_id int, text string")
     whole = sorted(map(tuple, d.contamination(docs(spark, rows), df).collect()))
+    kept = sorted(r["doc_id"] for r in d.decontaminate(docs(spark, [*rows, (99, "alpha")]), df).collect())
     monkeypatch.setattr(d.item_blocks, "__defaults__", (200,))
-    assert sorted(map(tuple, d.contamination(docs(spark, rows), df).collect())) == whole and len(whole) >= 24
+    found = d.contamination(docs(spark, rows).repartition(3), df)
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) >= 24
+    left = d.decontaminate(docs(spark, [*rows, (99, "alpha")]), df)
+    assert sorted(r["doc_id"] for r in left.collect()) == kept == [99]
+    for frame in (found, left):  # one pass over the documents for all blocks
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([(1.5, "three four five six")], "item_id double, text string")
+    rows = spark.createDataFrame([("a", "one two three four five six"), ("b", "one")], "doc_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in d.contamination(rows, df).collect()] == [("a", 1.5)]
 
 
 def test_odd_rows_and_empty(spark):
