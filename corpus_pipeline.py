@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; run() writes each result as Parquet to
 the shared folder and reads it again. All stages but the last return the columns of documents.
+
+In every stage extra columns, whatever their names, are carried along; repeated rows share one verdict; a null doc_id is
+a document like any other; an empty table gives an empty one. What null and empty texts meet is said with each stage.
 """
 
 from __future__ import annotations
@@ -24,30 +27,33 @@ def learning_rows(df: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is 0.3 or more go."""
+    """Documents whose toxicity score is 0.3 or more go. Null and empty texts score like a text without a listed word, so they stay."""
     lexicon = toxicity.learn(learning_rows(docs.select("doc_id", "text")), learning_rows(table(spark, sf_dir, "labels")))
     return toxicity.reject(docs, lexicon)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is unsure, go."""
+    """Documents without a letter, null and empty texts among them, or whose language is unsure, go."""
     long_texts(spark)
     return langid.reject(docs, langid.learn(learning_rows(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (similarity 0.8 or more) the document with the smallest doc_id stays."""
+    """Of each group of near duplicates (similarity 0.8 or more) the document with the smallest doc_id stays.
+
+    Texts without a word, null doc_ids and all rows of a doc_id that stays are kept.
+    """
     long_texts(spark)
     return neardup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item occurs go."""
+    """Documents in which a benchmark item occurs go; null and empty texts and items match nothing."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences."""
+    """What is left is packed into sequences; a null or empty text is one piece with the end id."""
     long_texts(spark)
     return packing.pack(docs, tokenizer_path())
 
@@ -60,7 +66,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-ORACLE_SQL = None  # tokenizers and learned models are beyond SQL; tests/llm holds run() against brute force
+ORACLE_SQL = None  # tokenizers and learned models are beyond SQL; tests/llm holds the stages against plain versions written apart
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
