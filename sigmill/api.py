@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,12 @@ class Workspace:
     def __init__(self, panel: DataFrame, universes: dict[str, tuple[str, ...]] | None = None, benchmark: DataFrame | None = None, factors: DataFrame | None = None, store: Store | None = None):
         self.panel, self.universes, self.benchmark, self.factors, self.store = panel, universes or {}, benchmark, factors, store
         self._coverage: float | None = None
+        self._held: list[DataFrame] = []
+
+    def release(self) -> None:
+        """Frees what the last simulate() keeps; its tables still work, but are computed anew."""
+        while self._held:
+            self._held.pop().unpersist()
 
     # what there is
     def operators(self) -> list[dict]:
@@ -95,10 +101,12 @@ class Workspace:
 
     # backtests
     def simulate(self, formula: str, settings: portfolio.Settings = portfolio.Settings(), trials: int = 1, size: str | None = None, level: str = "sector") -> dict[str, DataFrame | dict]:
-        """All tables of one backtest; each is lazy but for `factors` and `verdict`."""
+        """All tables of one backtest; each is lazy but for `factors` and `verdict`. Positions and daily results are kept until the next call, or release()."""
         self._gate(check(formula))
         book, days = portfolio.simulate(self.panel, formula, settings)
+        self.release()
         book, days = book.persist(), days.persist()
+        self._held = [book, days]
         series = signal_quality.ic_series(book, signal_quality.HORIZONS)
         out: dict[str, DataFrame | dict] = {
             "positions": book, "daily": days, "summary": statistics.deflated(performance.summary(days, self.benchmark), trials), "drawdowns": performance.drawdowns(days),
@@ -110,11 +118,10 @@ class Workspace:
             out |= {"exposure": exposure.group_exposure(book, level), "exposure_series": exposure.group_exposure_series(book, level), "attribution": exposure.attribution(book, level)}
         if size:
             sizes = evaluate(self.panel, size, names=["size"])
-            out |= {"size_exposure": exposure.size_exposure(book, sizes), "size_distribution": exposure.size_distribution(book, sizes)}
+            out |= {"size_exposure": exposure.size_exposure(book, sizes), "size_distribution": exposure.size_distribution(book, sizes), "size_quality": exposure.size_quality(sizes)}
         if self.factors is not None:
             out["factors"] = statistics.factor_regression(days.where("segment = 'is'"), self.factors) or {}
-        rows = {r["segment"]: r.asDict() for r in out["summary"].collect()}
-        out["verdict"] = performance.compare_halves(rows.get("is", {}), rows.get("oos", {}))
+        out["verdict"] = performance.compare_halves(out["summary"]).first().asDict()
         return out
 
     def walk_forward(self, formula: str, settings: portfolio.Settings = portfolio.Settings()) -> DataFrame:
@@ -138,7 +145,7 @@ class Workspace:
 
     def shuffle_test(self, formula: str, settings: portfolio.Settings = portfolio.Settings(), number: int = 50, seed: int = 0) -> dict:
         check(formula)
-        return batch.verdict(batch.permutation_runs(self.panel, formula, settings.with_(run_oos=False), number, seed))
+        return batch.verdict(batch.permutation_runs(self.panel, formula, settings.with_(run_oos=False), number, seed), number)
 
     # saved strategies
     def save(self, name: str, formula: str, settings: portfolio.Settings = portfolio.Settings(), notes: str | None = None) -> int:
@@ -149,7 +156,7 @@ class Workspace:
         days.unpersist()
         return self.store.save(
             name=name, expression=formula, notes=notes, sharpe=half["sharpe"], annual_return=half["annual_return"], max_drawdown=half["max_drawdown"], turnover=half["avg_turnover"], fitness=half["fitness"],
-            result_json=result_json(rows, {k: v for k, v in asdict(settings).items() if k != "universe"}), code_signature=statistics.code_signature(), data_signature=statistics.data_signature(self.panel).first()["signature"], git_hash=statistics.git_hash(),
+            result_json=result_json(rows, settings.saved()), code_signature=statistics.code_signature(), data_signature=statistics.data_signature(self.panel).first()["signature"], git_hash=statistics.git_hash(),
         )
 
     def saved_correlations(self) -> DataFrame:
@@ -164,12 +171,15 @@ class Workspace:
         chosen = statistics.subsets(ids, samples=samples, seed=seed) if len(ids) >= 2 else []
         return statistics.diversification(pool, pool.sparkSession.createDataFrame(chosen, "n int, sample int, id long")).orderBy("n")
 
-    def verify(self, id_: int, settings: portfolio.Settings = portfolio.Settings(), tolerance: float = 1e-3) -> dict:
-        """Runs a saved strategy again: whether its Sharpe ratio and signatures are as they were."""
+    def verify(self, id_: int, tolerance: float = 1e-3) -> dict:
+        """Runs a saved strategy again with its saved settings: whether its Sharpe ratio and signatures are as they were."""
         row = self.store.get(id_)
         if row is None:
             raise KeyError(f"no strategy {id_}")
+        settings = portfolio.Settings.restored(json.loads(row["result_json"] or "{}").get("settings"))
         _, days = portfolio.simulate(self.panel, row["expression"], settings)
-        now = performance.summary(days).where("segment = 'is'").first()["sharpe"]
+        found = performance.summary(days).where("segment = 'is'").first()
+        now, saved = found["sharpe"] if found else None, row["sharpe"]
         data = statistics.data_signature(self.panel).first()["signature"]
-        return {"sharpe_saved": row["sharpe"], "sharpe_now": now, "matches": abs(now - row["sharpe"]) <= tolerance, "same_code": row["code_signature"] == statistics.code_signature(), "same_data": row["data_signature"] == data}
+        same = now is None and saved is None or now is not None and saved is not None and abs(now - saved) <= tolerance
+        return {"sharpe_saved": saved, "sharpe_now": now, "matches": same, "same_code": row["code_signature"] == statistics.code_signature(), "same_data": row["data_signature"] == data}

@@ -66,6 +66,14 @@ def size_tilt(distribution: DataFrame, by: tuple[str, ...] = SEGMENT) -> DataFra
     return out.withColumn("tilt", F.col("long_avg") - F.col("short_avg"))
 
 
+APPROXIMATE_BELOW = 10_000.0  # fixed value: a size whose largest value is less is a price rather than a market value
+
+
+def size_quality(sizes: DataFrame) -> DataFrame:
+    """(is_approximation): whether `size` can't be a market value, as all its values are below APPROXIMATE_BELOW; false without values."""
+    return sizes.agg(F.coalesce(F.max(F.abs("size")) < APPROXIMATE_BELOW, F.lit(False)).alias("is_approximation"))
+
+
 def attribution(book: DataFrame, level: str = "sector", by: tuple[str, ...] = SEGMENT) -> DataFrame:
     """(by, group, allocation, selection, total, n_tickers): profit of a group's net weight at its mean return of the same date, and the rest."""
     rows = _grouped(book, level)

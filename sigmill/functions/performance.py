@@ -132,11 +132,23 @@ def regime_table(spark, regimes=REGIMES) -> DataFrame:
     return spark.createDataFrame(regimes, "name string, start string, end string").select("name", F.to_date("start").alias("start"), F.to_date("end").alias("end"))
 
 
-def compare_halves(is_: dict, oos: dict) -> dict:
-    """How far the Sharpe ratio fell out of sample, with a label: of the summaries of both halves."""
-    a, b = is_.get("sharpe"), oos.get("sharpe")
-    if a is None or b is None or abs(a) < 1e-12:
-        return {"decay": None, "label": "unknown", "severity": "warn", "overfit": False}
-    decay = (a - b) / abs(a)
-    label, severity = next((x[1:] for x in ((0.2, "robust", "good"), (0.4, "mild decay", "ok"), (0.6, "strong decay", "warn")) if decay < x[0]), ("overfit", "bad"))
-    return {"decay": decay, "label": label, "severity": severity, "overfit": decay > 0.5 or b < 0}
+#: Severity of a fall of the Sharpe ratio out of sample below each share; a losing second half is severe whatever the fall.
+SEVERITIES = ((0.2, "robust"), (0.4, "moderate"), (0.6, "high"))
+WORST, OVERFIT = "severe", 0.5
+
+
+def compare_halves(summary: DataFrame) -> DataFrame:
+    """One row from a summary with the segments `is` and `oos`: how far the Sharpe ratio and the yearly return fell, as shares of their size in sample, and how severe that is.
+
+    A share is 0 if the value in sample is 0; all but the dates are null if one half is missing.
+    """
+    of = lambda s, c: F.max(F.when(F.col("segment") == s, F.col(c)))
+    names = {"sharpe": "sharpe", "annual_return": "return", "start_date": "start", "end_date": "end"}
+    row = summary.agg(*[of(s, c).alias(f"{s}_{n}") for s in ("is", "oos") for c, n in names.items()])
+    fall = lambda n: F.when(F.col(f"is_{n}") == 0, F.when(F.col(f"oos_{n}").isNotNull(), 0.0)).otherwise((F.col(f"is_{n}") - F.col(f"oos_{n}")) / F.abs(f"is_{n}"))
+    row = row.withColumn("sharpe_decay", fall("sharpe")).withColumn("return_decay", fall("return"))
+    severity = F.when(F.col("sharpe_decay").isNull(), F.lit(None).cast("string")).when(F.col("oos_sharpe") < 0, WORST)
+    for bound, name in SEVERITIES:
+        severity = severity.when(F.col("sharpe_decay") < bound, name)
+    flag = (F.col("sharpe_decay") > OVERFIT) | (F.col("oos_sharpe") < 0)
+    return row.select("sharpe_decay", "return_decay", flag.alias("overfitting_flag"), severity.otherwise(WORST).alias("severity"), "is_start", "is_end", "oos_start", "oos_end")

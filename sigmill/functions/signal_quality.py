@@ -14,7 +14,7 @@ SEGMENT = ("segment",)
 
 def date_rank(value: str, by: tuple[str, ...]) -> Column:
     """Mean-tie rank of value on its date; null for a missing value, and if the date has fewer than two."""
-    rank, n = mean_rank(F.col(value), Window.partitionBy(*by, "date"))
+    rank, n = mean_rank(F.col(value), lambda *more: Window.partitionBy(*by, "date", *more))
     return F.when(F.col(value).isNotNull() & (n > 1), rank)
 
 

@@ -10,16 +10,19 @@ from sigmill.plans.syntax import ExpressionError
 from .timeseries import positive, zero_if_tiny
 
 
-def mean_rank(x, window):
-    """(mean-tie rank among the values of the window's rows, number of values). Ranks from both ends need no grouping by value, so all stays in one partitioning."""
-    n = F.count(x).over(window)
-    first, last = F.rank().over(window.orderBy(x.asc_nulls_last())), F.rank().over(window.orderBy(x.desc_nulls_last()))
-    return (first + n + 1 - last) / 2, n
+def mean_rank(x, across):
+    """(mean-tie rank among the values of the rows of across(), number of values); across(more) splits those by more columns.
+
+    Both windows take the rows by value, nulls first, so one sort serves the ranks and the ties.
+    """
+    n, rows = F.count(x).over(across()), F.count(F.lit(1)).over(across())
+    first, ties = F.rank().over(across().orderBy(x.asc())) - (rows - n), F.count(F.lit(1)).over(across(x))
+    return first + (ties - 1) / 2, n
 
 
 def share_of_rank(c, x, *parts):
     """Mean-tie rank among the values of one cross-section part, as a share of their number; null stays null."""
-    rank, n = mean_rank(x, c.across(*parts))
+    rank, n = mean_rank(x, lambda *more: c.across(*parts, *more))
     return F.when(x.isNotNull(), rank / n)
 
 
@@ -127,8 +130,8 @@ def kth_element(c, x, k):
     """The k-th smallest value on every row of the date, from the largest on if k is negative; null if there is none."""
     if k == 0:
         return c.nothing(x)
-    ordered = c.settle(F.sort_array(F.collect_list(x).over(c.across())))
-    return F.try_element_at(ordered, F.lit(k))
+    place = c.settle(F.row_number().over(c.across().orderBy(x.asc_nulls_last() if k > 0 else x.desc_nulls_last())))
+    return F.max(F.when(place == abs(k), x)).over(c.across())
 
 
 @function("harmonic_mean(x)", "cross_sectional")
@@ -147,7 +150,7 @@ def geometric_mean(c, x):
 @function("step(x)", "cross_sectional")
 def step(c, x):
     """Rank brought to -1 to 1; null if the date has a single value."""
-    rank_, n = mean_rank(x, c.across())
+    rank_, n = mean_rank(x, c.across)
     return F.when(x.isNotNull() & (n > 1), (rank_ - (n + 1) / 2) / ((n - 1) / 2))
 
 

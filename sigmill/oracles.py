@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from sigmill.functions.fields import MACRO_BASE, MACRO_SPREADS
 
 ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, price"
@@ -358,12 +361,23 @@ EQUITY = [
     "eq AS (SELECT *, equity / peak - 1 AS drawdown, equity < peak AS underwater FROM e1)",
     "bench AS (SELECT date, coalesce(avg(returns), 0) AS b FROM p GROUP BY date)",
 ]
+YEARLY = "CASE WHEN 1 + sum(ret) > 0 THEN pow(1 + sum(ret), 252e0 / count(*)) - 1 ELSE 0 END"
+YEARLY = f"({YEARLY})"
+COSTS = "SELECT segment, " + ", ".join(f"{rounded(v, 3 if k == 'cost_pct_of_gross' else 1)} AS {k}" for k, v in {
+    "gross_pnl": "sum(gross)", **{f"{c}_cost": f"sum({c})" for c in ("flat", "spread", "impact", "borrow")}, "total_cost": "sum(flat + spread + impact + borrow)", "net_pnl": "sum(net)", "cost_pct_of_gross": "100 * sum(flat + spread + impact + borrow) / abs(sum(gross))",
+}.items()) + " FROM daily GROUP BY segment"
+HALVES = (
+    f"SELECT {rounded('sd', 4)} AS sharpe_decay, {rounded('rd', 4)} AS return_decay, sd > 0.5 OR os < 0 AS overfitting_flag, CASE WHEN sd IS NULL THEN NULL WHEN os < 0 THEN 'severe' WHEN sd < 0.2 THEN 'robust' WHEN sd < 0.4 THEN 'moderate' WHEN sd < 0.6 THEN 'high' ELSE 'severe' END AS severity, is_start, is_end, oos_start, oos_end FROM "
+    f"(SELECT (i.sh - o.sh) / abs(i.sh) AS sd, (i.yr - o.yr) / abs(i.yr) AS rd, o.sh AS os, i.a AS is_start, i.b AS is_end, o.a AS oos_start, o.b AS oos_end FROM hv i JOIN hv o ON i.segment = 'is' AND o.segment = 'oos')"
+)
 SUMMARY = (
-    f"SELECT segment, count(*) AS n_days, {rounded(sharpe_sql())} AS sharpe, {rounded('sum(ret)')} AS total_return, {rounded('CASE WHEN 1 + sum(ret) > 0 THEN ln(1 + sum(ret)) * 252e0 / count(*) ELSE 0 END')} AS annual_return, "
+    f"SELECT segment, count(*) AS n_days, {rounded(sharpe_sql())} AS sharpe, {rounded('sum(ret)')} AS total_return, {rounded('ln(1 + abs(CASE WHEN 1 + sum(ret) > 0 THEN pow(1 + sum(ret), 252e0 / count(*)) - 1 ELSE 0 END))')} AS annual_return, "
     f"{rounded('stddev_samp(ret) * sqrt(252e0)')} AS annual_vol, {rounded('min(drawdown)')} AS max_drawdown, {rounded('coalesce(avg(ret) / sqrt(var_samp(CASE WHEN ret < 0 THEN ret END)) * sqrt(252e0), 0)')} AS sortino_ratio, "
     f"{rounded('avg(turnover)', 1)} AS avg_turnover, {rounded('avg(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END)')} AS win_rate, {rounded('sum(CASE WHEN net > 0 THEN net END) / -sum(CASE WHEN net < 0 THEN net END)')} AS profit_factor, "
     f"{rounded('abs(quantile_cont(ret, 0.95)) / abs(quantile_cont(ret, 0.05))')} AS tail_ratio, {rounded('100 * sum(flat + spread + impact + borrow) / abs(sum(gross))', 3)} AS cost_pct_of_gross, "
-    f"{rounded('avg(long) / max(gross_exposure)')} AS long_exposure, {rounded('avg(short) / max(gross_exposure)')} AS short_exposure, {rounded('covar_samp(ret, b) / var_samp(b)')} AS beta, "
+    f"{rounded('avg(long) / max(gross_exposure)')} AS long_exposure, {rounded('avg(short) / max(gross_exposure)')} AS short_exposure, {rounded('avg(long - short) / max(gross_exposure)')} AS gross_exposure, {rounded('avg(long + short) / max(gross_exposure)')} AS net_exposure, "
+    f"{rounded('ln(1 + abs(CASE WHEN min(drawdown) < 0 THEN ' + YEARLY + ' / -min(drawdown) ELSE 0 END))', 4)} AS calmar_ratio, {rounded('ln(1 + abs(' + sharpe_sql() + ' * sqrt(abs(' + YEARLY + ')) * greatest(0, 1 - avg(turnover) / max(gross_exposure))))', 4)} AS fitness, "
+    f"{rounded('ln(1 + abs(sqrt(abs(' + YEARLY + ') / greatest(abs(avg(turnover) / max(gross_exposure)), 0.125e0)) * ' + sharpe_sql() + '))', 4)} AS fitness_wq, {rounded('covar_samp(ret, b) / var_samp(b)')} AS beta, "
     f"{rounded('avg(ret - b) / stddev_samp(ret - b) * sqrt(252e0)')} AS information_ratio, {rounded('skewness(ret)', 4)} AS skew, {rounded('kurtosis(ret) + 3', 4)} AS kurt FROM eq JOIN bench USING (date) GROUP BY segment"
 )
 DURATIONS = (
@@ -407,9 +421,13 @@ SIZES = [
 ]
 REGIMES = "(VALUES ('first_rates', DATE '1995-06-01', DATE '1996-06-01'), ('mid', DATE '1997-01-01', DATE '1998-06-01'), ('late', DATE '2000-01-01', DATE '2001-10-01'), ('empty', DATE '2008-01-01', DATE '2009-01-01'), ('short', DATE '1999-01-01', DATE '1999-02-01')) AS t(name, s, e)"
 STRESS = (
-    "SELECT segment, name, count(*) AS n_days, {sh} AS sharpe, {tot} AS total_return, {dd} AS max_drawdown, {hit} AS hit_rate FROM (SELECT *, equity / max(equity) OVER (PARTITION BY segment, name ORDER BY date) - 1 AS drawdown FROM "
+    "SELECT segment, name, count(*) AS n_days, {sh} AS sharpe, {tot} AS total_return, {dd} AS max_drawdown, {hit} AS hit_rate, {yr} AS annualised_return, CASE WHEN {raw} >= 0.5 THEN 'good' WHEN {raw} >= -0.5 THEN 'warn' ELSE 'bad' END AS severity FROM (SELECT *, equity / max(equity) OVER (PARTITION BY segment, name ORDER BY date) - 1 AS drawdown FROM "
     f"(SELECT segment, name, date, ret, 1 + sum(ret) OVER (PARTITION BY segment, name ORDER BY date) AS equity FROM daily JOIN {REGIMES} ON date BETWEEN s AND e)) GROUP BY segment, name HAVING count(*) >= 5"
-).replace("{sh}", rounded(sharpe_sql())).replace("{tot}", rounded("sum(ret)")).replace("{dd}", rounded("min(drawdown)")).replace("{hit}", rounded("avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END)"))
+).replace("{sh}", rounded(sharpe_sql())).replace("{raw}", sharpe_sql()).replace("{yr}", rounded(f"ln(1 + {YEARLY})", 4)).replace("{tot}", rounded("sum(ret)")).replace("{dd}", rounded("min(drawdown)")).replace("{hit}", rounded("avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END)"))
+
+
+# the expected largest of 20 standard normal values, by the usual approximation with Euler's constant
+BEST_OF_20 = (1 - 0.5772156649015329) * NormalDist().inv_cdf(1 - 1 / 20) + 0.5772156649015329 * NormalDist().inv_cdf(1 - 1 / (20 * math.e))
 
 
 def analytics() -> dict[str, str]:
@@ -439,6 +457,10 @@ def analytics() -> dict[str, str]:
         "analytics_attribution": w(EXPOSURE, f"SELECT segment, g AS \"group\", {rounded('alloc', 7)} AS allocation, {rounded('total - alloc', 7)} AS selection, {rounded('total', 7)} AS total, n_tickers FROM xe JOIN xt USING (segment, g)"),
         "analytics_attribution_totals": w(EXPOSURE, f"SELECT segment, {rounded('sum(alloc)', 6)} AS allocation, {rounded('sum(total - alloc)', 6)} AS selection, {rounded('100 * abs(sum(alloc)) / (abs(sum(alloc)) + abs(sum(total - alloc)))', 3)} AS allocation_pct FROM xe GROUP BY segment"),
         "analytics_stress": w([], STRESS),
+        "analytics_costs": w([], COSTS),
+        "analytics_compare_halves": w([f"hv AS (SELECT segment, {sharpe_sql()} AS sh, {YEARLY} AS yr, min(date) AS a, max(date) AS b FROM daily GROUP BY segment)"], HALVES),
+        "analytics_size_quality": w([], "SELECT max(abs(close * volume)) < 10000 AS is_approximation FROM book"),
+        "analytics_deflated_sharpe_20": w(EQUITY, f"SELECT segment, {rounded('(o - bar) * sqrt(252e0)', 4)} AS deflated_sharpe, {rounded('(o - bar) * sqrt(n - 1) / sqrt(1 - sk * o + (ku - 3) / 4 * o * o)', 4)} AS deflated_z FROM (SELECT *, {BEST_OF_20!r} / sqrt(n) AS bar FROM (SELECT segment, count(*) AS n, {sharpe_sql()} / sqrt(252e0) AS o, skewness(ret) AS sk, kurtosis(ret) + 3 AS ku FROM eq GROUP BY segment))"),
         "analytics_deflated_sharpe": w(EQUITY, f"SELECT segment, {rounded('(o - 0.5e0 / sqrt(n)) * 0e0 + sh')} AS sharpe, {rounded('o * sqrt(n - 1) / sqrt(1 - sk * o + (ku - 3) / 4 * o * o)', 4)} AS deflated_z FROM (SELECT segment, count(*) AS n, {sharpe_sql()} AS sh, {sharpe_sql()} / sqrt(252e0) AS o, skewness(ret) AS sk, kurtosis(ret) + 3 AS ku FROM eq GROUP BY segment)"),
     }
 
@@ -497,10 +519,119 @@ def correlations_sql() -> str:
     return f"WITH {', '.join([*cells_ctes(list(CELLS.values()), False), POOL])} SELECT CAST(a.id AS INT) AS a, CAST(b.id AS INT) AS b, count(*) AS n, {rounded('corr(a.ret, b.ret)')} AS corr FROM pool a JOIN pool b ON a.date = b.date GROUP BY a.id, b.id"
 
 
+BETTER = "o.sharpe >= a.sharpe AND o.turnover <= a.turnover AND (o.sharpe > a.sharpe OR o.turnover < a.turnover)"
+
+
+def _strategies() -> str:
+    """CTEs up to k (id, sharpe, turnover), all cells, and a, those that take part."""
+    return f"WITH {', '.join(cells_ctes(SWEEP_CELLS + list(CELLS.values()), False))}, k AS (SELECT CAST(cell AS INT) AS id, floor({sharpe_sql()} * 1e5 + 0.27e0) / 1e5 AS sharpe, floor(avg(turnover) * 10 + 0.27e0) / 10 AS turnover FROM daily GROUP BY cell), a AS (SELECT * FROM k WHERE sharpe >= 0)"
+
+
 def pareto_sql() -> str:
-    return f"""WITH {', '.join(cells_ctes(SWEEP_CELLS + list(CELLS.values()), False))},
-k AS (SELECT cell AS id, floor({sharpe_sql()} * 1e5 + 0.27e0) / 1e5 AS sharpe, floor(avg(turnover) * 10 + 0.27e0) / 10 AS turnover FROM daily GROUP BY cell), a AS (SELECT * FROM k WHERE sharpe >= 0)
-SELECT CAST(a.id AS INT) AS id, sharpe, turnover, NOT EXISTS (SELECT 1 FROM a o WHERE o.sharpe >= a.sharpe AND o.turnover <= a.turnover AND (o.sharpe > a.sharpe OR o.turnover < a.turnover)) AS on_frontier FROM a"""
+    best = f"(SELECT o.id FROM a o WHERE a.sharpe >= 0 AND o.turnover <= a.turnover AND EXISTS (SELECT 1 FROM a z WHERE {BETTER.replace('o.', 'z.')}) ORDER BY o.sharpe DESC, o.turnover, o.id LIMIT 1)"
+    return f"{_strategies()} SELECT a.id, a.sharpe, a.turnover, a.sharpe >= 0 AND NOT EXISTS (SELECT 1 FROM a o WHERE {BETTER}) AS on_frontier, {best} AS dominated_by FROM k a".replace("FROM a o", "FROM (SELECT * FROM k WHERE sharpe >= 0) o").replace("FROM a z", "FROM (SELECT * FROM k WHERE sharpe >= 0) z")
+
+
+def dominators_sql() -> str:
+    return f"{_strategies()} SELECT a.id, coalesce(string_agg(CAST(o.id AS VARCHAR), ',' ORDER BY o.id), '') AS dominated_by FROM k a LEFT JOIN k o ON a.sharpe >= 0 AND o.sharpe >= 0 AND {BETTER} GROUP BY a.id"
+
+
+def store_sql(formulas: list[str]) -> str:
+    names = ", ".join(f"({k}, '{f}')" for k, f in enumerate(formulas))
+    return f"{_strategies()}, raw AS (SELECT CAST(cell AS INT) AS cell, {sharpe_sql()} AS s FROM daily GROUP BY cell) SELECT CAST(cell + 1 AS BIGINT) AS id, 'p' || cell AS name, expression, {rounded('s')} AS sharpe FROM raw JOIN (VALUES {names}) AS t(n, expression) ON n = cell WHERE s >= 0 AND cell > 0 ORDER BY s DESC, cell DESC LIMIT 4"
+
+
+def signature_sql() -> str:
+    one = "CAST('0x' || substr(md5(concat_ws('/', CAST(date AS VARCHAR), ticker, coalesce(CAST(CAST(floor(close * 1e6) AS BIGINT) AS VARCHAR), '-'))), 1, 15) AS BIGINT)"
+    return query(SUPPLIERS, [], f"SELECT substr(md5(CAST(CAST(sum({one}) AS HUGEINT) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR)), 1, 16) AS signature FROM p")
+
+
+# --- weights of blends, from the formulas' own in-sample returns -------------------------------------------------------------
+def _weights_cte(method: str) -> str:
+    """wt (w0, w1, w2), one row."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    cov = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    wide = "wide AS (SELECT date, " + ", ".join(f"max(CASE WHEN cell = {k} THEN ret END) AS r{k}" for k in range(3)) + " FROM daily WHERE segment = 'is' GROUP BY date)"
+    moments = "mo AS (SELECT " + ", ".join([*[f"avg(r{k}) AS m{k}" for k in range(3)], *[f"covar_samp(r{i}, r{j}) AS c{i}{j}" for i, j in pairs]]) + " FROM wide WHERE r0 IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL)"
+    inner = [*cells_ctes(list(CELLS.values())), wide, moments]
+    total = lambda *x: " + ".join(x)
+    if method == "inverse_variance":
+        last = "SELECT " + ", ".join(f"(1 / c{k}{k}) / ({total(*[f'1 / c{j}{j}' for j in range(3)])}) AS w{k}" for k in range(3)) + " FROM mo"
+    elif method == "mv_optimal":  # Cramer's rule on the covariances with the ridge
+        inner.append("rg AS (SELECT * REPLACE (" + ", ".join(f"c{k}{k} + 1e-6 * (c00 + c11 + c22) / 3 AS c{k}{k}" for k in range(3)) + ") FROM mo)")
+
+        def minor(column: int) -> str:
+            at = lambda i, j: f"m{i}" if j == column else cov(i, j)
+            return f"{at(0, 0)} * ({at(1, 1)} * {at(2, 2)} - {at(1, 2)} * {at(2, 1)}) - {at(0, 1)} * ({at(1, 0)} * {at(2, 2)} - {at(1, 2)} * {at(2, 0)}) + {at(0, 2)} * ({at(1, 0)} * {at(2, 1)} - {at(1, 1)} * {at(2, 0)})"
+
+        inner.append("dt AS (SELECT " + ", ".join(f"{minor(k)} AS d{k}" for k in range(3)) + " FROM rg)")
+        last = "SELECT " + ", ".join(f"d{k} / (d0 + d1 + d2) AS w{k}" for k in range(3)) + " FROM dt"
+    else:  # the correlations' barrier problem, one coordinate after another: x = (sqrt(o * o + 4 / 3) - o) / 2, with o the others' pull
+        inner.append("rr AS (SELECT c01 / sqrt(c00 * c11) AS r01, c02 / sqrt(c00 * c22) AS r02, c12 / sqrt(c11 * c22) AS r12, sqrt(c00) AS d0, sqrt(c11) AS d1, sqrt(c22) AS d2 FROM mo)")
+        moved = lambda pull: f"(sqrt(pow({pull}, 2) + 4e0 / 3) - ({pull})) / 2"
+        first = f"SELECT step, {moved('r01 * x1 + r02 * x2')} AS x0, x1, x2 FROM it, rr WHERE step < 200"
+        second = f"SELECT step, x0, {moved('r01 * x0 + r12 * x2')} AS x1, x2 FROM ({first}), rr"
+        inner.append(f"it AS (SELECT 0 AS step, 1e0 AS x0, 1e0 AS x1, 1e0 AS x2 UNION ALL SELECT step + 1, x0, x1, {moved('r02 * x0 + r12 * x1')} FROM ({second}), rr)")
+        last = "SELECT " + ", ".join(f"(x{k} / d{k}) / (x0 / d0 + x1 / d1 + x2 / d2) AS w{k}" for k in range(3)) + " FROM it, rr WHERE step = 200"
+    return f"wt AS MATERIALIZED (WITH RECURSIVE {', '.join(inner)} {last})"
+
+
+def weighted_blend_sql(method: str) -> str:
+    parts = ["-r5", "rv", "rv * returns"]
+    signal = f"(CASE WHEN coalesce({', '.join(parts)}) IS NOT NULL THEN " + " + ".join(f"coalesce({p}, 0) * (SELECT w{k} FROM wt)" for k, p in enumerate(parts)) + " END)"
+    ctes = book_ctes(signal, CELL_STAGES, base=[_weights_cte(method), *SUPPLIERS])
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT segment, date, {rounded('net', 0)} AS net, {rounded('turnover', 0)} AS turnover, {rounded('ret', 6)} AS ret FROM daily"
+
+
+def regression_sql() -> str:
+    """Least squares on five factors and a constant by Gauss-Jordan elimination, one stage a column, and Newey-West errors of each coefficient's score."""
+    names, n = ["one", "mkt_rf", "smb", "hml", "rmw", "cma"], 6
+    half = lambda k: f"coalesce(avg(CASE WHEN ticker_ord % {2 * k} < {k} THEN returns END), 0) - coalesce(avg(CASE WHEN ticker_ord % {2 * k} >= {k} THEN returns END), 0)"
+    factors = f"fa AS (SELECT date, 1e0 AS x0, coalesce(avg(returns), 0) AS x1, {', '.join(f'{half(k)} AS x{k + 1}' for k in range(1, 5))} FROM p GROUP BY date)"
+    ctes = [*book_ctes(REVERSAL, REVERSAL_STAGES, base=BRANDS, neutralization="market", segment="'is'"), factors, "rw AS (SELECT date, ret - 0.0001e0 AS y, x0, x1, x2, x3, x4, x5 FROM daily JOIN fa USING (date) WHERE ret IS NOT NULL)"]
+    sums = [f"sum(x{i} * x{j}) AS a{i}_{j}" for i in range(n) for j in range(n)] + [f"{float(i == j)!r}::DOUBLE AS a{i}_{n + j}" for i in range(n) for j in range(n)] + [f"sum(x{i} * y) AS v{i}" for i in range(n)]
+    ctes.append(f"g_0 AS (SELECT count(*) AS n, {', '.join(sums)} FROM rw)")
+    values = ", ".join(f"v{i}" for i in range(n))
+    for k in range(n):
+        cells = [f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(n) for j in range(2 * n)]
+        ctes.append(f"g_{k + 1} AS (SELECT n, {values}, {', '.join(cells)} FROM g_{k})")
+    beta = ", ".join(" + ".join(f"a{i}_{n + j} * v{j}" for j in range(n)) + f" AS b{i}" for i in range(n))
+    inverse = ", ".join(f"a{i}_{n + j} AS i{i}_{j}" for i in range(n) for j in range(n))
+    ctes.append(f"be AS (SELECT n, greatest(1, CAST(floor(4 * pow(n / 100e0, 2e0 / 9)) AS INT)) AS lags, {beta}, {inverse} FROM g_{n})")
+    fitted = " + ".join(f"b{i} * x{i}" for i in range(n))
+    ctes.append("sc AS (SELECT date, lags, " + ", ".join(f"(y - ({fitted})) * (" + " + ".join(f"i{i}_{j} * x{j}" for j in range(n)) + f") AS s{i}" for i in range(n)) + " FROM rw, be)")
+    most = 12
+    ctes.append("lg AS (SELECT *, " + ", ".join(f"lag(s{i}, {d}) OVER (ORDER BY date) AS s{i}_{d}" for i in range(n) for d in range(1, most + 1)) + " FROM sc)")
+    spread = lambda i: " + ".join([f"sum(s{i} * s{i})", *[f"2 * greatest(0, 1 - {d}e0 / (max(lags) + 1)) * coalesce(sum(s{i} * s{i}_{d}), 0)" for d in range(1, most + 1)]])
+    ctes.append("er AS (SELECT " + ", ".join(f"sqrt(greatest({spread(i)}, 0)) AS e{i}" for i in range(n)) + " FROM lg)")
+    shown = ["alpha", *names[1:]]
+    one = lambda i: f"SELECT '{shown[i]}' AS name, {rounded(f'b{i} * {252.0 if i == 0 else 1.0}', 4)} AS value, {rounded(f'b{i} / CASE WHEN e{i} > 0 THEN e{i} END', 3)} AS t_stat FROM be, er WHERE n >= 60"
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(one(i) for i in range(n))
+
+
+# --- sources -----------------------------------------------------------------------------------------------------------------
+def normalized_sql() -> str:
+    ctes = [
+        *SUPPLIERS[:2], "raw AS (SELECT ticker, date, open, high, low, CASE WHEN month(date) % 5 <> 0 THEN close END AS close, CASE WHEN month(date) % 5 <> 0 THEN volume END AS volume FROM bars)",
+        f"fi AS (SELECT *, last_value(close IGNORE NULLS) OVER ({T} ROWS UNBOUNDED PRECEDING) AS filled FROM raw)", f"n AS (SELECT *, filled / nullif(lag(filled) OVER ({T}), 0) - 1 AS returns, (high + low + close) / 3 AS vwap FROM fi)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT date, ticker, " + ", ".join(f"{rounded(c, 4)} AS {c}" for c in ("open", "high", "low", "close", "volume", "returns", "vwap")) + " FROM n"
+
+
+def expanded_sql() -> str:
+    supplier = ", ".join(SUPPLIERS[:2]).replace("trades", "t1").replace("bars", "b1")
+    brand = ", ".join(BRANDS[:2]).replace("trades", "t2").replace("bars", "b2")
+    return f"WITH {supplier}, {brand} SELECT date, ticker, {rounded('volume', 2)} AS value FROM b2 UNION ALL SELECT date, ticker, {rounded('volume * CASE WHEN CAST(substr(ticker, 2) AS BIGINT) % 2 = 0 THEN 2 ELSE 1 END', 2)} AS value FROM b1"
+
+
+def merged_labels_sql() -> str:
+    return f"WITH {SUPPLIERS[4]} SELECT ticker, CASE WHEN CAST(substr(ticker, 2) AS BIGINT) % 3 = 0 THEN 'Own' ELSE sector END AS sector, industry_group, industry, sub_industry FROM labels"
+
+
+def statements_sql() -> str:
+    names = ["revenue", "net_income", "operating_cash_flow", "capex"]
+    columns = ", ".join(f"{rounded(f'{c} / 1000', 3)} AS {c}" for c in names)
+    return f"WITH {FUNDAMENTALS[0]} SELECT ticker, report_date, {columns}, {rounded('(operating_cash_flow + capex) / 1000', 3)} AS free_cash_flow FROM (SELECT ticker, report_date, revenue, revenue * 0.2e0 - back * 0.1e0 AS net_income, revenue * 0.25e0 AS operating_cash_flow, -revenue * 0.05e0 AS capex FROM fq)"
 
 
 def diversification_sql(chosen: list[tuple[int, int, int]]) -> str:

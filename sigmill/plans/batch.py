@@ -113,20 +113,23 @@ def permutation_runs(panel: DataFrame, formula: str, settings: Settings = Settin
     return days.groupBy("iteration").agg(F.when(spread > 1e-12, sharpe(F.col("ret"))).alias("sharpe"))
 
 
-def verdict(runs: DataFrame) -> dict:
-    """What permutation_runs says: p value, place among the permutations and a verdict."""
+#: Verdicts, and the bounds of the p value, the mean of the permutations and the number that must complete.
+REAL, LEAKAGE, BORDERLINE, NOISE, TOO_FEW, FAILED = "real-signal", "leakage-suspected", "borderline", "indistinguishable-from-noise", "too-few-shuffles-completed", "real-backtest-failed"
+SIGNIFICANT, UNCLEAR, LEAKY, LEAST_COMPLETED = 0.05, 0.30, 0.5, 5
+
+
+def verdict(runs: DataFrame, number: int | None = None) -> dict:
+    """What permutation_runs says: p value, place among the permutations and a verdict. number: how many were asked for; those without a result count as failed."""
     values = {r["iteration"]: r["sharpe"] for r in runs.collect()}  # one row per permutation
     real = values.pop(-1, None)
     if real is None:
-        return {"verdict": "real-backtest-failed", "real_sharpe": None}
+        return {"verdict": FAILED, "real_sharpe": None}
     found = np.array([v for v in values.values() if v is not None])
-    out = {"real_sharpe": real, "n_completed": len(found), "n_failed": len(values) - len(found)}
-    if len(found) < 5:
-        return out | {"verdict": "too-few-shuffles-completed"}
+    out = {"real_sharpe": real, "n_completed": len(found), "n_failed": max(number or 0, len(values)) - len(found)}
+    if len(found) < LEAST_COMPLETED:
+        return out | {"verdict": TOO_FEW}
     p = (int((found >= real).sum()) + 1) / (len(found) + 1)
     out |= {"p_value": p, "percentile": 100 * float((found < real).mean()), "mean_shuffled": float(found.mean()), "median_shuffled": float(np.median(found))}
-    if p < 0.05:
-        return out | {"verdict": "leakage-suspected" if out["mean_shuffled"] > 0.5 else "real-signal"}
-    return out | {"verdict": "borderline" if p < 0.30 else "indistinguishable-from-noise"}
-
-
+    if p < SIGNIFICANT:
+        return out | {"verdict": LEAKAGE if out["mean_shuffled"] > LEAKY else REAL}
+    return out | {"verdict": BORDERLINE if p < UNCLEAR else NOISE}

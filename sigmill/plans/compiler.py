@@ -10,8 +10,10 @@ shuffles as the deepest nesting of changes between the two.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -129,23 +131,27 @@ class Context:
         return self.fields[name]
 
     def fold_history(self, x: Column, threshold: float) -> Column:
-        """The recurrence of hump(): a ticker's history as one sorted array, folded, and laid out again by place."""
-        by = [*self.segments, "ticker"]
-        place = self.settle(F.row_number().over(self.history()))
-        value = self.settle(x)
-        state = "struct<last:double,out:array<double>>"
-        step = lambda s, e: F.when(
-            e["v"].isNull() | (s["last"].isNotNull() & (F.abs(e["v"] - s["last"]) <= F.lit(threshold))),
-            F.struct(s["last"].alias("last"), F.concat(s["out"], F.array(s["last"])).alias("out")),
-        ).otherwise(F.struct(e["v"].alias("last"), F.concat(s["out"], F.array(e["v"])).alias("out")))
-        start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out")).cast(state)
-        histories = self.df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), value.alias("v")))).alias("h"))
-        folded = histories.select(*by, F.aggregate("h", start, step, lambda s: s["out"]).alias("o"))
-        name = f"_s{self.staged}"
+        """The recurrence of hump(): rows stream by in the order of ticker and date, and only the last value given out is carried, whatever a history's length."""
+        at, name = f"_s{self.staged}", f"_s{self.staged + 1}"
+        self.settle(x)
         self.staged += 1
-        laid = folded.select(*by, F.posexplode("o").alias("_p", name)).withColumn("_p", F.col("_p") + 1)
-        place_name = f"_s{self.staged - 3}"
-        self.df = self.df.join(laid.withColumnRenamed("_p", place_name), [*by, place_name], "left")
+        by = [*self.segments, "ticker"]
+        rows = self.df.repartition(*by).sortWithinPartitions(*by, "date")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, last = None, None
+            for batch in batches:
+                out = []
+                for *key, v in zip(*(batch.column(c).to_pylist() for c in (*by, at))):
+                    if key != of:
+                        of, last = key, None
+                    if v is not None and (last is None or abs(v - last) > threshold):
+                        last = v
+                    out.append(last)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        self.df = rows.mapInArrow(run, f"{schema}, `{name}` double")
         return F.col(name)
 
     # trees

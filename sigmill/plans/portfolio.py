@@ -6,7 +6,8 @@ join every window's partitioning and all segments run as one job.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +53,16 @@ class Settings:
     def with_(self, **changes) -> Settings:
         return replace(self, **changes)
 
+    def saved(self) -> dict:
+        """All settings as JSON holds them."""
+        return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items()}
+
+    @classmethod
+    def restored(cls, saved: dict | None) -> Settings:
+        """The settings of saved(); names that are no settings any more are left out, absent ones have their defaults."""
+        known = {k: v for k, v in (saved or {}).items() if k in cls.__dataclass_fields__}
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in known.items()})
+
 
 def market_fields(settings: Settings) -> list[str]:
     """The fields that trading needs besides the signal."""
@@ -79,7 +90,8 @@ def signal_rows(panel: DataFrame, formulas: dict[str, str], settings: Settings,
 def selected(rows: DataFrame, settings: Settings, segments: tuple[str, ...] = ()) -> DataFrame:
     """rows (with `signal`) of the universe and the dates; dates on which more than half of the signals are missing go. Adds place: the date's number from 1, and dates: how many there are."""
     if settings.universe is not None:
-        rows = rows.where(F.col("ticker").isin(*settings.universe))
+        names = F.explode(F.from_json(F.lit(json.dumps(sorted(set(settings.universe)))), "array<string>"))  # one literal, however many names
+        rows = rows.join(F.broadcast(rows.sparkSession.range(1).select(names.alias("ticker"))), "ticker", "left_semi")
     if settings.start_date:
         rows = rows.where(F.col("date") >= F.lit(settings.start_date).cast("date"))
     if settings.end_date:

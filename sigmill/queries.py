@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,7 @@ from sigmill.functions.fields import MACRO_BASE, MACRO_SPREADS
 from sigmill.plans import batch, portfolio
 from sigmill.plans.compiler import evaluate
 from sigmill.sources import fundamentals, macro, panel, universe
+from sigmill.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,11 +138,15 @@ def _analytics() -> dict[str, Query]:
     p, q, x = performance, signal_quality, exposure
     decimals = lambda df, **digits: df.select(*[rounded(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
     sizes = lambda book, base: book.select("date", "ticker").distinct().join(base.select("date", "ticker", (F.col("close") * F.col("volume")).alias("size")), ["date", "ticker"])
-    numbers = dict(sharpe=5, total_return=5, annual_return=5, annual_vol=5, max_drawdown=5, sortino_ratio=5, avg_turnover=1, win_rate=5, profit_factor=5, tail_ratio=5, cost_pct_of_gross=3, long_exposure=5, short_exposure=5, beta=5, information_ratio=5, skew=4, kurt=4)
+    numbers = dict(sharpe=5, total_return=5, annual_return=5, annual_vol=5, max_drawdown=5, sortino_ratio=5, avg_turnover=1, win_rate=5, profit_factor=5, tail_ratio=5, cost_pct_of_gross=3, long_exposure=5, short_exposure=5, gross_exposure=5, net_exposure=5, beta=5, information_ratio=5, skew=4, kurt=4, calmar_ratio=4, fitness=4, fitness_wq=4)
+    costs = dict(gross_pnl=1, flat_cost=1, spread_cost=1, impact_cost=1, borrow_cost=1, total_cost=1, net_pnl=1, cost_pct_of_gross=3)
     series = lambda book: q.ic_series(book, q.HORIZONS)
     regimes = [("first_rates", "1995-06-01", "1996-06-01"), ("mid", "1997-01-01", "1998-06-01"), ("late", "2000-01-01", "2001-10-01"), ("empty", "2008-01-01", "2009-01-01"), ("short", "1999-01-01", "1999-02-01")]
     makers = {
-        "summary": lambda book, days, base: decimals(p.summary(days, macro.equal_weight(base)).withColumn("annual_return", F.log1p("annual_return")).select("segment", "n_days", *numbers), **numbers),  # the logarithm: monthly returns carried on to a year are very large
+        "summary": lambda book, days, base: decimals(p.summary(days, macro.equal_weight(base)).withColumns({c: F.log1p(F.abs(c)) for c in ("annual_return", "calmar_ratio", "fitness", "fitness_wq")}).select("segment", "n_days", *numbers), **numbers),  # logarithms: monthly returns carried on to a year are very large
+        "costs": lambda book, days, base: decimals(p.summary(days).select("segment", *costs), **costs),
+        "compare_halves": lambda book, days, base: decimals(p.compare_halves(p.summary(days)), sharpe_decay=4, return_decay=4),
+        "size_quality": lambda book, days, base: x.size_quality(sizes(book, base)),
         "drawdowns": lambda book, days, base: decimals(p.drawdowns(days).select("segment", "date", "equity", "drawdown", "underwater"), equity=6, drawdown=6),
         "drawdown_durations": lambda book, days, base: p.drawdown_durations(days),
         "rolling_sharpe": lambda book, days, base: decimals(p.rolling_sharpe(days), rolling_sharpe=5),
@@ -161,8 +167,9 @@ def _analytics() -> dict[str, Query]:
         "size_tilt": lambda book, days, base: decimals(x.size_tilt(x.size_distribution(book, sizes(book, base))), long_avg=5, short_avg=5, tilt=5),
         "attribution": lambda book, days, base: decimals(x.attribution(book), allocation=7, selection=7, total=7),
         "attribution_totals": lambda book, days, base: decimals(x.attribution_totals(x.attribution(book)).select("segment", "allocation", "selection", "allocation_pct"), allocation=6, selection=6, allocation_pct=3),
-        "stress": lambda book, days, base: decimals(p.stress(days, p.regime_table(days.sparkSession, regimes)).select("segment", "name", "n_days", "sharpe", "total_return", "max_drawdown", "hit_rate"), sharpe=5, total_return=5, max_drawdown=5, hit_rate=5),
+        "stress": lambda book, days, base: decimals(p.stress(days, p.regime_table(days.sparkSession, regimes)).withColumn("annualised_return", F.log1p("annualised_return")).select("segment", "name", "n_days", "sharpe", "total_return", "max_drawdown", "hit_rate", "annualised_return", "severity"), sharpe=5, total_return=5, max_drawdown=5, hit_rate=5, annualised_return=4),
         "deflated_sharpe": lambda book, days, base: decimals(statistics.deflated(p.summary(days)).select("segment", "sharpe", "deflated_z"), sharpe=5, deflated_z=4),
+        "deflated_sharpe_20": lambda book, days, base: decimals(statistics.deflated(p.summary(days), trials=20).select("segment", "deflated_sharpe", "deflated_z"), deflated_sharpe=4, deflated_z=4),
     }
 
     def run_of(maker) -> Query:
@@ -176,18 +183,18 @@ def _analytics() -> dict[str, Query]:
 
 
 def analytics_factor_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loadings on the stand-in factors. No SQL: the errors need a matrix inverse; tests hold it against numpy."""
+    """Loadings on the stand-in factors."""
     base = panel.brand_panel(spark, sf_dir)
     _, days = portfolio.simulate(base, REVERSAL, portfolio.Settings(run_oos=False))
     found = statistics.factor_regression(days, macro.panel_factors(base))
     rows = [("alpha", found["alpha_annualized"], found["alpha_t_stat"])] + [(k, v["beta"], v["t_stat"]) for k, v in found["loadings"].items()] if found else []
-    return spark.createDataFrame(rows, "name string, value double, t_stat double")
+    return spark.createDataFrame(rows, "name string, value double, t_stat double").select("name", rounded("value", 4).alias("value"), rounded("t_stat", 3).alias("t_stat"))
 
 
 # --- batches -------------------------------------------------------------------------------------------------------------------
 FORMULAS = list(oracles.CELLS)
 POOL = ["-rank(delta(close, 3))", "-rank(delta(close, 4))", "-rank(delta(close, 5))", *FORMULAS]
-CHOSEN = statistics.subsets(list(range(len(POOL))), sizes=(1, 2, 3, 6), samples=5)
+CHOSEN = statistics.subsets(list(range(len(POOL))))
 
 
 def _cell_rows(found: DataFrame, *keys: str) -> DataFrame:
@@ -207,15 +214,21 @@ def batch_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_rows(days)
 
 
-def batch_blend_risk_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A blend whose weights are iterated; tests hold the weights against their defining equations."""
-    _, _, days = batch.blend(panel.supplier_panel(spark, sf_dir), FORMULAS, method="risk_parity")
-    return daily_rows(days)
+def _blend(method: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _, _, days = batch.blend(panel.supplier_panel(spark, sf_dir), FORMULAS, method=method)
+        return days.select("segment", "date", rounded("net", 0).alias("net"), rounded("turnover", 0).alias("turnover"), rounded("ret", 6).alias("ret"))
+
+    return run
+
+
+BLENDS = ("inverse_variance", "mv_optimal", "risk_parity")
+PERMUTATIONS = 50
 
 
 def batch_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe ratios of the panel (-1) and of copies with shuffled dates."""
-    out = batch.permutation_runs(panel.supplier_panel(spark, sf_dir), REVERSAL, portfolio.Settings(run_oos=False), number=10)
+    out = batch.permutation_runs(panel.supplier_panel(spark, sf_dir), REVERSAL, portfolio.Settings(run_oos=False), number=PERMUTATIONS)
     return out.select("iteration", rounded("sharpe", 4).alias("sharpe"))
 
 
@@ -237,11 +250,59 @@ def pool_diversification(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = batch.compare(panel.supplier_panel(spark, sf_dir), POOL, portfolio.Settings(run_oos=False))
     rows = found.select(F.col("cell").alias("id"), rounded("sharpe").alias("sharpe"), rounded("avg_turnover", 1).alias("turnover"))
-    return statistics.pareto(rows).select("id", "sharpe", "turnover", "on_frontier")
+    return statistics.pareto(rows)
+
+
+def pool_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dominators of each formula, as text."""
+    found = batch.compare(panel.supplier_panel(spark, sf_dir), POOL, portfolio.Settings(run_oos=False))
+    rows = found.select(F.col("cell").alias("id"), rounded("sharpe").alias("sharpe"), rounded("avg_turnover", 1).alias("turnover"))
+    return statistics.dominators(rows).select("id", F.concat_ws(",", F.col("dominated_by").cast("array<string>")).alias("dominated_by"))
+
+
+def store_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool's formulas saved one after another, then those with a Sharpe ratio of 0 or more, the best first; a deleted one is gone."""
+    store = Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/strategies-{uuid.uuid4().hex}")
+    found = batch.compare(panel.supplier_panel(spark, sf_dir), POOL, portfolio.Settings(run_oos=False))
+    for r in sorted(found.select("cell", "sharpe").collect()):  # one row per formula
+        store.save(name=f"p{r['cell']}", expression=POOL[r["cell"]], sharpe=r["sharpe"])
+    store.delete(1)
+    return store.list(min_sharpe=0.0, by="sharpe", limit=4).select("id", "name", "expression", rounded("sharpe").alias("sharpe"))
+
+
+def source_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' months as a price table with other names and cases, missing closes and infinite volumes, brought to form."""
+    rows = panel.supplier_months(spark, sf_dir)
+    odd = F.month("date") % 5 == 0
+    raw = rows.select(F.concat(F.lit(" "), F.lower("ticker")).alias("Ticker"), F.date_format("date", "yyyy-MM-dd").alias("DATE"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low")], F.when(~odd, F.col("close")).alias("Close"), F.when(odd, float("inf")).otherwise(F.col("volume")).alias("Volume"))
+    return panel.normalized(raw).select("date", "ticker", *[rounded(c, 4).alias(c) for c in ("open", "high", "low", "close", "volume", "returns", "vwap")])
+
+
+def source_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands' weeks with the suppliers' months added, and those of even suppliers again with twice the volume."""
+    first = panel.supplier_months(spark, sf_dir)
+    more = first.where("cast(substring(ticker, 2, 20) as long) % 2 = 0").withColumn("volume", F.col("volume") * 2)
+    out = panel.expanded(panel.expanded(panel.brand_weeks(spark, sf_dir), first), more)
+    return panel.matrix(out, "volume").withColumn("value", rounded("value", 2))
+
+
+def source_merged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a table for every third supplier, before those of the suppliers' nations."""
+    base = panel.supplier_labels(spark, sf_dir)
+    own = base.where("cast(substring(ticker, 2, 20) as long) % 3 = 0").select("ticker", F.lit("Own").alias("sector"), F.lit(None).cast("string").alias("industry"))
+    return universe.merged_labels(own, base)
+
+
+def source_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly statements in long form, by label, brought to fields; free cash flow is derived."""
+    wide = fundamentals.supplier_quarters(spark, sf_dir)
+    labels = {"revenue": "Total Revenue", "net_income": "Net Income", "operating_cash_flow": "Operating Cash Flow", "capex": "Capital Expenditure"}
+    items = wide.unpivot(["ticker", "report_date"], [F.col(c).alias(label) for c, label in labels.items()], "item", "value")
+    return fundamentals.reports(items).select("ticker", "report_date", *[rounded(F.col(c) / 1000, 3).alias(c) for c in (*labels, "free_cash_flow")])
 
 
 def data_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest by Spark's own hash function; no SQL."""
+    """The digest of all closes of the panel."""
     return statistics.data_signature(panel.supplier_panel(spark, sf_dir))
 
 
@@ -279,14 +340,14 @@ def _acceptance(name: str) -> Query:
     return run
 
 
-BATCHES = (batch_compare, batch_sweep, batch_blend, batch_blend_risk_parity, batch_permutation_test, pool_correlations, pool_diversification, pool_pareto, data_signature, panel_preview, universe_labels, universe_membership, universe_missing)
+BATCHES = (batch_compare, batch_sweep, batch_blend, batch_permutation_test, pool_correlations, pool_diversification, pool_pareto, pool_dominators, store_list, source_normalized, source_expanded, source_merged_labels, source_statements, data_signature, panel_preview, universe_labels, universe_membership, universe_missing)
 
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f"dsl_{name}": _operator(name, formula) for name, (formula, _) in oracles.OPERATORS.items()}
     found |= {name: _field_set(name) for name in oracles.FIELD_SETS}
     found |= {f.__name__: f for f in (fields_macro, fields_fundamental, fields_ratio, flagship, portfolio_positions, portfolio_walk_forward, analytics_factor_regression, *BATCHES)}
-    found |= {name: _portfolio(name) for name in SETTINGS}
+    found |= {name: _portfolio(name) for name in SETTINGS} | {f"batch_blend_{method}": _blend(method) for method in BLENDS}
     found |= _analytics()
     found |= {f"example_{name}": _acceptance(name) for name in EXAMPLES}
     return found
@@ -301,8 +362,11 @@ def oracle_sql() -> dict[str, str]:
     found |= oracles.analytics()
     found |= {"batch_compare": oracles.cells_sql(list(oracles.CELLS.values())), "batch_sweep": oracles.cells_sql(oracles.SWEEP_CELLS, False), "batch_blend": oracles.blend_sql()}
     found |= {"pool_correlations": oracles.correlations_sql(), "pool_diversification": oracles.diversification_sql(CHOSEN), "pool_pareto": oracles.pareto_sql()}
-    orders = [np.random.default_rng(k).permutation(83).tolist() for k in range(10)]  # the test data have 83 months at every scale
+    orders = [np.random.default_rng(k).permutation(83).tolist() for k in range(PERMUTATIONS)]  # the test data have 83 months at every scale
     found |= {"batch_permutation_test": oracles.permutation_sql(orders)}
+    found |= {f"batch_blend_{method}": oracles.weighted_blend_sql(method) for method in BLENDS}
+    found |= {"analytics_factor_regression": oracles.regression_sql(), "pool_dominators": oracles.dominators_sql(), "store_list": oracles.store_sql(POOL), "data_signature": oracles.signature_sql()}
+    found |= {"source_normalized": oracles.normalized_sql(), "source_expanded": oracles.expanded_sql(), "source_merged_labels": oracles.merged_labels_sql(), "source_statements": oracles.statements_sql()}
     found |= {"panel_preview": oracles.preview_sql(), "universe_labels": oracles.labels_sql(), "universe_membership": oracles.membership_sql(), "universe_missing": oracles.missing_sql()}
     found |= {f"example_{name}": oracles.example_sql(name) for name in EXAMPLES}
     return found

@@ -6,8 +6,10 @@ a missing value is null, never NaN.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,14 +105,42 @@ def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KEPT: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """A panel that all queries of a session share: built once, dealt by ticker, in memory or else on the executors' disks.
+
+    It is built anew when one of its tables has changed. The panel is far smaller than the trades that it is made from.
+    """
+    conf, stamp = spark._jsc.hadoopConfiguration(), []
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        stamp.append((status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _KEPT or _KEPT[key][0] != tuple(stamp):
+        release(key)
+        _KEPT[key] = (tuple(stamp), build().repartition("ticker").persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[key][1]
+
+
+def release(*keys: tuple[str, str, str]) -> None:
+    """Frees the kept panels of keys, or all."""
+    for key in keys or list(_KEPT):
+        if key in _KEPT:
+            _KEPT.pop(key)[1].unpersist()
+
+
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense supplier and month panel with labels; tickers in the order of their keys."""
-    return dense(with_returns(supplier_months(spark, sf_dir)), supplier_labels(spark, sf_dir), F.substring("ticker", 2, 20).cast("long"))
+    build = lambda: dense(with_returns(supplier_months(spark, sf_dir)), supplier_labels(spark, sf_dir), F.substring("ticker", 2, 20).cast("long"))
+    return kept(spark, sf_dir, "supplier", ("lineitem", "supplier", "nation", "region"), build)
 
 
 def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense brand and week panel, without labels."""
-    return dense(with_returns(brand_weeks(spark, sf_dir)))
+    return kept(spark, sf_dir, "brand", ("lineitem", "part"), lambda: dense(with_returns(brand_weeks(spark, sf_dir))))
 
 
 def preview(panel: DataFrame, ticker: str, rows: int = 30) -> DataFrame:

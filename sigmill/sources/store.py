@@ -24,8 +24,9 @@ class Store:
         self.spark, self.path = spark, path
 
     def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, path, old = self._files(self.path, f"{self.path}.old")
+        if not fs.exists(path) and fs.exists(old):  # a deletion was cut off
+            fs.rename(old, path)
         return fs.exists(path) and len(fs.listStatus(path)) > 0
 
     def rows(self) -> DataFrame:
@@ -66,15 +67,25 @@ class Store:
         return row.asDict() if row else None
 
     def delete(self, id_: int) -> bool:
-        """Writes the other rows beside the old ones, then swaps the folders."""
+        """Writes the other rows beside the old ones, puts the old ones aside, the new ones in their place, and drops the old ones last.
+
+        Whatever step is the last one done, the rows are in the folder or, between the two renames, in `.old`: rows() puts them back.
+        """
         if self.get(id_) is None:
             return False
-        new = f"{self.path}.new"
+        new, old = f"{self.path}.new", f"{self.path}.old"
         self.rows().where(F.col("id") != id_).write.mode("overwrite").parquet(new)
-        path, other = (self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in (self.path, new))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path, True)
-        return bool(fs.rename(other, path))
+        fs, path, new, old = self._files(self.path, new, old)
+        fs.delete(old, True)
+        if not fs.rename(path, old) or not fs.rename(new, path):
+            return False
+        fs.delete(old, True)
+        return True
+
+    def _files(self, *names: str) -> list:
+        """The file system and paths of names."""
+        paths = [self.spark._jvm.org.apache.hadoop.fs.Path(n) for n in names]
+        return [paths[0].getFileSystem(self.spark._jsc.hadoopConfiguration()), *paths]
 
     def returns(self) -> DataFrame:
         """(id, date, ret) of the daily series in result_json: both halves one after another, or the single older series."""

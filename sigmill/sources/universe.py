@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,35 @@ def read_universes(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]
     return {name: tuple(dict.fromkeys(tickers)) for name, tickers in out.items()}
 
 
+class Catalogue:
+    """Named universes (name -> tickers), the first of them the default."""
+
+    def __init__(self, universes: dict[str, tuple[str, ...]]):
+        self.universes = {name: tuple(dict.fromkeys(tickers)) for name, tickers in universes.items()}
+
+    def list(self) -> list[dict]:
+        """Name and number of tickers of each."""
+        return [{"name": name, "n_tickers": len(tickers)} for name, tickers in self.universes.items()]
+
+    def get(self, name: str | None = None) -> tuple[str, ...]:
+        """The tickers of a universe, without a name of the default one."""
+        if name is None and self.universes:
+            return next(iter(self.universes.values()))
+        if name not in self.universes:
+            raise KeyError(f"unknown universe {name!r}: {', '.join(self.universes) or 'there are none'}")
+        return self.universes[name]
+
+    def union(self, *names: str) -> tuple[str, ...]:
+        """The tickers of the named universes, or of all, each once, in the order of their first place."""
+        return tuple(dict.fromkeys(t for name in names or self.universes for t in self.get(name)))
+
+    def labels(self, name: str | None, labels: DataFrame) -> DataFrame:
+        """The rows of labels (ticker, ...) of a universe's tickers."""
+        spark = labels.sparkSession
+        wanted = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(self.get(name))), "array<string>")).alias("ticker"))
+        return labels.join(F.broadcast(wanted), "ticker", "left_semi")  # a list that people wrote
+
+
 def members(panel: DataFrame, inclusion: DataFrame) -> DataFrame:
     """(date, ticker, is_member): whether each ticker belongs on each date; those without a join_date always do."""
     late = inclusion.select("ticker", "join_date")

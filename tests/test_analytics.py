@@ -58,7 +58,25 @@ def test_rolling_months_and_stress(spark):
     regimes = performance.regime_table(spark, [("a", "2020-02-01", "2020-03-01"), ("b", "2020-02-01", "2020-02-03"), ("c", "2031-01-01", "2032-01-01")])
     found = performance.stress(days, regimes).collect()
     assert [x["name"] for x in found] == ["a"] and found[0]["n_days"] == 30 and np.isclose(found[0]["total_return"], r[31:61].sum())
-    assert performance.compare_halves({"sharpe": 2.0}, {"sharpe": 1.9})["label"] == "robust" and performance.compare_halves({"sharpe": 2.0}, {"sharpe": -1.0})["overfit"]
+
+
+def test_compare_halves(spark):
+    def compared(a, b):
+        rows = [(s, *x, DATES[0], DATES[9]) for s, x in (("is", a), ("oos", b)) if x]
+        return performance.compare_halves(spark.createDataFrame(rows, "segment string, sharpe double, annual_return double, start_date date, end_date date")).first()
+
+    for after, severity, flag in ((1.9, "robust", False), (1.3, "moderate", False), (0.9, "high", True), (0.5, "severe", True), (-0.1, "severe", True)):
+        got = compared((2.0, 0.5), (after, 0.25))
+        assert (got["severity"], got["overfitting_flag"]) == (severity, flag) and np.isclose(got["return_decay"], 0.5) and np.isclose(got["sharpe_decay"], (2 - after) / 2)
+    both_lose = compared((-2.0, -0.5), (-1.0, -0.1))  # a smaller loss is a loss all the same
+    assert both_lose["severity"] == "severe" and both_lose["overfitting_flag"] and both_lose["sharpe_decay"] == -0.5
+    assert compared((0.0, 0.0), (1.0, 0.1))["sharpe_decay"] == 0.0 and compared((1.0, 0.1), None)["severity"] is None
+
+
+def test_size_quality(spark):
+    sizes = lambda *v: spark.createDataFrame([(x,) for x in v], "size double")
+    said = [exposure.size_quality(df).first()[0] for df in (sizes(10.0, -9999.0), sizes(10.0, -10_000.0), sizes(None))]
+    assert said == [True, False, False]
 
 
 def book(spark, signal, ret, weight=None):
@@ -183,6 +201,9 @@ def test_pool(spark):
     assert np.allclose([[corr[i, j] for j in range(4)] for i in range(4)], np.corrcoef(series.T))
     chosen = statistics.subsets([0, 1, 2, 3], sizes=(1, 2, 8, 9), samples=3)
     assert {n for n, _, _ in chosen} == {1, 2, 4} and len([c for c in chosen if c[0] == 4]) == 4
+    assert chosen == statistics.subsets([3, 1, 0, 2], sizes=(9, 2, 1), samples=3) and statistics.subsets([], samples=3) == []
+    firsts = [i for n, _, i in statistics.subsets(list(range(10)), sizes=(1,), samples=2000) if n == 1]
+    assert all(140 < firsts.count(i) < 260 for i in range(10))
     curve = {r["n"]: r for r in statistics.diversification(pool, spark.createDataFrame(chosen, "n int, sample int, id int")).collect()}
     whole = series.mean(axis=1)
     assert np.isclose(curve[4]["median_sharpe"], whole.mean() / whole.std(ddof=1) * 252**0.5) and curve[2]["n_samples"] == 3
@@ -192,9 +213,11 @@ def test_pareto(spark):
     rows = [(1, 1.0, 5.0), (2, 2.0, 6.0), (3, 0.5, 5.0), (4, 2.0, 7.0), (5, -1.0, 1.0), (6, 1.0, 5.0), (7, None, 2.0), (8, 0.1, 0.5), (9, 3.0, None)]
     table = spark.createDataFrame(rows, "id int, sharpe double, turnover double")
     got = {r["id"]: (r["on_frontier"], r["dominated_by"]) for r in statistics.pareto(table).collect()}
-    assert got == {1: (True, None), 6: (True, None), 2: (True, None), 3: (False, 1), 4: (False, 2), 8: (True, None)}
+    assert got == {1: (True, None), 6: (True, None), 2: (True, None), 3: (False, 1), 4: (False, 2), 5: (False, None), 7: (False, None), 8: (True, None), 9: (False, None)}
     every = {r["id"]: r["dominated_by"] for r in statistics.dominators(table).collect()}
-    assert every == {1: [], 2: [], 3: [1, 6], 4: [2], 6: [], 8: []}
+    assert every == {1: [], 2: [], 3: [1, 6], 4: [2], 5: [], 6: [], 7: [], 8: [], 9: []}
+    named = spark.createDataFrame([("b", 1.0, 5.0, "kept"), ("a", 0.5, 6.0, "too")], "id string, sharpe double, turnover double, note string")
+    assert sorted(map(tuple, statistics.pareto(named).collect())) == [("a", 0.5, 6.0, "too", False, "b"), ("b", 1.0, 5.0, "kept", True, None)]
 
 
 def test_provenance(spark):

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sigmill.plans.compiler import evaluate
 from sigmill.plans.syntax import ExpressionError
@@ -271,3 +272,18 @@ def test_segments_restart(spark):
     panel = long(spark, W).withColumn("half", F.when(F.col("date") < F.lit("2020-01-21").cast("date"), 1).otherwise(2))
     got = evaluate(panel, "delay(close, 1)", segments=("half",)).where("date = '2020-01-21'")
     assert got.where("value is not null").count() == 0
+
+
+def test_one_ticker_of_many_rows_and_one_date_of_many_tickers(spark):
+    """hump carries one value down a history of 100,000 rows; kth_element ranks 20,000 tickers without collecting them."""
+    date = F.expr("date_add(date'1800-01-01', cast(id as int))")
+    long = spark.range(100_000).select(date.alias("date"), F.lit("A").alias("ticker"), F.lit(1).alias("ticker_ord"), (F.col("id") % 7).cast("double").alias("close"))
+    out = evaluate(long, "hump(close, 3)").toPandas().sort_values("date")["value"].tolist()
+    last, expected = None, []
+    for k in range(100_000):
+        last = float(k % 7) if last is None or abs(k % 7 - last) > 3 else last
+        expected.append(last)
+    assert out == expected
+    wide = spark.range(20_000).select(F.lit("2020-01-01").cast("date").alias("date"), F.concat(F.lit("T"), "id").alias("ticker"), F.col("id").cast("int").alias("ticker_ord"), F.col("id").cast("double").alias("close"))
+    plan = evaluate(wide, "kth_element(close, -3)")
+    assert plan.agg(F.min("value"), F.max("value")).first() == (19_997.0, 19_997.0) and "collect_list" not in plan._jdf.queryExecution().toString()

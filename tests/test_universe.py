@@ -1,6 +1,8 @@
 import datetime
 import json
 
+import pytest
+
 from sigmill.functions.statistics import git_hash
 from sigmill.sources import universe
 
@@ -26,3 +28,13 @@ def test_universes_and_members(spark, tmp_path):
 
 def test_git_hash(tmp_path):
     assert git_hash(tmp_path) is None
+
+
+def test_catalogue(spark):
+    known = universe.Catalogue({"first": ("A", "B", "A"), "second": ("B", "C")})
+    assert known.list() == [{"name": "first", "n_tickers": 2}, {"name": "second", "n_tickers": 2}] and known.get() == ("A", "B") and known.union() == ("A", "B", "C")
+    labels = spark.createDataFrame([("A", "x"), ("C", "y"), ("D", "z")], "ticker string, sector string")
+    assert [r["ticker"] for r in known.labels("second", labels).collect()] == ["C"]
+    for name in ("third", None):
+        with pytest.raises(KeyError):
+            (universe.Catalogue({}) if name is None else known).get(name)
