@@ -1,10 +1,11 @@
 """Exact top-k by inner product with no random access (NRA) over sorted component lists.
 
-The rows are cut into blocks. Each block holds one list per dimension, sorted by component. For a query the lists are
-read in step from their better end. A row's lower bound takes the worst component of the list for what is unread, its
-upper bound the component at the list's read position. Reading stops when no row outside the k best lower bounds can
-still reach the k-th of them; then the rows that can are resolved to their final scores. Blocks' results are merged by
-score, ties to the smaller id. Scores are integers below 2^53, held exactly in doubles.
+The rows are cut into blocks. Each block holds one list per dimension, sorted by component. For a query every list is read
+in sequence from both of its ends, next always those ends whose step narrows the range of the unread components most. A
+row's bounds are its read components and, for each unread one, the components at the two read positions of its list.
+Reading stops when no row outside a few can still reach the k-th best lower bound; these, at most SPARE times k but for
+ties, get their final scores in one pass over the block. Blocks' results are merged by score, ties to the smaller id.
+Scores are integers below 2^53, held exactly in doubles.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+SPARE = 4  # rows that may still qualify when reading stops, as a multiple of k
+STEPS = 32  # steps in which one end would read a whole list
+BLIND = 0.4  # share of the entries that is read before bounds are first looked at
 
 
 class Lists:
@@ -26,46 +30,51 @@ class Lists:
         self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # per dimension, row numbers by component
         self.sorted = np.take_along_axis(self.vectors, self.order.T, axis=0).T.copy()
 
-    def top(self, own: int, query: np.ndarray, k: int, first: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
+    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores, entries read) of the k best rows other than those of id `own`, by score, then id."""
-        n, dims = self.vectors.shape
-        used = np.flatnonzero(query)
-        weight = query[used]
-        rows = self.order[used]
-        values = self.sorted[used] * weight[:, None]
-        down = weight > 0
-        rows, values = np.where(down[:, None], rows[:, ::-1], rows), np.where(down[:, None], values[:, ::-1], values)
-        allowed = self.ids != own
-        k = min(k, int(allowed.sum()))
+        n = len(self.ids)
+        can = np.flatnonzero(self.ids != own)
+        k = min(k, len(can))
         if not k:
             return self.ids[:0], np.zeros(0), 0
-        seen = np.zeros((n, len(used)), dtype=bool)
-        sums = np.zeros(n)
-        read, step, lists = 0, first, np.arange(len(used))
-        while read < n and len(used):
-            stop = min(n, read + step)
-            r, v = rows[:, read:stop], values[:, read:stop]
-            sums += np.bincount(r.ravel(), weights=v.ravel(), minlength=n)
-            seen[r, lists[:, None]] = True
-            read, step = stop, step * 2
-            if read == n:
-                break
-            front, worst = values[:, read], values[:, -1]
-            unread = (~seen).astype(np.float64) @ np.stack([worst, front], axis=1)
-            lower, upper = sums + unread[:, 0], sums + unread[:, 1]
-            lower[~allowed] = -np.inf
-            bar = np.partition(lower, n - k)[n - k]
-            can = allowed & (upper >= bar)
-            if can.sum() <= max(4 * k, n // 16):  # few rows can still qualify: none outside them
-                break
-        else:
-            can = allowed
-        if read >= n:
-            can = allowed
-        left = np.flatnonzero(can)
-        final = self.vectors[left] @ query
-        best = np.lexsort((self.ids[left], -final))[:k]
-        return self.ids[left][best], final[best], int(read * len(used))
+        used = np.flatnonzero(query)
+        weight, number = query[used], len(used)
+        low, high = np.zeros(number, np.int64), np.full(number, n)  # the unread part of each list
+        seen, sums, step = np.zeros((n, number), dtype=bool), np.zeros(n), max(8, n // STEPS)
+        at = lambda place: self.sorted[used, np.clip(place, 0, n - 1)] * weight
+
+        def read(lists: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+            place = start[:, None] + np.arange(step)
+            which, inside = np.nonzero(place < stop[:, None])
+            place, which = place[which, inside], lists[which]
+            rows = self.order[used[which], place]
+            np.add(sums, np.bincount(rows, self.sorted[used[which], place] * weight[which], n), out=sums)
+            seen[rows, which] = True
+
+        while number and (high > low).any():
+            left, first, last = high > low, at(low), at(high - 1)
+            if (high - low).sum() <= (1 - BLIND) * n * number:
+                ends = np.where(left, [np.maximum(first, last), np.minimum(first, last)], 0.0)
+                bounds = sums[can] + ends @ (~seen[can]).T
+                bar = np.partition(bounds[1], len(can) - k)[len(can) - k]
+                can = can[bounds[0] >= bar]
+                if len(can) <= SPARE * k:
+                    break
+            taken = np.minimum(step, high - low)
+            gain = np.concatenate([np.abs(at(low + taken) - first), np.abs(at(high - 1 - taken) - last)])
+            gain[np.concatenate([~left, ~left])] = -1.0
+            chosen = np.argsort(-gain, kind="stable")[:number]
+            chosen = chosen[gain[chosen] >= 0]
+            heads, tails = chosen[chosen < number], chosen[chosen >= number] - number
+            stop = np.minimum(low[heads] + step, high[heads])
+            read(heads, low[heads], stop)
+            low[heads] = stop
+            start = np.maximum(high[tails] - step, low[tails])
+            read(tails, start, high[tails])
+            high[tails] = start
+        final = self.vectors[can] @ query  # `can` is in the order of the rows: one pass over the block
+        best = np.lexsort((self.ids[can], -final))[:k]
+        return self.ids[can][best], final[best], int(n * number - (high - low).sum())
 
 
 def whole(vector: np.ndarray | None, scale: int) -> np.ndarray | None:
@@ -105,6 +114,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, scale: int = 1024, query_
                 out["score"] += scores.astype(np.int64).tolist()
         return pd.DataFrame(out)
 
+    tasks = min(row_parts * query_parts, 1 << 14)
+    left, right = left.repartition(tasks, "qb", "rb"), right.repartition(tasks, "qb", "rb")  # else small blocks would share a task
     found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(search, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
