@@ -10,7 +10,9 @@ As the log weight is a sum over the two context words, its normaliser over all c
 is one product of two matrices. So scores are exactly normalised, and a token costs three look-ups.
 
 Counts cover all training texts. Training starts on a small pilot sample, which only breaks the symmetry of the
-random start; then every task runs over all its texts and the results are averaged by the number of their tokens.
+random start. Then the texts are dealt by a hash into ROUNDS rounds of shards of about SHARD_TOKENS tokens: in a round every
+shard is trained on from the same parameters, in an order that the texts alone decide, and the results are averaged by
+the number of their tokens. So neither the files nor the cluster change a score.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ OUTPUTS, BUCKETS, CONTEXTS, SHAPES = 2048, 512, 1024, 512  # CONTEXTS holds SHAP
 HOT = 1 << 19  # most words that are sent to the tasks with their counts; the others are joined
 WIDTH, NOISE, BATCH = 16, 64, 8192
 PILOT_DOCS, PILOT_EPOCHS = 1500, 3
+SHARD_TOKENS, ROUNDS, MOST_SHARDS = 1 << 20, 2, 2048  # of more than MOST_SHARDS shards a round, each is longer instead
 SMOOTH = 0.1
 BLOCK = 3 << 20
 
@@ -119,7 +122,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     bucket_n, bucket_v = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.select("word", "n").mapInArrow(fill, "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # BUCKETS rows
         bucket_n[r["bucket"]], bucket_v[r["bucket"]] = r["n"], r["v"]
-    shared.unpersist()
+    shared.destroy()
     return Vocabulary(words, number, total, distinct, bucket_n, bucket_v)
 
 
@@ -175,6 +178,13 @@ class Model:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
 
+    def copy(self) -> Model:
+        """One with parameters of its own."""
+        out = Model.__new__(Model)
+        out.__dict__ = {k: (v.copy() if isinstance(v, np.ndarray) else v) for k, v in self.__dict__.items()}
+        out.squares = {k: v.copy() for k, v in self.squares.items()}
+        return out
+
     def load(self, flat: np.ndarray) -> None:
         for k in self.NAMES:
             old = getattr(self, k)
@@ -227,13 +237,12 @@ def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def trained(docs: DataFrame, vocab: Vocabulary) -> Model:
-    """A model of all texts of docs."""
+    """A model of all texts of docs (doc_id, text)."""
     model = Model(vocab)
     if not vocab.total:
         return model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
-    size = docs.count()
 
     def pilot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,32 +250,61 @@ def trained(docs: DataFrame, vocab: Vocabulary) -> Model:
                 t = tokens_of(texts, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i2").tobytes()], pa.binary()) for x in (t.out, t.c1, t.c2)], names=["out", "c1", "c2"])
 
-    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) <= int(min(1.0, PILOT_DOCS / max(1, size)) * 1_000_000)).select("text").dropDuplicates(["text"])  # copies share a hash
-    rows = few.mapInArrow(pilot, "out binary, c1 binary, c2 binary").collect()  # of about PILOT_DOCS texts
+    number = docs.count()
+    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) <= int(min(1.0, PILOT_DOCS / max(1, number)) * 1_000_000)).select("text").dropDuplicates(["text"])  # copies share a hash
+    rows = few.orderBy(F.xxhash64("text"), "text").mapInArrow(pilot, "out binary, c1 binary, c2 binary").collect()  # of about PILOT_DOCS texts
     rng = np.random.default_rng(3)
     out, c1, c2 = (np.concatenate([np.frombuffer(r[c], "<i2") for r in rows] or [np.zeros(0, "<i2")]).astype(np.int64) for c in ("out", "c1", "c2"))
+    del rows
     for epoch in range(PILOT_EPOCHS):
         model.train(out, c1, c2, rng, rate=0.1)
-    begun = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.__dict__ = {k: (v.copy() if isinstance(v, np.ndarray) else v) for k, v in begun.value.__dict__.items()}
-        own.squares = {k: v.copy() for k, v in begun.value.squares.items()}
-        rng = np.random.default_rng(TaskContext.get().partitionId())
-        number = 0
-        for batch in batches:
-            for _, _, texts in text_blocks(batch, most=BLOCK):
-                t = tokens_of(texts, shared.value)
-                own.train(t.out, t.c1, t.c2, rng, rate=0.1)
-                number += len(t.out)
-        if number:
-            flat = own.flat().astype(np.float64) * number
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), number))], names=["at", "value", "n"])
-
-    mixed = docs.select("text").mapInArrow(run, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas()  # one row per parameter
-    if len(mixed):
-        model.load(mixed.sort_values("at")["value"].to_numpy())
+    shards = int(min(MOST_SHARDS, max(1, -(-vocab.total // (ROUNDS * SHARD_TOKENS)))))
+    groups = max(1, int(shards**0.5))
+    key = F.xxhash64("doc_id", "text")
+    for round_ in range(ROUNDS):
+        begun = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], begun=begun) -> Iterator[pa.RecordBatch]:
+            own, shard, number, rng = None, None, 0, None
+
+            def result() -> pa.RecordBatch:
+                flat = (own.flat().astype(np.float64) * number).tobytes()
+                return pa.RecordBatch.from_arrays([pa.array([shard % groups]), pa.array([flat], pa.binary()), pa.array([number])], names=["part", "total", "n"])
+
+            for batch in batches:
+                of = batch.column("shard").to_numpy()
+                edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+                for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    if of[lo] != shard:
+                        if number:
+                            yield result()
+                        shard, number, rng = int(of[lo]), 0, np.random.default_rng((round_, int(of[lo])))
+                        own = begun.value.copy()
+                    for _, _, texts in text_blocks(batch.slice(lo, hi - lo), most=BLOCK):
+                        t = tokens_of(texts, shared.value)
+                        own.train(t.out, t.c1, t.c2, rng, rate=0.1)
+                        number += len(t.out)
+            if number:
+                yield result()
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for part, total, n in zip(*(batch.column(c).to_pylist() for c in ("part", "total", "n"))):
+                    if part in sums:
+                        sums[part][0] += np.frombuffer(total)
+                        sums[part][1] += n
+                    else:
+                        sums[part] = [np.frombuffer(total).copy(), n]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], names=["total", "n"])
+
+        dealt = docs.select(key.alias("h"), "text").where(F.pmod("h", F.lit(ROUNDS)) == round_).withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards)))
+        dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "text").select("shard", "text")
+        totals = dealt.mapInArrow(run, "part long, total binary, n long").repartition(groups, "part").mapInArrow(add, "total binary, n long").collect()  # about a root of the shards
+        if totals:
+            model.load(sum(np.frombuffer(r["total"]) for r in totals) / sum(r["n"] for r in totals))
+        begun.destroy()
+    shared.destroy()
     return model
 
 
@@ -331,10 +369,11 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text).
 
     The model and the counts come from the rows where held_out is false. A null or empty text is its end alone. Repeated
-    rows each count and are each scored. Without any training row all tokens are unknown.
+    rows each count and are each scored; a null doc_id is one like any other. Extra columns are ignored. Without any training
+    row all tokens are unknown; an empty table gives one.
     """
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
-    train = rows.where(~F.col("held_out")).select("text")
+    train = rows.where(~F.col("held_out")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counts = durable(counts_of(train))
     vocab = vocabulary(counts)
     model = trained(train, vocab)

@@ -94,3 +94,18 @@ def test_empty_and_untrained(spark):
     got = score(spark, [(held[0], "some words"), (held[1], None), (held[2], "")])
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
     assert all(math.isfinite(r["score"]) for r in got)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words, size=int(rng.integers(3, 40)), p=np.arange(60, 0, -1) / 1830))) for k in range(500)] + [(None, None), (3, "w1 w2"), (3, "w1 w2")]
+    found = []
+    for parts in (1, 7):
+        df = docs(spark, rows).repartition(parts)
+        got = lm.score_documents(df, F.col("doc_id") % 10 == 0).collect()
+        found.append(sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), r["score"]) for r in got))
+    assert len(found[0]) == len(rows)
+    for a, b in zip(*found):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) <= 1e-6 * max(1.0, abs(a[4]))
