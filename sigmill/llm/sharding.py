@@ -90,9 +90,13 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """All documents on `shards` shards whose numbers of rows differ by one at most (law `rows`).
 
     Size: UTF-8 bytes of the text plus 16; a null text has none and the crc32 of no bytes, 0. Repeated rows each get a
-    slot of their own. Extra columns are ignored.
+    slot of their own. Extra columns are ignored. Groups of equal texts are not kept together: a row's place comes from
+    its doc_id alone, so the copies of a text are spread like any other rows, and a large group overfills no shard. Rows
+    with a null doc_id are spread by their text. A grown ring moves about a tenth of the rows (with slack 0.1 about 7 %;
+    one part in shards + 1 at best), as exact quotas leave no room for the overflow to stay where it is.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = assign(rows, ["doc_id"], ["doc_id", "text_crc32", "size"], shards)
+    rows = rows.withColumn("_spread", F.when(F.col("doc_id").isNull(), F.col("text_crc32")))
+    out = assign(rows, ["doc_id", "_spread"], ["doc_id", "text_crc32", "size"], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
