@@ -266,11 +266,20 @@ def candidates(met: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS)
     return met.where("a is not null").select("a", "b", "agree").unionByName(borders).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+SALTS = 64  # parts of a region's rows, where they meet what is known of the region
+
+
+def by_region(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (region, class_id, ...) joined with known, one row per region; a region of very many rows meets it in SALTS tasks."""
+    parts = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")).join(parts, ["region", "_salt"]).drop("_salt")
+
+
 def crowd_of(met: DataFrame, reach: int = NEIGHBOURS) -> DataFrame:
     """(region, class_id) of the regions that hold more classes than the orders compare."""
     rows = met.where("region is not null").select("region", "class_id")
     large = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > reach + 1).select("region")
-    return rows.join(large, "region", "left_semi")
+    return by_region(rows, large)
 
 
 def crowd_links(crowd: DataFrame, classes: DataFrame, sets: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -291,7 +300,7 @@ def crowd_links(crowd: DataFrame, classes: DataFrame, sets: DataFrame, groups: D
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     least = least_share(percent) * HASHES
     prefixes = _ORDERS[:, :LEAST_DEPTH]
-    marked_rows = rows.join(stats, "region").withColumn("odd", F.col("group") != F.col("main"))
+    marked_rows = by_region(rows, stats).withColumn("odd", F.col("group") != F.col("main"))
     signed_rows = durable(marked_rows.join(classes.select("class_id", "n_shingles", "sig"), "class_id").select("region", "nb", "no", "class_id", "n_shingles", "group", "odd", "sig"))
     names = ["region", "o", "x", "class_id", "n_shingles", "group", "odd", "sig"]
     left = signed_rows.where("odd").withColumn("o", at("no")).withColumn("x", each("nb")).select(*names).toDF(*names)
