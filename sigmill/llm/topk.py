@@ -3,6 +3,8 @@
 The rows are cut into blocks. Each block holds one list per dimension, sorted by component. For a query every list is read
 in sequence from both of its ends, next always those ends whose step narrows the range of the unread components most. A
 row's bounds are its read components and, for each unread one, the components at the two read positions of its list.
+Bounds are worked out row by row: a row's place in each list tells which of its components have been read, and only
+those enter a bound.
 Reading stops when no row outside a few can still reach the k-th best lower bound; these, at most SPARE times k but for
 ties, get their final scores in one pass over the block. Blocks' results are merged by score, ties to the smaller id.
 Scores are integers below 2^53, held exactly in doubles.
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 SPARE = 4  # rows that may still qualify when reading stops, as a multiple of k
 STEPS = 32  # steps in which one end would read a whole list
-BLIND = 0.4  # share of the entries that is read before bounds are first looked at
+BLIND, LOOK = 0.6, 2  # bounds are first looked at when this share of the entries is read, and then after so many rounds of steps
 
 
 class Lists:
@@ -29,49 +31,48 @@ class Lists:
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order], dtype=np.float64)
         self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # per dimension, row numbers by component
         self.sorted = np.take_along_axis(self.vectors, self.order.T, axis=0).T.copy()
+        self.place = np.empty(self.vectors.shape, np.int16 if len(ids) < 1 << 15 else np.int64)  # of each row in each list
+        np.put_along_axis(self.place, self.order.T, np.arange(len(ids), dtype=self.place.dtype)[:, None], axis=0)
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores, entries read) of the k best rows other than those of id `own`, by score, then id."""
         n = len(self.ids)
-        can = np.flatnonzero(self.ids != own)
-        k = min(k, len(can))
+        allowed = self.ids != own
+        k = min(k, int(allowed.sum()))
         if not k:
             return self.ids[:0], np.zeros(0), 0
         used = np.flatnonzero(query)
         weight, number = query[used], len(used)
+        lists, values = np.arange(number), self.sorted[used] if number < len(query) else self.sorted
+        can, places, parts = np.arange(n), self.place, self.vectors
+        if number < len(query):
+            places, parts = np.take(places, used, axis=1), np.take(parts, used, axis=1)
         low, high = np.zeros(number, np.int64), np.full(number, n)  # the unread part of each list
-        seen, sums, step = np.zeros((n, number), dtype=bool), np.zeros(n), max(8, n // STEPS)
-        at = lambda place: self.sorted[used, np.clip(place, 0, n - 1)] * weight
-
-        def read(lists: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
-            place = start[:, None] + np.arange(step)
-            which, inside = np.nonzero(place < stop[:, None])
-            place, which = place[which, inside], lists[which]
-            rows = self.order[used[which], place]
-            np.add(sums, np.bincount(rows, self.sorted[used[which], place] * weight[which], n), out=sums)
-            seen[rows, which] = True
-
+        step, looks = max(8, n // STEPS), 0
         while number and (high > low).any():
-            left, first, last = high > low, at(low), at(high - 1)
+            left = high > low
+            first, last = values[lists, np.minimum(low, n - 1)] * weight, values[lists, high - 1] * weight
             if (high - low).sum() <= (1 - BLIND) * n * number:
-                ends = np.where(left, [np.maximum(first, last), np.minimum(first, last)], 0.0)
-                bounds = sums[can] + ends @ (~seen[can]).T
-                bar = np.partition(bounds[1], len(can) - k)[len(can) - k]
-                can = can[bounds[0] >= bar]
-                if len(can) <= SPARE * k:
-                    break
+                looks += 1
+                if looks % LOOK == 1:
+                    unread = (places >= low.astype(places.dtype)) & (places < high.astype(places.dtype))
+                    ends = np.where(left, [np.maximum(first, last), np.minimum(first, last)], 0.0)
+                    bounds = (parts * ~unread) @ weight + (unread @ ends.T).T
+                    bounds[:, ~allowed[can]] = -np.inf
+                    bar = np.partition(bounds[1], len(can) - k)[len(can) - k]
+                    keep = np.flatnonzero(bounds[0] >= bar)
+                    can, places, parts = can[keep], places[keep], parts[keep]
+                    if len(can) <= SPARE * k:
+                        break
             taken = np.minimum(step, high - low)
-            gain = np.concatenate([np.abs(at(low + taken) - first), np.abs(at(high - 1 - taken) - last)])
+            gain = np.concatenate([np.abs(values[lists, np.minimum(low + taken, n - 1)] * weight - first), np.abs(values[lists, np.maximum(high - 1 - taken, 0)] * weight - last)])
             gain[np.concatenate([~left, ~left])] = -1.0
             chosen = np.argsort(-gain, kind="stable")[:number]
             chosen = chosen[gain[chosen] >= 0]
             heads, tails = chosen[chosen < number], chosen[chosen >= number] - number
-            stop = np.minimum(low[heads] + step, high[heads])
-            read(heads, low[heads], stop)
-            low[heads] = stop
-            start = np.maximum(high[tails] - step, low[tails])
-            read(tails, start, high[tails])
-            high[tails] = start
+            low[heads] = np.minimum(low[heads] + step, high[heads])
+            high[tails] = np.maximum(high[tails] - step, low[tails])
+        can = can[allowed[can]]
         final = self.vectors[can] @ query  # `can` is in the order of the rows: one pass over the block
         best = np.lexsort((self.ids[can], -final))[:k]
         return self.ids[can][best], final[best], int(n * number - (high - low).sum())
