@@ -41,7 +41,8 @@ def resolve(captures: DataFrame) -> DataFrame:
     don't; `unvalidated` if no validator is on both sides. headers: for resolved revisits the response's headers, with
     those of the revisit put over them but for KEPT_HEADERS, as sorted `name: value` lines with names in lower case,
     ties of names to the larger value. Records with a null URL, ts or record_id match nothing; null header arrays are empty. Repeated
-    revisit rows each give a row.
+    revisit rows each give a row; repeated responses are one. Extra columns, whatever their names, are ignored; an empty
+    table gives one.
     """
     rows = captures.select(
         "record_id", canonical_url(F.col("url")).alias("curl"), "ts", "kind", "etag", "last_modified", "digest",

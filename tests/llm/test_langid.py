@@ -59,6 +59,39 @@ def test_copies_do_not_thin_the_sample(spark, monkeypatch):
     assert all(alone.count(lang) == among.count(lang) for lang in SYLLABLES if lang != "en")
 
 
+def test_counts_and_margins_against_plain_loops(spark):
+    """Trigrams of one text after another, in Python, and margins from them."""
+    texts = ["Straße und Haus", "a b", "ñandú ñandú!", "", "x1y2z3", "漢字 mixed TEXT"]
+
+    def plain(text):
+        raw = [ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalpha() else b if b >= 128 else 32 for b in text.encode()]
+        out = {}
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            if b != 32:
+                h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+                h ^= h >> 15
+                g = (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 20
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    rows = langid.counted(docs(spark, [(k, t, str(k)) for k, t in enumerate(texts)])).collect()
+    got = {int(r["lang"]): dict(zip(np.frombuffer(r["columns"], "<u2").tolist(), np.frombuffer(r["counts"], "<u4").tolist())) for r in rows}
+    assert got == {k: plain(t) for k, t in enumerate(texts)}
+    model = langid.learn(docs(spark, corpus()))
+    for text in texts[:3]:
+        own = plain(text)
+        margins = np.array([[sum(n * w[g] for g, n in own.items()) / max(1, sum(own.values())) * langid.SCALE + w[-1] for w in model.machines.astype(float)]])
+        best, sure = model.decide(margins)
+        found = langid.identify(docs(spark, [(1, text)]), model).first()
+        assert found["lang_pred"] == model.langs[best[0]] and abs(found["score"] - sure[0]) < 1e-6
+
+
+def test_a_spoiled_lang_column(spark):
+    rows = [*corpus(200), *[(1000 + k, f"text of its own {k}", f"junk{k}") for k in range(60)]]
+    model = langid.learn(docs(spark, rows), most_langs=5)
+    assert set(model.langs) == set(SYLLABLES)
+
+
 def test_trigrams_stay_within_texts():
     from sigmill.llm.common import utf8_block
 

@@ -54,3 +54,15 @@ def test_empty(spark):
     assert warc.resolve(captures(spark, [])).collect() == []
     pages = spark.createDataFrame([(1, None, None), (None, "a.com", "x"), (2, "http://a.com/", "")], "page_id long, url string, html string")
     assert len(warc.resolve(warc.page_captures(pages)).collect()) == 3
+
+
+def test_extra_columns_long_headers_and_an_empty_table(spark):
+    from pyspark.sql import functions as F
+
+    long = [("X-Long", "v" * 1_000_000), *[(f"h{k}", str(k)) for k in range(2000)]]
+    rows = [response(1, "a.com/x", 10, '"1"', None, "d", long), response(1, "a.com/x", 10, '"1"', None, "d", long), revisit(11, "a.com/x", 15, '"1"', headers=[("h7", "new")])]
+    clashing = captures(spark, rows).select("*", *[F.lit("x").alias(c) for c in ("curl", "_key", "chunk", "near", "far", "last", "hit", "status", "revisit_id")])
+    found = warc.resolve(clashing).collect()
+    lines = found[0]["headers"].split("\n")
+    assert len(found) == 1 and found[0]["status"] == "resolved" and len(lines) == 2001 and "h7: new" in lines and f"x-long: {'v' * 1_000_000}" in lines
+    assert warc.resolve(captures(spark, [])).collect() == []
