@@ -266,20 +266,20 @@ def candidates(met: DataFrame, percent: int = PERCENT, reach: int = NEIGHBOURS)
     return met.where("a is not null").select("a", "b", "agree").unionByName(borders).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-SALTS = 64  # parts of a region's rows, where they meet what is known of the region
+SALTS = 16  # parts of a region's or component's rows, where they meet what is known of it
 
 
-def by_region(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows (region, class_id, ...) joined with known, one row per region; a region of very many rows meets it in SALTS tasks."""
+def salted(rows: DataFrame, known: DataFrame, key: str, own: str) -> DataFrame:
+    """rows (key, own, ...) joined with known, one row per key; a key of very many rows meets it in SALTS tasks, by the hash of own."""
     parts = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")).join(parts, ["region", "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(parts, [key, "_salt"]).drop("_salt")
 
 
 def crowd_of(met: DataFrame, reach: int = NEIGHBOURS) -> DataFrame:
     """(region, class_id) of the regions that hold more classes than the orders compare."""
     rows = met.where("region is not null").select("region", "class_id")
     large = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > reach + 1).select("region")
-    return by_region(rows, large)
+    return salted(rows, large, "region", "class_id")
 
 
 def crowd_links(crowd: DataFrame, classes: DataFrame, sets: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -300,7 +300,7 @@ def crowd_links(crowd: DataFrame, classes: DataFrame, sets: DataFrame, groups: D
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     least = least_share(percent) * HASHES
     prefixes = _ORDERS[:, :LEAST_DEPTH]
-    marked_rows = by_region(rows, stats).withColumn("odd", F.col("group") != F.col("main"))
+    marked_rows = salted(rows, stats, "region", "class_id").withColumn("odd", F.col("group") != F.col("main"))
     signed_rows = durable(marked_rows.join(classes.select("class_id", "n_shingles", "sig"), "class_id").select("region", "nb", "no", "class_id", "n_shingles", "group", "odd", "sig"))
     names = ["region", "o", "x", "class_id", "n_shingles", "group", "odd", "sig"]
     left = signed_rows.where("odd").withColumn("o", at("no")).withColumn("x", each("nb")).select(*names).toDF(*names)
@@ -508,7 +508,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     # a group's name is its smallest doc_id; a class of no group is one of its own
     linked = groups.select("node", "component").union(groups.select("component", "component").distinct())
     least = linked.join(classes.select(F.col("class_id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("name"))
-    by_node = linked.join(least, "component").select("node", "name")
+    by_node = salted(linked, least, "component", "node").select("node", "name")
     named = classes.join(by_node, F.col("class_id") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()  # these never meet a class, and may be many
     out = rows.where(~empty).select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
