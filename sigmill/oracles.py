@@ -461,7 +461,7 @@ def analytics() -> dict[str, str]:
         "analytics_compare_halves": w([f"hv AS (SELECT segment, {sharpe_sql()} AS sh, {YEARLY} AS yr, min(date) AS a, max(date) AS b FROM daily GROUP BY segment)"], HALVES),
         "analytics_size_quality": w([], "SELECT max(abs(close * volume)) < 10000 AS is_approximation FROM book"),
         "analytics_deflated_sharpe_20": w(EQUITY, f"SELECT segment, {rounded('(o - bar) * sqrt(252e0)', 4)} AS deflated_sharpe, {rounded('(o - bar) * sqrt(n - 1) / sqrt(CASE WHEN 1 - sk * o + (ku - 3) / 4 * o * o > 0 THEN 1 - sk * o + (ku - 3) / 4 * o * o END)', 4)} AS deflated_z FROM (SELECT *, {BEST_OF_20!r} / sqrt(n) AS bar FROM (SELECT segment, count(*) AS n, {sharpe_sql()} / sqrt(252e0) AS o, skewness(ret) AS sk, kurtosis(ret) + 3 AS ku FROM eq GROUP BY segment))"),
-        "analytics_deflated_sharpe": w(EQUITY, f"SELECT segment, {rounded('(o - 0.5e0 / sqrt(n)) * 0e0 + sh')} AS sharpe, {rounded('o * sqrt(n - 1) / sqrt(1 - sk * o + (ku - 3) / 4 * o * o)', 4)} AS deflated_z FROM (SELECT segment, count(*) AS n, {sharpe_sql()} AS sh, {sharpe_sql()} / sqrt(252e0) AS o, skewness(ret) AS sk, kurtosis(ret) + 3 AS ku FROM eq GROUP BY segment)"),
+        "analytics_deflated_sharpe": w(EQUITY, f"SELECT segment, {rounded('(o - 0.5e0 / sqrt(n)) * 0e0 + sh')} AS sharpe, {rounded('o * sqrt(n - 1) / sqrt(CASE WHEN 1 - sk * o + (ku - 3) / 4 * o * o > 0 THEN 1 - sk * o + (ku - 3) / 4 * o * o END)', 4)} AS deflated_z FROM (SELECT segment, count(*) AS n, {sharpe_sql()} AS sh, {sharpe_sql()} / sqrt(252e0) AS o, skewness(ret) AS sk, kurtosis(ret) + 3 AS ku FROM eq GROUP BY segment)"),
     }
 
 
