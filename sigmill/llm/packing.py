@@ -13,8 +13,9 @@ length. So no task ever sees more than a partition's rows, however many pieces s
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ from .common import durable, text_blocks
 CAPACITY, END_ID, MARK = 4096, 1, "\x1c"
 CACHED_WORDS = 160_000  # words that a worker keeps; a block of texts with more of them adds its own for as long as it lasts
 JOINED, AT_ONCE = 512, 8  # words of one text for the tokenizer, and such texts whose encodings are held at once
+BLOCK = 1 << 23  # bytes of text whose words are looked up together
+LAST, SIGNS = "[A-Za-z0-9À-ÖØ-öø-ÿ]", "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # a letter or digit, and signs that may end a word behind one
+
+Encode = Callable[[list[str]], list[list[int]]]
 
 
 class Tree:
@@ -101,95 +106,121 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 class Words:
     """Ids of texts from ids of their words: no token crosses white space, so each word is encoded once while cached.
 
-    Words are cached in ASCII lower case (the tokenizer lowers case itself) and without a last `.` or `,` behind a letter
-    or digit, which is a token of its own.
+    Words are cached in ASCII lower case (the tokenizer lowers case itself) and without the last signs behind a letter or
+    digit, which are a token run of their own and cached as a word of theirs. Apostrophes stay, as they may begin a
+    contraction, and `<|>` and other signs of added tokens. These are told by their case: a block that may hold one is not lowered.
+
+    `quick` has further ways of encoding words that match a pattern, each with a sign between words that none of them has.
     """
 
-    ENDS = ("", ".", ",")
+    ENDS = ("", ".", ",")  # always kept; the first is the end of words without one
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Encode, quick: Iterable[tuple[str, Encode, str]] = (), added: Iterable[str] = ()):
         self.encode = encode
-        mark = encode([MARK])[0]
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.ways = [(pattern, way, sign, self.single(way, sign)) for pattern, way, sign in [*quick, ("", encode, MARK)]]
+        added = list(added)
+        self.added = os.path.commonprefix(added) if added else None
+        signs = "".join(re.escape(c) for c in SIGNS if c not in "".join(added))
+        self.run, self.before = f"({LAST})[{signs}]+$", f"^.*{LAST}"
         self.clear()
 
+    @staticmethod
+    def single(encode: Encode, sign: str) -> int | None:
+        ids = encode([sign])[0]
+        return ids[0] if len(ids) == 1 else None
+
+    @property
+    def known(self) -> list[str]:
+        return self.words.to_pylist()
+
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-        self.add(list(self.ENDS))
+        self.words = pa.array([], pa.large_string())
+        self.starts, self.lengths, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.zeros(0, np.uint32)
+        self.add(pa.array(self.ENDS, pa.large_string()))
 
-    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def joined(words: list[str], encode: Encode, sign: str, mark: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in a row, and how many each has. Many words go through the tokenizer as one text, with marks between them."""
-        if self.mark is None or any(MARK in w for w in words):
-            ids = self.encode(words)
+        if mark is None or sign in "".join(words):
+            ids = encode(words)
             lengths = np.fromiter(map(len, ids), np.int64, len(words))
             return np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum())), lengths
         kept, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for k in range(0, len(words), JOINED * AT_ONCE):
             part = words[k : k + JOINED * AT_ONCE]
-            for ids in self.encode([f" {MARK} ".join(part[j : j + JOINED]) + f" {MARK}" for j in range(0, len(part), JOINED)]):
+            for ids in encode([f" {sign} ".join(part[j : j + JOINED]) + f" {sign}" for j in range(0, len(part), JOINED)]):
                 ids = np.array(ids, np.uint32)
-                at = np.flatnonzero(ids == self.mark)
-                kept.append(np.delete(ids, at))
-                lengths.append(np.diff(at, prepend=-1) - 1)
+                at = ids == mark
+                kept.append(ids[~at])
+                lengths.append(np.diff(np.flatnonzero(at), prepend=-1) - 1)
         return np.concatenate(kept), np.concatenate(lengths)
 
-    def add(self, new: list[str]) -> None:
-        flat, lengths = self.encoded(new)
-        base, n = len(self.known), len(new)
-        while base + n > len(self.starts):
-            self.starts, self.lengths, self.hits = (np.concatenate([x, x * 0]) for x in (self.starts, self.lengths, self.hits))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.lengths[base : base + n] = lengths
-        self.starts[base : base + n] = self.used + np.cumsum(lengths) - lengths
-        self.hits[base : base + n] = 0
-        self.used += len(flat)
-        self.known.update(zip(new, range(base, base + n)))
+    def add(self, new: pa.Array) -> None:
+        starts, lengths, left = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), np.arange(len(new))
+        for pattern, encode, sign, mark in self.ways:  # the last takes all that are left
+            some = new.take(pa.array(left))
+            fits = pc.match_substring_regex(some, pattern).to_numpy(zero_copy_only=False)
+            flat, n = self.joined(some.filter(pa.array(fits)).to_pylist(), encode, sign, mark)
+            at, left = left[fits], left[~fits]
+            starts[at], lengths[at] = len(self.flat) + np.cumsum(n) - n, n
+            self.flat = np.concatenate([self.flat, flat])
+        self.words = pa.concat_arrays([self.words, new])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+
+    def ids_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at these places in a row, and the offsets of the words."""
+        lengths = self.lengths[places]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return self.flat[np.repeat(self.starts[places] - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
     def shrink(self, most: int) -> None:
         """Keeps the `most` words that most blocks have had, ties to the older; their counts are halved, so that words go out of use."""
-        n, ends = len(self.known), len(self.ENDS)
-        keep = np.sort(np.append(np.arange(ends), ends + np.argsort(-self.hits[ends:n], kind="stable")[: max(0, most - ends)]))
-        words = list(self.known)  # in the order of their places
-        flat = np.concatenate([self.flat[:0], *[self.flat[s : s + m] for s, m in zip(self.starts[keep].tolist(), self.lengths[keep].tolist())]])
-        lengths, hits, k = self.lengths[keep], self.hits[keep] // 2, len(keep)
-        self.known = {words[at]: place for place, at in enumerate(keep.tolist())}
-        self.starts, self.lengths, self.hits = (np.zeros(max(1 << 16, k), np.int64) for _ in range(3))
-        self.starts[:k], self.lengths[:k], self.hits[:k] = np.cumsum(lengths) - lengths, lengths, hits
-        self.flat, self.used = np.append(flat, np.zeros(1 << 18, np.uint32)), len(flat)
-
-    def places(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.known]
-        if new and len(self.known) + len(new) > CACHED_WORDS:
+        ends = len(self.ENDS)
+        keep = np.sort(np.append(np.arange(ends), ends + np.argsort(-self.hits[ends:], kind="stable")[: max(0, most - ends)]))
+        self.flat, at = self.ids_at(keep)
+        self.words = self.words.take(pa.array(keep))
+        self.starts, self.lengths, self.hits = at[:-1], np.diff(at), self.hits[keep] // 2
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where these words, all different, are in the cache; those that it lacks are added."""
+        found = pc.index_in(words, value_set=self.words)
+        if found.null_count and len(self.words) + found.null_count > CACHED_WORDS:
             self.shrink(CACHED_WORDS // 2)
-            new = [w for w in words if w not in self.known]
-        if new:
-            self.add(new)
-        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        self.hits[found] += 1
-        return found
+            found = pc.index_in(words, value_set=self.words)
+        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if found.null_count:
+            at[at < 0] = len(self.words) + np.arange(found.null_count)
+            self.add(words.filter(pc.is_null(found)))
+        self.hits[at] += 1
+        return at
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and the n + 1 offsets of the texts."""
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        lower = pc.ascii_lower(texts)
+        if self.added is not None and pc.any(pc.match_substring(lower, self.added)).as_py():
+            lower = texts
+        parts = pc.ascii_split_whitespace(lower)
         offsets = np.asarray(parts.offsets.to_numpy(zero_copy_only=False), dtype=np.int64)
         offsets = offsets - offsets[0]
         words = parts.flatten().dictionary_encode()
         if not len(words):
             return np.zeros(0, np.uint32), offsets * 0
-        each = words.dictionary
-        ended = pc.match_substring_regex(each, "[a-z0-9][.,]$")
-        stems = pc.if_else(ended, pc.utf8_slice_codeunits(each, 0, -1), each).dictionary_encode()
-        end = np.where(ended.to_numpy(zero_copy_only=False), np.where(pc.ends_with(each, ".").to_numpy(zero_copy_only=False), 1, 2), 0)
-        stem = self.places(stems.dictionary.to_pylist())[stems.indices.to_numpy(zero_copy_only=False)]
-        place = np.column_stack([stem, end])[words.indices.to_numpy(zero_copy_only=False)].ravel()
-        lengths = self.lengths[place]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.starts[place] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, ends[2 * offsets]
+        each = words.dictionary.cast(pa.large_string())
+        stems = pc.replace_substring_regex(each, self.run, "\\1")
+        ended = pc.not_equal(pc.binary_length(stems), pc.binary_length(each))
+        ends = pc.replace_substring_regex(each.filter(ended), self.before, "")
+        both = pa.concat_arrays([stems, ends]).dictionary_encode()
+        place = self.places(both.dictionary)[both.indices.to_numpy()]
+        pair = np.zeros((len(each), 2), np.int64)
+        pair[:, 0], pair[ended.to_numpy(zero_copy_only=False), 1] = place[: len(each)], place[len(each) :]
+        flat, at = self.ids_at(pair.ravel())
+        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(each), [None, pa.py_buffer(4 * at[::2]), pa.py_buffer(flat)])
+        taken = data.take(words.indices)
+        _, at, flat = taken.buffers()
+        at = np.frombuffer(at, np.int64, len(words) + 1)[offsets] // 4
+        return np.frombuffer(flat, np.uint32, at[-1]) if at[-1] else np.zeros(0, np.uint32), at
 
 
 _WORDS: dict[str, Words] = {}
@@ -199,10 +230,21 @@ def words_for(tokenizer_path: str) -> Words:
     """One cache for each worker and tokenizer."""
     if tokenizer_path not in _WORDS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        def encoder(tokenizer: Tokenizer) -> Encode:
+            return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+        def unsplit(*more: pre_tokenizers.PreTokenizer) -> Encode:
+            """The same model for words that its normalizer leaves as they are and its pattern does not split."""
+            tokenizer = Tokenizer(whole.model)
+            tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *more])
+            return encoder(tokenizer)
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        _WORDS[tokenizer_path] = Words(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        whole = Tokenizer.from_file(tokenizer_path)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        quick = [("^[a-z]+$", unsplit(), "."), ("^[a-zß-öø-ÿ]+$", unsplit(as_bytes), ".")]
+        _WORDS[tokenizer_path] = Words(encoder(whole), quick, [t.content for t in whole.get_added_tokens_decoder().values()])
     return _WORDS[tokenizer_path]
 
 
@@ -215,7 +257,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_for(tokenizer_path)
         for batch in batches:
-            for row, n, texts in text_blocks(batch):
+            for row, n, texts in text_blocks(batch, most=BLOCK):
                 ids, at = words.ids(texts)
                 owner, piece, start, length, crc, out_ids = [], [], [], [], [], []
                 for k in range(n):
